@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import licenses, mixing, urls
+from lodeline.llm import ann, licenses, mixing, quality, tokencounts, topk, urls
 from lodeline.llm.shared import table
 
 
@@ -17,6 +17,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), blocked)
 
 
+def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.rollup(table(spark, sf_dir, "documents"), "byte_bpe_50k/1")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -25,10 +33,23 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality.table_labels(table(spark, sf_dir, "labels"))
+    return quality.assess(quality.sites(table(spark, sf_dir, "documents")), labels).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
+    "op4_ann_search": op4_ann_search,
+    "op5_token_counts": op5_token_counts,
     "op6_mixing": op6_mixing,
     "op8_license_scan": op8_license_scan,
+    "op9_exact_topk": op9_exact_topk,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op9_exact_topk": topk.SQL}
