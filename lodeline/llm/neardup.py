@@ -36,8 +36,9 @@ BITMAP = 4
 
 
 def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n, d1, d2 (the set's size and digest), sketch and bits."""
-    schema = "doc_id long, n long, d1 long, d2 long, sketch array<long>, bits array<long>"
+    """docs (doc_id, text) -> doc_id, t (a hash of the text), n, d1, d2 (the set's size and digest),
+    sketch and bits."""
+    schema = "doc_id long, t long, n long, d1 long, d2 long, sketch array<long>, bits array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -53,16 +54,17 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(i, j - i),
+                        b.column("t").slice(i, j - i),
                         pa.array(n),
                         pa.array(d[0]),
                         pa.array(d[1]),
                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(low)),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BITMAP, BITMAP), pa.int32()), pa.array(bits.view(np.int64).reshape(-1))),
                     ],
-                    ["doc_id", "n", "d1", "d2", "sketch", "bits"],
+                    ["doc_id", "t", "n", "d1", "d2", "sketch", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("t")).mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -117,14 +119,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, items: DataFrame, percent: i
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, rounds: int = ROUNDS) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, and set_1, set_2 (the
-    set's digest): one row a document.
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, and t (a hash of the
+    text) and component (a number of the component, in this result): one row a document.
 
     Two documents are linked if 100 times the size of the intersection of their shingle sets is at
     least percent times the size of the union. component_id is the smallest doc_id that links lead
     to, kept says whether it is the document's own. Texts of fewer words than width have one
     shingle of all of them; null and empty texts and those without words have none, are linked
-    with nothing and kept. A null doc_id is larger than all others; a component of such documents
+    with nothing and kept, and have no component. A null doc_id is larger than all others; a component of such documents
     only has a null component_id. Rows that repeat a doc_id are documents of their own, and all
     kept if their doc_id is the component's. An empty table gives an empty result. Other columns
     are not looked at.
@@ -171,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     whole = classes.select("node", "first_doc", *keys).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = whole.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    named = whole.join(least, "component").select(*keys, "component_id")
-    alone = rows.where("n = 0").select("doc_id", "n", "d1", "d2", F.col("doc_id").alias("component_id"))
-    done = rows.where("n > 0").select("doc_id", *keys).join(named, keys).select("doc_id", "n", "d1", "d2", "component_id").unionByName(alone)
-    return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("d1").alias("set_1"), F.col("d2").alias("set_2"))
+    named = whole.join(least, "component").select(*keys, "component_id", "component")
+    alone = rows.where("n = 0").select("doc_id", "t", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    done = rows.where("n > 0").select("doc_id", "t", *keys).join(named, keys).select(*alone.columns).unionByName(alone)
+    return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t", "component")

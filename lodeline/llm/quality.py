@@ -83,8 +83,8 @@ def _strength(groups: DataFrame, mean: str, n: str, toward: str) -> Column:
 
 
 def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs (doc_id, text, host, path, ...), labels (doc_id, good) -> row, doc_id, host, path,
-    p_doc, p_host, p_path, p_good, keep: one row a document; row names docs' row.
+    """docs (doc_id, text, host, path, ...), labels (doc_id, good) -> doc_id, t (a hash of the
+    text), host, path, p_doc, p_host, p_path, p_good, keep: one row a document.
 
     Null hosts and paths are sites of their own. Null and empty texts, and those without words, say
     nothing: their p_doc is the corpus mean, so their site decides. Labels that disagree about a
@@ -93,13 +93,13 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit
     kept. An empty table gives an empty result. Other columns are not looked at."""
     agreed = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg((F.avg(F.col("good").cast("int")) > 0.5).alias("good"))
     names = list(features(F.lit("")))
-    keyed = docs.select("doc_id", "host", "path", F.monotonically_increasing_id().alias("row"), (word_count(F.col("text")) > 0).alias("speaks"), *[c.alias(k) for k, c in features(F.col("text")).items()])
+    keyed = docs.select("doc_id", "host", "path", F.xxhash64("text").alias("t"), (word_count(F.col("text")) > 0).alias("speaks"), *[c.alias(k) for k, c in features(F.col("text")).items()])
     rows = staged(keyed, "quality-features")
     weights, intercept = fit(rows.join(agreed, "doc_id").where("speaks"), names, fit_rows)
     raw = reduce(lambda a, b: a + b, (F.col(k) * F.lit(w) for k, w in zip(names, weights, strict=True)), F.lit(intercept))
     # evidence: what a label says, else what the regression says
     sure = lambda p: F.least(F.greatest(p, F.lit(1 - CERTAIN)), F.lit(CERTAIN))
-    scored = rows.select("row", "doc_id", "host", "path", F.when(F.col("speaks"), sure(1 / (1 + F.exp(-raw)))).alias("p_doc"))
+    scored = rows.select("t", "doc_id", "host", "path", F.when(F.col("speaks"), sure(1 / (1 + F.exp(-raw)))).alias("p_doc"))
     scored = staged(scored, "quality-scores")
     evidence = scored.join(agreed, "doc_id", "left").withColumn("y", F.coalesce(F.col("good").cast("double"), "p_doc"))
 
@@ -119,7 +119,7 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit
 
     judged = scored.withColumns({"h": site("host"), "p": site("path"), "p_doc": F.coalesce("p_doc", F.lit(p0))}).join(sites, ["h", "p"])
     odds = _logit(F.col("p_doc")) - _logit(F.lit(p0)) + _logit(F.col("p_path"))
-    return judged.withColumn("p_good", 1 / (1 + F.exp(-odds))).select("row", "doc_id", "host", "path", "p_doc", "p_host", "p_path", "p_good", (F.col("p_good") >= threshold).alias("keep"))
+    return judged.withColumn("p_good", 1 / (1 + F.exp(-odds))).select("doc_id", "t", "host", "path", "p_doc", "p_host", "p_path", "p_good", (F.col("p_good") >= threshold).alias("keep"))
 
 
 def table_labels(labels: DataFrame) -> DataFrame:

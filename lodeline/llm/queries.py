@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm import ann, licenses, mixing, neardup, quality, suffixes, tokencounts, topk, urls
+from lodeline.llm import ann, licenses, mixing, neardup, pieces, quality, suffixes, tokencounts, topk, urls
 from lodeline.llm.shared import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = pieces.decode(encoded.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "token_ids"))
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "text_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     blocked = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
@@ -55,10 +61,11 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = quality.table_labels(table(spark, sf_dir, "labels"))
-    return quality.assess(quality.sites(table(spark, sf_dir, "documents")), labels).drop("row")
+    return quality.assess(quality.sites(table(spark, sf_dir, "documents")), labels).drop("t")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_url_filter": op2_url_filter,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_ann_search": op4_ann_search,
