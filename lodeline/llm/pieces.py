@@ -199,7 +199,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
     as they are; an empty table stays empty."""
     names = [c for c in docs.columns if c != ids]
     kept = docs.select(*[docs[f"`{c}`"] for c in names])
-    fields = kept.schema.add(ids, T.ArrayType(T.IntegerType()))
+    fields = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "token_ids", text: st
     does not have are an error."""
     names = [c for c in rows.columns if c != text]
     kept = rows.select(*[rows[f"`{c}`"] for c in names])
-    fields = kept.schema.add(text, T.StringType())
+    fields = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
     place = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
