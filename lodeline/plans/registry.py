@@ -1,10 +1,586 @@
-"""The queries over the test tables, each with the same query in SQL."""
+"""The queries over the test tables, each with the same query in SQL (DuckDB's dialect).
+
+Searches take every row whose id is divisible by 20 as a query, against all rows; a search for one
+vector takes vec_id 0. Items are the embeddings, chunks the documents, questions the benchmark's
+passages, answers the assistant's turns. Vectors of texts come from the offline hashing embedder.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeline.functions import text as tx
+from lodeline.functions.models import embed_column, hashing_embedder
+from lodeline.operators import fusion, graph, grounding, knn, lexical, manifold, quantize, semantic
+from lodeline.operators.rerank import rerank
+from lodeline.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), F.concat(F.lit("vec_"), "vec_id").alias("metadata"), F.col("label").cast("string").alias("category"), F.col("embedding").alias("emb"))
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return items(spark, sf_dir).where("id = 0").first()["emb"]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+
+
+def embedded(docs: DataFrame, text: str = "text") -> DataFrame:
+    return docs.withColumn("emb", embed_column(F.col(text), hashing_embedder))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
+def plain(c: Column) -> Column:
+    """Zero without sign."""
+    return F.when(c == 0, F.lit(0.0)).otherwise(c)
+
+
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("qid"), "emb")
+
+
+# ---- pieces of SQL --------------------------------------------------------------------------
+
+ITEMS = "items as (select vec_id as id, 'vec_' || vec_id as metadata, label::varchar as category, embedding::double[] as emb from embeddings)"
+Q0 = "q as (select emb as v from items where id = 0)"
+COS = "(1 - list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))))"
+EUC = "list_distance({a}, {b})"
+MAN = "list_sum(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))"
+
+
+def _near(dist: str, where: str = "true", k: int = 5) -> str:
+    return f"with {ITEMS}, {Q0}, d as (select id, metadata, category, {dist.format(a='emb', b='v')} as dist from items, q where {where}) select id, metadata, category, round(dist, 6) as dist from (select * from d order by dist, id limit {k})"
+
+
+STOP = "[" + ", ".join(f"'{w}'" for w in lexical.STOP_WORDS) + "]"
+
+
+def _tokens(c: str) -> str:
+    return f"list_filter(string_split_regex(lower({c}), '[^a-z0-9]+'), lambda w: length(w) > 1 and not list_contains({STOP}, w))"
+
+
+def _embed(table: str, key: str, text: str, name: str) -> str:
+    """CTE name(key, emb) of hashing vectors."""
+    return f"""
+    {name}_t as (select {key}, unnest({_tokens(text)}) as w from {table}),
+    {name}_b as (select {key}, ('0x' || substr(md5(w), 1, 8))::bigint % 64 as b, count(*)::double as n from {name}_t group by all),
+    {name}_g as (select {key}, map_from_entries(list((b, n))) as m from {name}_b group by {key}),
+    {name} as (select t.{key}, list_transform(range(64), lambda i: coalesce(g.m[i], 0.0)) as emb from {table} t left join {name}_g g using ({key}))"""
+
+
+DOCS = "docs as (select doc_id as id, source as title, text, source || ' ' || text as content from documents)"
+QUESTIONS = "qs as (select item_id as qid, text from benchmark)"
+
+
+def _bm25(k: int) -> str:
+    return f"""
+    tk as (select id, {_tokens('content')} as w from docs),
+    st as (select count(*) as n, avg(len(w)) as avgdl from tk),
+    tf as (select id, token, dl, count(*) as tf from (select id, len(w) as dl, unnest(w) as token from tk) group by all),
+    idf as (select token, ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1) as idf from tf, st group by token, n),
+    qt as (select qid, token, count(*) as times from (select qid, unnest({_tokens('text')}) as token from qs) group by all),
+    bs as (select qid, id, sum(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / greatest(avgdl, 1))))) as score
+           from tf join idf using (token) join qt using (token), st group by all),
+    bm as (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from bs qualify rank <= {k})"""
+
+
+def _hybrid(k: int, legs: int) -> str:
+    dist = COS.format(a="d.emb", b="q.emb")
+    zero = "(sqrt(list_dot_product(d.emb, d.emb)) < 1e-9 or sqrt(list_dot_product(q.emb, q.emb)) < 1e-9)"
+    return f"""{DOCS}, {QUESTIONS}, {_embed('docs', 'id', 'text', 'de')}, {_embed('qs', 'qid', 'text', 'qe')}, {_bm25(legs)},
+    vd as (select q.qid, d.id, case when {zero} then 1.0 else {dist} end as dist from de d, qe q),
+    vr as (select *, row_number() over (partition by qid order by round(dist, 12), id) as rank from vd qualify rank <= {legs}),
+    rrf as (select coalesce(v.qid, b.qid) as qid, coalesce(v.id, b.id) as id, coalesce(1.0::double / (60 + v.rank), 0) + coalesce(1.0::double / (60 + b.rank), 0) as score, v.rank as vr, b.rank as br
+            from vr v full join bm b on v.qid = b.qid and v.id = b.id),
+    hy as (select qid, id, score, row_number() over (partition by qid order by score desc, vr nulls last, br nulls last) as rank from rrf qualify rank <= {k})"""
+
+
+def _strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def _glue(pieces: str, least: int) -> str:
+    """CTEs from pieces(id, p list) to sentences(id, sentences list)."""
+    return f"""
+    px as (select id, unnest(p) as s, generate_subscripts(p, 1) as i from {pieces}),
+    ph as (select *, sum(case when i = 1 or len(list_filter(string_split_regex(s, '\\s+'), lambda w: w <> '')) >= {least} then 1 else 0 end) over (partition by id order by i) as g from px),
+    sj as (select id, g, string_agg(s, ' ' order by i) as sentence from ph group by id, g)"""
+
+
+def _chunk_sentences(table: str) -> str:
+    t = _strip("coalesce(text, '')")
+    t = rf"regexp_replace({t}, '\r\n|\r', chr(10), 'g')"
+    for a in tx.ABBREVIATIONS:
+        parts = a.rstrip(".").split(".")
+        found, put = r"\.".join(f"({p})" for p in parts) + r"\.", "".join(f"\\{i + 1}@@DOT@@" for i in range(len(parts)))
+        t = f"regexp_replace({t}, '{found}', '{put}', 'gi')"
+    t = rf"regexp_replace({t}, '(\d+)\.(\d+)', '\1@@DOT@@\2', 'g')"
+    cut = rf"string_split(regexp_replace({t}, '([.!?])\s+|\n+', '\1' || chr(1), 'g'), chr(1))"
+    whole = _strip("""replace(x, '@@DOT@@', '.')""")
+    piece = f"list_filter(list_transform({cut}, lambda x: {whole}), lambda x: x <> '')"
+    return f"pc as (select id, {piece} as p from {table}), {_glue('pc', 2)}"
+
+
+def _claim_sentences(table: str, name: str = "") -> str:
+    t = _strip("coalesce(text, '')")
+    cut = rf"""string_split(regexp_replace({t}, '([.!?])\s+([A-Z0-9"''(\[])|([.!?])\n+', '\1\3' || chr(1) || '\2', 'g'), chr(1))"""
+    piece = f"list_filter(list_transform({cut}, lambda x: {_strip('x')}), lambda x: x <> '')"
+    body = f"pc as (select id, {piece} as p from {table}), {_glue('pc', 3)}"
+    for c in ("pc", "px", "ph", "sj"):
+        body = body.replace(f"{c} as", f"{name}{c} as").replace(f"from {c}", f"from {name}{c}")
+    return body
+
+
+# ---- nearest neighbours ---------------------------------------------------------------------
+
+
+@query(_near(COS))
+def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.hits(knn.search(items(spark, sf_dir), first_vector(spark, sf_dir), 5, "cosine", "bruteforce"))
+
+
+@query(_near(EUC))
+def knn_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.hits(knn.search(items(spark, sf_dir), first_vector(spark, sf_dir), 5, "euclidean", "bruteforce"))
+
+
+@query(_near(MAN))
+def knn_manhattan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.hits(knn.search(items(spark, sf_dir), first_vector(spark, sf_dir), 5, "manhattan", "bruteforce"))
+
+
+@query(_near(EUC))
+def kdtree_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.hits(knn.search(items(spark, sf_dir), first_vector(spark, sf_dir), 5, "no such metric", "kdtree"))
+
+
+@query(_near(COS, k=10))
+def hnsw_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.hits(knn.search(items(spark, sf_dir), first_vector(spark, sf_dir), 10, None, "hnsw"))
+
+
+@query(
+    f"""with {ITEMS}, d as (select q.id as qid, i.id, {COS.format(a='i.emb', b='q.emb')} as dist from items i, items q where q.id % 20 = 0)
+    select qid, id, case when round(dist, 6) = 0 then 0.0 else round(dist, 6) end as dist, rank from (select *, row_number() over (partition by qid order by round(dist, 12), id) as rank from d) where rank <= 5"""
+)
+def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knn.search_batch(asked_vectors(spark, sf_dir), items(spark, sf_dir), 5)
+    return found.select("qid", "id", plain(F.round("dist", 6)).alias("dist"), "rank")
+
+
+@query(f"with f as ({_near(COS, k=25)}) select * from f where category = '3' order by dist, id limit 5")
+def knn_filter_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.hits(knn.search_filtered(items(spark, sf_dir), first_vector(spark, sf_dir), 5, category=" 3 "))
+
+
+@query(_near(COS, "category = '3'"))
+def knn_filter_pre(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.hits(knn.search_filtered(items(spark, sf_dir), first_vector(spark, sf_dir), 5, category="3", push_down=True))
+
+
+@query(
+    f"""with {ITEMS}, {Q0}, d as (
+      select 'cosine' as metric, id, metadata, round({COS.format(a='emb', b='v')}, 5) as dist from items, q
+      union all select 'euclidean', id, metadata, round({EUC.format(a='emb', b='v')}, 5) from items, q
+      union all select 'manhattan', id, metadata, round({MAN.format(a='emb', b='v')}, 5) from items, q)
+    select * from (select *, row_number() over (partition by metric order by dist, id) as rank from d) where rank <= 5"""
+)
+def metric_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.compare_metrics(items(spark, sf_dir), first_vector(spark, sf_dir), 5)
+
+
+@query("select distinct label::varchar as category from embeddings order by 1")
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.categories(items(spark, sf_dir))
+
+
+@query("select vec_id as id, 'vec_' || vec_id as metadata, label::varchar as category, len(embedding)::bigint as dims from embeddings order by vec_id")
+def items_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.listed(items(spark, sf_dir)).select("id", "metadata", "category", F.size("emb").cast("long").alias("dims"))
+
+
+@query()
+def benchmark_algos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.benchmark(items(spark, sf_dir), first_vector(spark, sf_dir))
+
+
+@query(
+    "select min(id)::bigint as first_id, max(id)::bigint as last_id, count(*) as n, count(distinct id) as ids from "
+    "(select vec_id as id from embeddings where vec_id % 7 <> 0 union all select (select max(vec_id) from embeddings where vec_id % 7 <> 0) + row_number() over () from embeddings)"
+)
+def insert_delete_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = items(spark, sf_dir)
+    left = store.delete(every, every.where("id % 7 = 0"))
+    return store.insert(left, every, 64).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+# ---- quantisation ---------------------------------------------------------------------------
+
+SQ8 = "p as (select min(list_min(embedding))::float as lowest, ((max(list_max(embedding))::float - min(list_min(embedding))::float)::float::double / 255)::float as scale from embeddings)"
+CODE = "list_transform(embedding, lambda x: greatest(least(round_even(((x - lowest)::float::double / scale)::float::double, 0) - 128, 127), -128)::bigint)"
+
+
+@query(f"with {SQ8} select lowest::double as lowest, scale::double as scale from p")
+def sq8_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.parameters(items(spark, sf_dir)).select(F.col("lowest").cast("double").alias("lowest"), F.col("scale").cast("double").alias("scale"))
+
+
+@query(f"with {SQ8} select vec_id as id, generate_subscripts({CODE}, 1)::bigint - 1 as pos, unnest({CODE}) as code from embeddings, p")
+def sq8_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantize.encode(items(spark, sf_dir)).select("id", F.posexplode("code").alias("pos", "code"))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), F.col("code").cast("long").alias("code"))
+
+
+@query(f"with {SQ8}, c as (select vec_id as id, {CODE} as code, lowest, scale from embeddings, p) select id, generate_subscripts(code, 1)::bigint - 1 as pos, round(unnest(list_transform(code, lambda c: (c + 128)::double * scale::double + lowest::double)), 6) as value from c")
+def sq8_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quantize.encode(items(spark, sf_dir))
+    rows = rows.select("id", F.posexplode(quantize.decode(F.col("code"), F.col("scale"), F.col("lowest"))).alias("pos", "value"))
+    return rows.select("id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
+
+
+@query(
+    f"""with {SQ8}, c as (select vec_id as id, embedding::double[] as emb, list_transform({CODE}, lambda c: (c + 128)::double * scale::double + lowest::double) as r from embeddings, p),
+    q as (select emb as v from c where id = 0),
+    d as (select id, 1 - list_dot_product(r, v) / ((sqrt(list_dot_product(r, r)) + 1e-9) * (sqrt(list_dot_product(v, v)) + 1e-9)) as dist from c, q)
+    select id, round(dist, 6) as dist from (select * from d order by dist, id limit 5)"""
+)
+def sq8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.search(items(spark, sf_dir), first_vector(spark, sf_dir), 5).select("id", F.round("dist", 6).alias("dist"))
+
+
+@query(
+    f"""with {SQ8} select count(*) as count, max(len(embedding))::bigint as dims, (count(*) * max(len(embedding)) * 4)::bigint as float32_bytes, (count(*) * max(len(embedding)))::bigint as int8_bytes,
+    (count(*) * max(len(embedding)) * 3)::bigint as saved_bytes, 4.0::double as compression_ratio, round(any_value(scale)::double, 8) as scale, round(any_value(lowest)::double, 8) as zero_point from embeddings, p"""
+)
+def sq8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.stats(items(spark, sf_dir))
+
+
+# ---- lexical and hybrid search --------------------------------------------------------------
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("id", lexical.indexed_text().alias("content"))
+
+
+@query(f"with {DOCS} select id, token, count(*) as tf, dl from (select id, len({_tokens('content')})::bigint as dl, unnest({_tokens('content')}) as token from docs) group by id, token, dl")
+def bm25_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.term_counts(contents(spark, sf_dir)).select("id", "token", "tf", "dl")
+
+
+@query(f"with {DOCS}, t as (select len({_tokens('content')}) as n from docs) select count(*) as doc_count, sum(n)::bigint as token_count, round(avg(n), 6) as avgdl from t")
+def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.corpus(contents(spark, sf_dir)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query(f"with {DOCS}, t as (select distinct id, unnest({_tokens('content')}) as token from docs), n as (select count(*) as n from docs) select token, count(*) as df, round(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) as idf from t, n group by token")
+def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = contents(spark, sf_dir)
+    return lexical.idf(lexical.term_counts(docs), lexical.corpus(docs)).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"with {DOCS}, {QUESTIONS}, {_bm25(10)} select qid, id, round(score, 6) as score, rank from bm")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.score(questions(spark, sf_dir), contents(spark, sf_dir), 10)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"with {_hybrid(3, 12)} select qid, id, round(score, 6) as score, rank from hy")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fusion.hybrid(embedded(questions(spark, sf_dir)), embedded(documents(spark, sf_dir)), 3)
+    return found.select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""with {DOCS}, {QUESTIONS}, {_embed('docs', 'id', 'text', 'de')}, {_embed('qs', 'qid', 'text', 'qe')},
+    d as (select q.qid, d.id, {COS.format(a='d.emb', b='q.emb')} as dist from de d, qe q where list_sum(d.emb) > 0 and list_sum(q.emb) > 0),
+    r as (select *, row_number() over (partition by qid order by round(dist, 12), id) as rank from d)
+    select qid, id, case when round(dist, 6) = 0 then 0.0 else round(dist, 6) end as dist, rank from r where rank <= 3 and dist <= 0.9"""
+)
+def doc_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fusion.vector_hits(embedded(questions(spark, sf_dir)), embedded(documents(spark, sf_dir)), 3)
+    return found.select("qid", "id", plain(F.round("dist", 6)).alias("dist"), "rank")
+
+
+# ---- texts ----------------------------------------------------------------------------------
+
+WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '')"
+
+
+@query(
+    f"""with w as (select doc_id as id, text, {WORDS} as w from documents),
+    c as (select id, case when len(w) = 0 then [] when len(w) <= 250 then [text]
+      else list_transform(range(0, (ceil((len(w) - 250) / 220.0) + 1)::bigint), lambda i: array_to_string(w[i * 220 + 1 : i * 220 + 250], ' ')) end as c from w)
+    select id, generate_subscripts(c, 1)::bigint - 1 as place, unnest(c) as chunk from c"""
+)
+def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tx.fixed_chunks(documents(spark, sf_dir)).select("id", F.posexplode("chunks").alias("place", "chunk"))
+    return rows.withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"select doc_id as id, source as title, text[:120] || case when length(text) > 120 then '…' else '' end as preview, len({WORDS})::bigint as words from documents")
+def doc_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("id", "title", tx.preview(F.col("text"), 120).alias("preview"), tx.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query(f"with {DOCS}, {_chunk_sentences('docs')} select id, (g - 1)::bigint as place, sentence from sj")
+def sentences_chunker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tx.sentences(documents(spark, sf_dir)).select("id", F.posexplode("sentences").alias("place", "sentence"))
+    return rows.withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"with {DOCS}, {_claim_sentences('docs')} select id, (g - 1)::bigint as place, sentence from sj")
+def sentences_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tx.claims(documents(spark, sf_dir)).select("id", F.posexplode("sentences").alias("place", "sentence"))
+    return rows.withColumn("place", F.col("place").cast("long"))
+
+
+_CURVE = f"""{DOCS}, {_chunk_sentences('docs')}, sk as (select id * 100000 + g as key, id, g, sentence from sj), {_embed('sk', 'key', 'sentence', 'se')},
+    sv as (select sk.id, sk.g, se.emb, lead(se.emb) over (partition by sk.id order by sk.g) as nxt from sk join se using (key)),
+    cv as (select id, (g - 1)::bigint as place, round(case when list_sum(emb) = 0 or list_sum(nxt) = 0 then 1.0 else 1 - greatest(least(list_dot_product(emb, nxt) / (sqrt(list_dot_product(emb, emb)) * sqrt(list_dot_product(nxt, nxt))), 1), -1) end, 4) as dist
+           from sv where nxt is not null)"""
+
+
+@query(f"with {_CURVE} select * from cv")
+def distance_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = semantic.semantic_preview(documents(spark, sf_dir)).select("id", F.posexplode("distances").alias("place", "dist"))
+    return rows.withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"with {_CURVE}, o as (select id, list_sort(list(dist)) as d from cv group by id) select id, d[least(len(d) * 75 // 100, len(d) - 1) + 1] as threshold, len(d)::bigint as n from o")
+def split_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = semantic.semantic_preview(documents(spark, sf_dir))
+    return rows.where(F.size("distances") > 0).select("id", "threshold", F.size("distances").cast("long").alias("n"))
+
+
+@query()
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.semantic_chunks(documents(spark, sf_dir))
+
+
+@query()
+def semantic_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = semantic.semantic_preview(documents(spark, sf_dir))
+    return rows.select("id", "threshold", "sentence_count", "chunk_count", F.inline("chunks"))
+
+
+# ---- re-ranking and generation --------------------------------------------------------------
+
+_CROSS = r"""
+    cd as (select hy.qid, qs.text as query, docs.id, docs.title, docs.text, hy.rank as original_rank from hy join qs using (qid) join docs using (id)),
+    ck as (select *, list_filter(regexp_extract_all(lower(query), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1) as q, lower(title || ' ' || text) as doc, lower(title) as lt from cd),
+    cm as (select *, list_filter(q, lambda w: list_contains(regexp_extract_all(doc, '[\p{L}\p{N}_]+'), w)) as hit from ck),
+    cs as (select *, case when len(q) = 0 then 0.0 else round(least(1.0, len(hit) / len(q) * 0.4
+      + case when contains(doc, lower(query)) then 0.25 else 0.0 end
+      + case when len(q) >= 2 then len(list_filter(range(1, len(q)), lambda i: contains(doc, q[i] || ' ' || q[i + 1]))) / (len(q) - 1) * 0.2 else 0.0 end
+      + case when len(list_filter(q, lambda w: contains(lt, w))) > 0 then 0.15 else 0.0 end
+      + least(coalesce(list_sum(list_transform(hit, lambda w: least((length(doc) - length("replace"(doc, w, ''))) / length(w), 5))), 0) / (len(q) * 3 + 1), 0.2)), 4) end as rerank_score from cm)"""
+
+
+def candidates(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    asked, docs = questions(spark, sf_dir), documents(spark, sf_dir)
+    found = fusion.hybrid(embedded(asked), embedded(docs), n).withColumnRenamed("rank", "original_rank")
+    return found.join(asked.withColumnRenamed("text", "query"), "qid").join(docs, "id").select("qid", "query", "id", "title", "text", "original_rank")
+
+
+@query(f"with {_hybrid(10, 40)}, {_CROSS} select qid, id, original_rank, rerank_score from cs")
+def cross_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.cross_score(candidates(spark, sf_dir, 10), "rerank_score").select("qid", "id", "original_rank", "rerank_score")
+
+
+@query(f"with {_hybrid(10, 40)}, {_CROSS} select qid, id, original_rank, rerank_score, row_number() over (partition by qid order by rerank_score desc, original_rank) as new_rank from cs qualify new_rank <= 3")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rerank(candidates(spark, sf_dir, 10), k=3).select("qid", "id", "original_rank", "rerank_score", "new_rank")
+
+
+#: Turns as a model's replies: graded by their length where it is even, without grade otherwise.
+_REPLY = "case when length(text) % 2 = 0 then 'Reasoning: ' || text || chr(10) || 'score: ' || (length(text) % 130) / 10 else text end"
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    graded = F.concat(F.lit("Reasoning: "), "text", F.lit("\nscore: "), ((F.length("text") % 130) / 10).cast("string"))
+    return turns.select("conv_id", "turn", "text", F.when(F.length("text") % 2 == 0, graded).otherwise(F.col("text")).alias("reply"))
+
+
+@query(
+    rf"""with r as (select conv_id, turn, {_REPLY} as reply from conversations)
+    select conv_id, turn, round(least(greatest(coalesce(try_cast(nullif(regexp_extract(reply, '(?i)Score:\s*([0-9]+(?:\.[0-9]+)?)', 1), '') as double), 5.0), 0), 10) / 10, 4) as grade,
+    case when regexp_extract(reply, '(?i)Reasoning:\s*([^\n\r]+)', 1) <> '' then {_strip(r"regexp_extract(reply, '(?i)Reasoning:\s*([^\n\r]+)', 1)")}
+         when {_strip("split_part(reply, chr(10), 1)")} <> '' and not starts_with({_strip("split_part(reply, chr(10), 1)")}, 'Score') then {_strip("split_part(reply, chr(10), 1)")}
+         else 'Relevance assessed by LLM.' end as reason from r"""
+)
+def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replies(spark, sf_dir).select("conv_id", "turn", tx.grade(F.col("reply")).alias("grade"), tx.grade_reason(F.col("reply")).alias("reason"))
+
+
+@query(
+    rf"""with r as (select conv_id, turn, text, case turn % 4 when 0 then 'Sure!: ' || text when 1 then 'ERROR: ' || text when 2 then '  here is a paragraph: ' || text else '' end as reply from conversations)
+    select conv_id, turn, case when reply = '' or starts_with(reply, 'ERROR') or c = '' then text else c end as passage
+    from (select *, regexp_replace({_strip('reply')}, '^(Here is a paragraph|Sure!|Here''s an explanation):\s*', '', 'i') as c from r)"""
+)
+def hyde_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, n = read(spark, sf_dir, "conversations"), F.col("turn") % 4
+    reply = F.when(n == 0, F.concat(F.lit("Sure!: "), "text")).when(n == 1, F.concat(F.lit("ERROR: "), "text")).when(n == 2, F.concat(F.lit("  here is a paragraph: "), "text")).otherwise("")
+    return turns.select("conv_id", "turn", tx.passage(F.col("text"), reply).alias("passage"))
+
+
+_PROMPT = (
+    "You are a helpful and precise assistant. Answer the user''s question directly. Base your answer strictly on the provided context if relevant information is present. "
+    "If the context does not contain the answer, use your general knowledge. IMPORTANT: Do NOT say ''according to the text'' or ''the context mentions''. Just answer naturally."
+)
+
+
+@query(
+    f"""with {DOCS}, {QUESTIONS}, {_bm25(3)},
+    c as (select bm.qid, string_agg('[' || rank || '] ' || title || ':' || chr(10) || docs.text, chr(10) || chr(10) order by rank) as c from bm join docs using (id) group by qid)
+    select qs.qid, md5(case when c is null then 'Answer this question directly:' || chr(10) || qs.text || chr(10) || chr(10) || 'Answer:'
+      else '{_PROMPT}' || chr(10) || chr(10) || 'Context:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || qs.text || chr(10) || chr(10) || 'Answer:' end) as prompt_md5 from qs left join c using (qid)"""
+)
+def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, docs = questions(spark, sf_dir), documents(spark, sf_dir)
+    hits = lexical.score(asked, contents(spark, sf_dir), 3).join(docs, "id")
+    found = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "title", "text"))).alias("c"))
+    rows = asked.join(found, "qid", "left")
+    return rows.select("qid", F.md5(tx.answer_prompt(F.col("text"), F.col("c"))).alias("prompt_md5"))
+
+
+# ---- grounding ------------------------------------------------------------------------------
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every assistant's turn against the documents that its words find best."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    answers = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("aid"), F.col("text").alias("answer"))
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("passage").alias("title"), "text")
+    hits = lexical.score(answers.select(F.col("aid").alias("qid"), F.col("answer").alias("text")), passages.select("id", F.col("text").alias("content")), 2)
+    contexts = hits.join(passages, "id").select(F.col("qid").alias("aid"), F.col("rank").alias("place"), F.col("id").alias("doc_id"), "title", "text")
+    return grounding.match(answers, contexts)
+
+
+_GROUND = f"""
+    an as (select conv_id * 1000 + turn as id, text from conversations where role = 'assistant'),
+    ps as (select item_id as id, text from benchmark),
+    docs as (select id, '' as title, text, text as content from ps),
+    qs as (select id as qid, text from an), {_bm25(2)},
+    {_claim_sentences('an', 'a')}, {_claim_sentences('ps', 'p')},
+    ak as (select id * 1000 + g as key, id as aid, g, sentence from asj), {_embed('ak', 'key', 'sentence', 'ae')},
+    pk as (select id * 1000 + g as key, id, g, sentence from psj), {_embed('pk', 'key', 'sentence', 'pe')},
+    pr as (select ak.aid, ak.g as no, ak.sentence, pk.id as doc_id, pk.sentence as source, bm.rank as place, pk.g as pg,
+             case when list_sum(ae.emb) = 0 or list_sum(pe.emb) = 0 then 0.0 else greatest(least(list_dot_product(ae.emb, pe.emb) / (sqrt(list_dot_product(ae.emb, ae.emb)) * sqrt(list_dot_product(pe.emb, pe.emb))), 1), -1) end as sim
+           from ak join ae using (key) join bm on bm.qid = ak.aid join pk on pk.id = bm.id join pe on pe.key = pk.key),
+    tp as (select *, row_number() over (partition by aid, no order by round(sim, 12) desc, place, pg) as r, round(greatest(sim, 0), 4) as confidence from pr),
+    mt as (select aid, (no - 1)::bigint as sentence_no, sentence, doc_id as source_doc_id, source as source_sentence, place, confidence,
+             case when confidence >= 0.68 then 'grounded' when confidence >= 0.5 then 'partial' else 'ungrounded' end as status from tp where r = 1)"""
+
+
+@query(f"with {_GROUND} select aid, sentence_no, sentence, confidence, status from mt")
+def grounding_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(spark, sf_dir).select("aid", "sentence_no", "sentence", "confidence", "status")
+
+
+@query(
+    f"""with {_GROUND} select aid, count(*) as sentences, ((2 * sum(round(confidence * 10000)::bigint) + count(*)) // (2 * count(*)))::double / 10000 as overall_confidence,
+    round(count(*) filter (where status = 'grounded') / count(*) * 100, 1) as grounding_rate,
+    string_agg(sentence || case when status <> 'ungrounded' then ' [' || place || ']' else '' end, ' ' order by sentence_no) as annotated_answer from mt group by aid"""
+)
+def grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.report(matches(spark, sf_dir))
+
+
+# ---- space and graph ------------------------------------------------------------------------
+
+
+@query()
+def pca_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifold.pca_3d(items(spark, sf_dir)).select("id", "category", "x", "y", "z")
+
+
+@query(
+    """with p as (select label::varchar as category, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z from embeddings),
+    m as (select category, avg(x) as mx, avg(y) as my, avg(z) as mz from p group by category),
+    d as (select p.category, mx, my, mz, (x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2 as s from p join m using (category))
+    select category, round(any_value(mx), 4) as cx, round(any_value(my), 4) as cy, round(any_value(mz), 4) as cz, round(sqrt(max(s)), 4) as radius, round(avg(s), 4) as variance, count(*) as count from d group by category"""
+)
+def cluster_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lambda i: F.get("emb", F.lit(i)).cast("double")
+    return manifold.clusters(items(spark, sf_dir).select("category", own(0).alias("x"), own(1).alias("y"), own(2).alias("z")))
+
+
+@query()
+def hnsw_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.node_levels(items(spark, sf_dir)).select("id", "max_layer")
+
+
+@query()
+def hnsw_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = items(spark, sf_dir)
+    return graph.topology(graph.node_levels(rows), graph.build(rows))
+
+
+@query()
+def hnsw_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.trace(items(spark, sf_dir), asked_vectors(spark, sf_dir).where("qid = 0"), 5, 50).drop("shard")
+
+
+@query()
+def hnsw_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.search(items(spark, sf_dir), asked_vectors(spark, sf_dir), 5, 50)
+
+
+@query("select vec_id as id, 'vec_' || vec_id as metadata, label::varchar as category, round(list_sum(embedding::double[]), 4) as total from embeddings")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _scratch(spark, "snapshot")
+    store.save(items(spark, sf_dir).withColumn("emb", F.col("emb").cast("array<double>")), path)
+    total = F.aggregate("emb", F.lit(0.0), lambda a, x: a + x)
+    return store.load(spark, path).select("id", "metadata", "category", F.round(total, 4).alias("total"))
+
+
+@query("select count(*) as n, max(id)::bigint as last_id from (select i as id from range(1, 21) t(i) union all select 20 + row_number() over () from embeddings)")
+def restore_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = store.seed_items(spark)
+    snapshot = items(spark, sf_dir).withColumn("emb", F.col("emb").cast("array<double>")).unionByName(seed)
+    return store.restore(seed, snapshot).agg(F.count("*").alias("n"), F.max("id").alias("last_id"))
+
+
+@query("select (select count(*) from embeddings) as count, (select count(*) from documents) as chunks, (select count(distinct label) from embeddings) as categories")
+def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = items(spark, sf_dir).agg(F.count("*").alias("count"), F.count_distinct("category").alias("categories"))
+    return counted.crossJoin(documents(spark, sf_dir).agg(F.count("*").alias("chunks"))).select("count", "chunks", "categories")  # one row each
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="lodeline-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
