@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,10 +38,16 @@ def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     """df written as Parquet into the shared folder and read again.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, never the stages before,
-    and what several consumers need is computed once."""
+    and what several consumers need is computed once. The shuffle files behind it are of no more
+    use, and Spark deletes them once the driver has collected its garbage; so it does that here."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, name)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    for _ in range(2):  # Python's references reach the JVM a little later
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+    return out
 
 
 def release(spark: SparkSession) -> None:

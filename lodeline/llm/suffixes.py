@@ -15,7 +15,6 @@ hash, so that no block grows with the anchor.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from lodeline.llm import shingles
 from lodeline.llm.shared import staged
 
-WINDOW, GRAM = 100, 40
+WINDOW, GRAM = 100, 24
 #: Bytes of text that are hashed at a time; longer documents are cut, with WINDOW - 1 bytes in common.
 PIECE = 1 << 20
 #: Bytes of segments in a block, about, and distinct segments from which an anchor is cut up.
@@ -224,14 +223,6 @@ def first_windows(parts: list[bytes], count: np.ndarray, rank: np.ndarray, start
 _PLACE = ["doc_id", "t"]
 
 
-def _settle(df: DataFrame, name: str) -> DataFrame:
-    """Staged, and then the shuffle files behind it may go."""
-    out = staged(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
-
-
 def _same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     renamed = right.withColumnsRenamed({"doc_id": "right_id", "t": "right_t"})
     return left.join(renamed, F.col("doc_id").eqNullSafe(F.col("right_id")) & (F.col("t") == F.col("right_t")), how).drop("right_id", "right_t")
@@ -253,12 +244,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("t", F.hash("text"))
     found = lambda: anchors(docs.where(F.octet_length("text") >= window), window, gram)
     often = found().select("h").groupBy("h").agg(F.count("*").alias("places")).where("places > 1").select("h")
-    often = _settle(often, "frequent-anchors")
-    places = _settle(found().join(often, "h"), "places")
+    often = staged(often, "frequent-anchors")
+    places = staged(found().join(often, "h"), "places")
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "start")
     distinct = places.groupBy("h", "g").agg(F.min(place).alias("p"), F.first("windows").alias("windows"))
-    distinct = _settle(distinct.select("h", "g", "p.doc_id", "p.t", "p.start", "windows"), "segments")
+    distinct = staged(distinct.select("h", "g", "p.doc_id", "p.t", "p.start", "windows"), "segments")
     crowded = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > cut).select("h", F.lit(True).alias("crowded"))
     total = distinct.agg(F.sum(F.col("windows") + window)).first()[0] or 0
     blocks = max(1, -(-total // block))
@@ -308,7 +299,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
         rows = pa.array(segment[first])
         return pa.table({"doc_id": t["doc_id"].take(rows), "t": t["t"].take(rows), "start": start[segment[first]] + window_number[first], "windows": pa.array(-count, pa.int32())})
 
-    kept = _settle(taken.groupBy("block").applyInArrow(keep, "doc_id long, t int, start long, windows int"), "first-windows")
+    kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t int, start long, windows int"), "first-windows")
     marks = places.select(*_PLACE, "start", "windows").unionByName(kept).groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
