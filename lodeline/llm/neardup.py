@@ -15,6 +15,7 @@ left out: links inside one need not be found twice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,13 +27,14 @@ from lodeline.llm import shingles
 from lodeline.llm.components import components
 from lodeline.llm.shared import staged
 
-#: Values that a sketch retains, and how many two sketches of similar sets share at least: fewer
-#: than half of 64 at a similarity of 0.8 happens to less than one pair in ten million.
-K, SHARED = 64, 32
+#: Values that a sketch retains.
+K = 64
 #: Rounds with leaders before what is left meets pairwise.
 ROUNDS = 3
 #: Longs of a sketch's bitmap.
-BITMAP = 4
+BITMAP = 16
+#: A link is lost with less than this probability by what sketches of its sets have to share.
+LOST = 1e-8
 
 
 def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
@@ -79,43 +81,76 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "d1 long, d2 long, n long, items array<long>")
 
 
-def least_shared(n: Column, percent: int, k: int = K, shared: int = SHARED) -> Column:
+def _surely(percent: int, ratio: float, k: int) -> int:
+    """How many values two full sketches of similar sets share, but for LOST, if the smaller set is
+    at least ratio of the larger: the larger one's share in the intersection is then p at least."""
+    p = percent / (100 + percent) * (1 + ratio)
+    below, m = 0.0, 0
+    while (below := below + math.comb(k, m) * p**m * (1 - p) ** (k - m)) < LOST:
+        m += 1
+    return m
+
+
+def least_shared(n: Column, percent: int, k: int = K) -> Column:
     """How many values the sketch of a set of n shares with a similar set's, at least. Sets small
     enough that a similar one's sketch is its whole set share percent % of theirs for certain."""
-    return F.when(n * 100 <= k * percent, F.ceil(n * percent / 100)).otherwise(F.lit(shared))
+    return F.when(n * 100 <= k * percent, F.ceil(n * percent / 100)).otherwise(F.lit(_surely(percent, percent / 100, k)))
 
 
 def _retained(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """node, n, bits, v: the values by which each class enters the inverted lists."""
+    """node, n, bits, common, v: the values by which each class enters the inverted lists, and how
+    many of its sketch's values other classes have too."""
     postings = classes.select("node", F.explode("sketch").alias("v"))
     lengths = postings.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
     listed = postings.join(lengths, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "v"))).alias("some"))  # k at most
     size = F.least("n", F.lit(k))
     enough = size - least_shared(F.col("n"), percent, k) + 1 - (size - F.size("some"))  # alone in its list: met by none
-    rows = listed.join(classes.select("node", "n", "bits"), "node").withColumn("some", F.slice("some", 1, F.greatest(enough, F.lit(0)).cast("int")))
-    return rows.select("node", "n", "bits", F.explode("some.v").alias("v"))
+    rows = listed.join(classes.select("node", "n", "bits"), "node").withColumn("common", F.size("some")).withColumn("some", F.slice("some", 1, F.greatest(enough, F.lit(0)).cast("int")))
+    return rows.select("node", "n", "bits", "common", F.explode("some.v").alias("v"))
 
 
 def _may_match(a: str, b: str, percent: int, k: int) -> Column:
     """Sizes, and a bound from the bitmaps: differing bits are differing values."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    least = F.greatest(least_shared(n, percent, k), least_shared(m, percent, k))
-    differ = sum((F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i)))) for i in range(1, BITMAP)), F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(0)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(0)))))
+    small, large = F.least(n, m), F.greatest(n, m)
+    full = F.lit(0)
+    for hundredths in range(percent, 100, 5):  # the nearer in size, the more in common
+        full = F.when(small * 100 >= large * hundredths, F.lit(_surely(percent, hundredths / 100, k))).otherwise(full)
+    full = F.when(small * 100 > k * percent, full).otherwise(F.lit(0))
+    least = F.greatest(least_shared(n, percent, k), least_shared(m, percent, k), full)
+    differ = F.lit(0)
+    for i in range(BITMAP):
+        differ = differ + F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i))))
     return sizes & (differ <= F.least(n, F.lit(k)) + F.least(m, F.lit(k)) - 2 * least)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, items: DataFrame, percent: int, k: int) -> DataFrame:
-    """pairs (a, b) that are similar: by the sketch of the union, then by the full sets."""
-    side = lambda df, c, col, name: df.select(F.col("node").alias(c), F.col(col).alias(name))
-    guess = pairs.join(side(classes, "a", "sketch", "sa"), "a").join(side(classes, "b", "sketch", "sb"), "b")
+def _side(df: DataFrame, end: str, column: str, name: str) -> DataFrame:
+    return df.select(F.col("node").alias(end), F.col(column).alias(name))
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
+    """pairs (a, b) that the sketch of the union lets pass."""
+    both = pairs.join(_side(classes, "a", "sketch", "sa"), "a").join(_side(classes, "b", "sketch", "sb"), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
-    guess = guess.withColumns({"union": union, "both": F.array_intersect("sa", "sb")})
-    likely = F.size(F.array_intersect("union", "both")) * K >= F.size("union") * SHARED
-    likely = staged(guess.where(likely).select("a", "b"), "likely")
-    full = likely.join(side(items, "a", "items", "ia"), "a").join(side(items, "b", "items", "ib"), "b")
-    both = F.size(F.array_intersect("ia", "ib"))
-    return full.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both"))).select("a", "b")
+    both = both.withColumns({"union": union, "both": F.array_intersect("sa", "sb")})
+    shared = _surely(percent, percent / 100, k)
+    return both.where(F.size(F.array_intersect("union", "both")) * k >= F.size("union") * shared).select("a", "b")
+
+
+def _links(likely: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar."""
+    full = likely.join(_side(items, "a", "items", "ia"), "a").join(_side(items, "b", "items", "ib"), "b")
+    full = full.withColumn("both", F.size(F.array_intersect("ia", "ib")))
+    return full.where(100 * F.col("both") >= percent * (F.size("ia") + F.size("ib") - F.col("both"))).select("a", "b")
+
+
+def _whole_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """node, items of the nodes: from the document of the smallest doc_id of each."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", "first_doc", "d1", "d2", "n")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.col("text").cast("string"))
+    named = texts.join(wanted.where("first_doc is not null").select("first_doc"), "first_doc", "left_semi")
+    return full_sets(named.unionByName(texts.where("first_doc is null")), width).join(wanted.drop("first_doc"), ["d1", "d2", "n"]).select("node", "items")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, rounds: int = ROUNDS) -> DataFrame:
@@ -132,25 +167,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     are not looked at.
 
     Sets are compared as sets of 64-bit hashes."""
-    rows = staged(sketched(docs, width, k), "sketches")
     keys = ["d1", "d2", "n"]
-    grouped = rows.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
-    classes = staged(grouped, "classes").withColumn("node", F.monotonically_increasing_id())
-    classes = staged(classes, "nodes")
+    # the sketches are not kept for each document, only for each class: what is hashed twice is not stored
+    rows = staged(sketched(docs, width, k).select("doc_id", "t", *keys), "digests")
+    grouped = sketched(docs, width, k).where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     lists = staged(_retained(classes, percent, k), "lists")
     busy = lists.groupBy("v").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("v")
     lists = staged(lists.join(busy, "v"), "busy-lists")
-    met = lists.select("node").distinct().join(classes.select("node", "first_doc", *keys), "node")
-    met = staged(met, "met")
-    # whole sets of the classes that meet any other: from one document of each
-    named = met.select("first_doc").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_doc"), F.col("text").cast("string"))
-    texts = texts.join(named.where("first_doc is not null"), "first_doc", "left_semi").unionByName(texts.where("first_doc is null"))
-    found = full_sets(texts, width).join(met.select("node", *keys), keys).dropDuplicates(["node"]).select("node", "items")
-    items = staged(found, "sets")
-
-    member = staged(met.select("node", F.col("node").alias("component")), "members")
+    member = staged(lists.select("node").distinct().withColumn("component", F.col("node")), "members")
+    items = None
     for turn in range(rounds + 1):
         now = lists.join(member, "node")
         apart = now.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("v")
@@ -158,14 +185,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         if now.isEmpty():
             break
         if turn < rounds:
-            one = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "bits", "component"))
+            # what copies are made from shares most: it leads first, then others do
+            rank = -F.col("common") if turn < rounds - 1 else F.lit(0)
+            one = F.min(F.struct(rank.alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "bits", "component"))
             left = now.groupBy("v").agg(one.alias("one")).select("v", "one.*")
         else:
             left = now
         apart_now = F.col("x.component") != F.col("y.component") if turn < rounds else F.col("x.component") < F.col("y.component")
         pairs = left.alias("x").join(now.alias("y"), (F.col("x.v") == F.col("y.v")) & apart_now & _may_match("x", "y", percent, k))
         pairs = staged(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-        links = _verified(pairs, classes, items, percent, k)
+        likely = staged(_likely(pairs, classes, percent, k), "likely")
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = staged(ends if items is None else ends.join(items, "node", "left_anti"), "ends")
+        if not ends.isEmpty():
+            more = staged(_whole_sets(docs, ends, classes, width), "sets")
+            items = more if items is None else items.unionByName(more)
+        if items is None:
+            continue
+        links = _links(likely, items, percent)
         ends = links.join(member.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
         merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
