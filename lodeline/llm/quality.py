@@ -119,7 +119,7 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit
 
     judged = scored.withColumns({"h": site("host"), "p": site("path"), "p_doc": F.coalesce("p_doc", F.lit(p0))}).join(sites, ["h", "p"])
     odds = _logit(F.col("p_doc")) - _logit(F.lit(p0)) + _logit(F.col("p_path"))
-    return judged.withColumn("p_good", 1 / (1 + F.exp(-odds))).select("doc_id", "t", "host", "path", "p_doc", "p_host", "p_path", "p_good", (F.col("p_good") >= threshold).alias("keep"))
+    return judged.withColumn("p_good", 1 / (1 + F.exp(-odds))).select("doc_id", "t", "host", "path", "p_doc", "p_host", "p_path", "p_good", (F.round("p_good", 9) >= threshold).alias("keep"))
 
 
 def table_labels(labels: DataFrame) -> DataFrame:
