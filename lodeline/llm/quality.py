@@ -105,7 +105,7 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit
 
     # null-safe keys: a site is a string, and null is one of its own
     site = lambda c: F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c).cast("string"), F.lit("")))
-    paths = evidence.groupBy(site("host").alias("h"), site("path").alias("p")).agg(F.sum("y").alias("sum"), F.count("y").alias("n"))
+    paths = evidence.groupBy(site("host").alias("h"), site("path").alias("p")).agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("sum"), F.count("y").alias("n"))
     paths = staged(paths, "quality-paths")
     hosts = paths.groupBy("h").agg(F.sum("sum").alias("host_sum"), F.sum("n").alias("host_n"))
     corpus = hosts.agg((F.coalesce(F.sum("host_sum"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("host_n"), F.lit(0)) + 2))
