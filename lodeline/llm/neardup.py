@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class. A class's sketch is the k small
 set. Inverted lists of the values that sketches retain generate overlaps: two sets of the wanted
 similarity share many values, so each class only enters its rarest values into the lists, as many
 as are needed for two such sets to meet (values of one class alone need no list). What meets has
-to pass a bitmap bound, then the estimate from the sketch of the union, then the exact similarity
-of the full sets.
+to pass a bound from parity bits of the full sets, then the estimate from the sketch of the union,
+then the exact similarity of the full sets.
 
 No list is expanded into all its pairs: in each of a few rounds every list has one leader that the
 others are held against, and classes found linked drop out where they are all of a list. What is
@@ -31,16 +31,41 @@ from lodeline.llm.shared import staged
 K = 64
 #: Rounds with leaders before what is left meets pairwise.
 ROUNDS = 3
-#: Longs of a sketch's bitmap.
-BITMAP = 16
+#: Longs of a set's parity bits, in two halves.
+PARITY = 16
+#: Sets of up to this size have all their shingles in their parity bits; larger ones a half, a
+#: quarter and so on, by their hashes.
+WHOLE = 1023
 #: A link is lost with less than this probability by what sketches of its sets have to share.
 LOST = 1e-8
 
 
+def parity(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set its level, and its parity bits: how often, modulo 2, shingles hit each bit.
+
+    Bits that differ between two sets are shingles that only one of them has, so they bound the
+    symmetric difference from below. At level x only shingles count whose hash ends in x zero bits;
+    the first half holds those with one more zero bit, the second half the others, at the same
+    places, so that both halves together are comparable to the first half one level below."""
+    n = np.diff(starts)
+    level = np.zeros(len(n), np.int32)
+    while (more := n >> level > WHOLE).any():
+        level[more] += 1
+    of = np.repeat(np.arange(len(n)), n)
+    h = shingles.mix(values.view(np.uint64), 7)
+    spot, mark = h & np.uint64(32 * PARITY - 1), h >> np.uint64(16)
+    step = np.uint64(1) << level[of].astype(np.uint64)
+    counts = mark & (step - np.uint64(1)) == 0
+    of, spot = of[counts], spot[counts].astype(np.int64) + 32 * PARITY * ((mark[counts] & step[counts]) != 0)
+    bits = np.zeros(len(n) * PARITY, np.uint64)
+    np.bitwise_xor.at(bits, of * PARITY + spot // 64, np.uint64(1) << (spot % 64).astype(np.uint64))
+    return level, bits.view(np.int64)
+
+
 def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     """docs (doc_id, text) -> doc_id, t (a hash of the text), n, d1, d2 (the set's size and digest),
-    sketch and bits."""
-    schema = "doc_id long, t long, n long, d1 long, d2 long, sketch array<long>, bits array<long>"
+    sketch, level and bits."""
+    schema = "doc_id long, t long, n long, d1 long, d2 long, sketch array<long>, level int, bits array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,9 +75,7 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
                 kept = np.minimum(n, k)
                 at = np.concatenate([[0], np.cumsum(kept)])
                 low = values[np.arange(at[-1]) - np.repeat(at[:-1], kept) + np.repeat(starts[:-1], kept)]
-                spot = (shingles.mix(low.view(np.uint64), 7) % np.uint64(64 * BITMAP)).astype(np.int64)
-                bits = np.zeros((j - i, BITMAP), np.uint64)
-                np.bitwise_or.at(bits, (np.repeat(np.arange(j - i), kept), spot // 64), np.uint64(1) << (spot % 64).astype(np.uint64))
+                level, bits = parity(values, starts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column("doc_id").slice(i, j - i),
@@ -61,9 +84,10 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
                         pa.array(d[0]),
                         pa.array(d[1]),
                         pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(low)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BITMAP, BITMAP), pa.int32()), pa.array(bits.view(np.int64).reshape(-1))),
+                        pa.array(level),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * PARITY, PARITY), pa.int32()), pa.array(bits)),
                     ],
-                    ["doc_id", "t", "n", "d1", "d2", "sketch", "bits"],
+                    ["doc_id", "t", "n", "d1", "d2", "sketch", "level", "bits"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("t")).mapInArrow(run, schema)
@@ -98,31 +122,40 @@ def least_shared(n: Column, percent: int, k: int = K) -> Column:
 
 
 def _retained(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """node, n, bits, common, v: the values by which each class enters the inverted lists, and how
+    """node, n, level, bits, common, v: the values by which each class enters the inverted lists, and how
     many of its sketch's values other classes have too."""
     postings = classes.select("node", F.explode("sketch").alias("v"))
     lengths = postings.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
     listed = postings.join(lengths, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "v"))).alias("some"))  # k at most
     size = F.least("n", F.lit(k))
     enough = size - least_shared(F.col("n"), percent, k) + 1 - (size - F.size("some"))  # alone in its list: met by none
-    rows = listed.join(classes.select("node", "n", "bits"), "node").withColumn("common", F.size("some")).withColumn("some", F.slice("some", 1, F.greatest(enough, F.lit(0)).cast("int")))
-    return rows.select("node", "n", "bits", "common", F.explode("some.v").alias("v"))
-
-
-def _may_match(a: str, b: str, percent: int, k: int) -> Column:
-    """Sizes, and a bound from the bitmaps: differing bits are differing values."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    small, large = F.least(n, m), F.greatest(n, m)
-    full = F.lit(0)
-    for hundredths in range(percent, 100, 5):  # the nearer in size, the more in common
-        full = F.when(small * 100 >= large * hundredths, F.lit(_surely(percent, hundredths / 100, k))).otherwise(full)
-    full = F.when(small * 100 > k * percent, full).otherwise(F.lit(0))
-    least = F.greatest(least_shared(n, percent, k), least_shared(m, percent, k), full)
+    rows = listed.join(classes.select("node", "n", "level", "bits"), "node").withColumn("common", F.size("some")).withColumn("some", F.slice("some", 1, F.greatest(enough, F.lit(0)).cast("int")))
+    return rows.select("node", "n", "level", "bits", "common", F.explode("some.v").alias("v"))
+
+
+def _flat(lists: DataFrame) -> DataFrame:
+    """lists with a column for each long of bits: code for arrays gets too long to be compiled."""
+    names = [f"p{w}" for w in range(PARITY)]
+    rows = lists.withColumns({p: F.get("bits", F.lit(w)) for w, p in enumerate(names)} | {"level": F.col("level").cast("long")}).drop("bits")
+    return rows.where(" and ".join(f"{c} is not null" for c in ("n", "level", "component", *names)))
+
+
+def _may_match(a: str, b: str, percent: int) -> Column:
+    """Sizes, and a bound from the parity bits. Sets of level 0 that are similar always pass; of
+    larger ones a link is lost with less than the probability LOST (Bernstein's inequality)."""
+    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.level"), F.col(f"{b}.level")
+    # masks: of the set that is a level above the other both halves count as one, at equal levels each for itself
+    above, below, same = F.shiftright(j - i, 63), F.shiftright(i - j, 63), (i == j).cast("long") * -1
     differ = F.lit(0)
-    for i in range(BITMAP):
-        differ = differ + F.bit_count(F.get(F.col(f"{a}.bits"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{b}.bits"), F.lit(i))))
-    return sizes & (differ <= F.least(n, F.lit(k)) + F.least(m, F.lit(k)) - 2 * least)
+    for w in range(PARITY // 2):
+        (x, xx), (y, yy) = ((F.col(f"{end}.p{w}"), F.col(f"{end}.p{w + PARITY // 2}")) for end in (a, b))
+        one = x.bitwiseXOR(y).bitwiseXOR(xx.bitwiseAND(above)).bitwiseXOR(yy.bitwiseAND(below))
+        differ = differ + F.bit_count(one) + F.bit_count(xx.bitwiseXOR(yy).bitwiseAND(same))
+    level, ln = F.greatest(i, j), -math.log(LOST)
+    most = (n + m) * ((100 - percent) / (100 + percent)) + 0.001
+    some = most / F.pow(F.lit(2.0), level)
+    most = F.when(level == 0, most).otherwise(some + ln / 3 + F.sqrt(ln * ln / 9 + 2 * ln * some))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & ((F.abs(i - j) > 1) | (differ <= most))
 
 
 def _side(df: DataFrame, end: str, column: str, name: str) -> DataFrame:
@@ -170,7 +203,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     keys = ["d1", "d2", "n"]
     # the sketches are not kept for each document, only for each class: what is hashed twice is not stored
     rows = staged(sketched(docs, width, k).select("doc_id", "t", *keys), "digests")
-    grouped = sketched(docs, width, k).where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits"))
+    grouped = sketched(docs, width, k).where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("level").alias("level"), F.first("bits").alias("bits"))
     classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     lists = staged(_retained(classes, percent, k), "lists")
@@ -187,12 +220,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         if turn < rounds:
             # what copies are made from shares most: it leads first, then others do
             rank = -F.col("common") if turn < rounds - 1 else F.lit(0)
-            one = F.min(F.struct(rank.alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "bits", "component"))
+            one = F.min(F.struct(rank.alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "level", "bits", "component"))
             left = now.groupBy("v").agg(one.alias("one")).select("v", "one.*")
         else:
             left = now
         apart_now = F.col("x.component") != F.col("y.component") if turn < rounds else F.col("x.component") < F.col("y.component")
-        pairs = left.alias("x").join(now.alias("y"), (F.col("x.v") == F.col("y.v")) & apart_now & _may_match("x", "y", percent, k))
+        pairs = _flat(left).alias("x").join(_flat(now).alias("y"), (F.col("x.v") == F.col("y.v")) & apart_now & _may_match("x", "y", percent))
         pairs = staged(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
         likely = staged(_likely(pairs, classes, percent, k), "likely")
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()

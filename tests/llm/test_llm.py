@@ -558,3 +558,22 @@ def test_probability_of_a_lost_link():
     assert lost(0.8, need) < neardup.LOST <= lost(0.8, need + 1)
     assert need < neardup._surely(80, 0.95, k) < k
     assert lost(0.8 / 1.8 * 1.95, neardup._surely(80, 0.95, k)) < neardup.LOST
+
+
+@pytest.mark.parametrize("size", [5, 300, 1000, 1023, 1100, 5000])
+def test_parity_bits_bound_the_symmetric_difference(size):
+    rng = np.random.default_rng(size)
+    a = rng.integers(-(2**62), 2**62, size)
+    for changed in (0, 1, size // 10, size // 2):
+        b = np.concatenate([a[changed:], rng.integers(-(2**62), 2**62, changed + size // 50)])
+        (i, j), bits = neardup.parity(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        x, y = bits.reshape(2, neardup.PARITY)
+        half = neardup.PARITY // 2
+        if i < j:
+            x, y = x[:half], y[:half] ^ y[half:]
+        seen = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        shift = int(max(i, j))
+        apart = 2 * changed + size // 50
+        assert i == (size > neardup.WHOLE) + (size > 2 * neardup.WHOLE + 1) + (size > 4 * neardup.WHOLE + 3)
+        assert seen <= apart if shift == 0 else seen <= apart / 2**shift + 6 * (apart / 2**shift) ** 0.5 + 6
+        assert (seen - apart) % 2 == 0 or shift
