@@ -122,33 +122,33 @@ def least_shared(n: Column, percent: int, k: int = K) -> Column:
 
 
 def _retained(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """node, n, level, bits, common, v: the values by which each class enters the inverted lists, and how
-    many of its sketch's values other classes have too."""
+    """node, common, v: the values by which each class enters the inverted lists, and how many of its
+    sketch's values other classes have too."""
     postings = classes.select("node", F.explode("sketch").alias("v"))
     lengths = postings.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
     listed = postings.join(lengths, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "v"))).alias("some"))  # k at most
     size = F.least("n", F.lit(k))
     enough = size - least_shared(F.col("n"), percent, k) + 1 - (size - F.size("some"))  # alone in its list: met by none
-    rows = listed.join(classes.select("node", "n", "level", "bits"), "node").withColumn("common", F.size("some")).withColumn("some", F.slice("some", 1, F.greatest(enough, F.lit(0)).cast("int")))
-    return rows.select("node", "n", "level", "bits", "common", F.explode("some.v").alias("v"))
+    rows = listed.join(classes.select("node", "n"), "node").withColumn("common", F.size("some")).withColumn("some", F.slice("some", 1, F.greatest(enough, F.lit(0)).cast("int")))
+    return rows.select("node", "common", F.explode("some.v").alias("v"))
 
 
-def _flat(lists: DataFrame) -> DataFrame:
-    """lists with a column for each long of bits: code for arrays gets too long to be compiled."""
-    names = [f"p{w}" for w in range(PARITY)]
-    rows = lists.withColumns({p: F.get("bits", F.lit(w)) for w, p in enumerate(names)} | {"level": F.col("level").cast("long")}).drop("bits")
-    return rows.where(" and ".join(f"{c} is not null" for c in ("n", "level", "component", *names)))
+def _bounds(classes: DataFrame, end: str) -> DataFrame:
+    """classes as end: what _may_match needs, with a column for each long of bits, since code for
+    arrays gets too long to be compiled."""
+    names = {f"p{w}_{end}": F.get("bits", F.lit(w)) for w in range(PARITY)} | {f"n_{end}": F.col("n"), f"level_{end}": F.col("level").cast("long")}
+    return classes.select(F.col("node").alias(end), *(c.alias(name) for name, c in names.items())).where(" and ".join(f"{name} is not null" for name in names))
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
     """Sizes, and a bound from the parity bits. Sets of level 0 that are similar always pass; of
     larger ones a link is lost with less than the probability LOST (Bernstein's inequality)."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.level"), F.col(f"{b}.level")
+    n, m, i, j = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"level_{a}"), F.col(f"level_{b}")
     # masks: of the set that is a level above the other both halves count as one, at equal levels each for itself
     above, below, same = F.shiftright(j - i, 63), F.shiftright(i - j, 63), (i == j).cast("long") * -1
     differ = F.lit(0)
     for w in range(PARITY // 2):
-        (x, xx), (y, yy) = ((F.col(f"{end}.p{w}"), F.col(f"{end}.p{w + PARITY // 2}")) for end in (a, b))
+        (x, xx), (y, yy) = ((F.col(f"p{w}_{end}"), F.col(f"p{w + PARITY // 2}_{end}")) for end in (a, b))
         one = x.bitwiseXOR(y).bitwiseXOR(xx.bitwiseAND(above)).bitwiseXOR(yy.bitwiseAND(below))
         differ = differ + F.bit_count(one) + F.bit_count(xx.bitwiseXOR(yy).bitwiseAND(same))
     level, ln = F.greatest(i, j), -math.log(LOST)
@@ -212,21 +212,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     member = staged(lists.select("node").distinct().withColumn("component", F.col("node")), "members")
     items = None
     for turn in range(rounds + 1):
+        # what copies are made from shares most: it leads first, then others do
+        rank = -F.col("common") if turn < rounds - 1 else F.lit(0)
         now = lists.join(member, "node")
-        apart = now.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("v")
-        now = staged(now.join(apart, "v"), "apart")
+        one = F.min(F.struct(rank.alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("lead"), F.col("component").alias("lead_component")))
+        apart = now.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most"), one.alias("one"))
+        now = staged(now.join(apart.where("least <> most").select("v", "one.lead", "one.lead_component"), "v"), "apart")
         if now.isEmpty():
             break
         if turn < rounds:
-            # what copies are made from shares most: it leads first, then others do
-            rank = -F.col("common") if turn < rounds - 1 else F.lit(0)
-            one = F.min(F.struct(rank.alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "level", "bits", "component"))
-            left = now.groupBy("v").agg(one.alias("one")).select("v", "one.*")
+            held = now.where("component <> lead_component").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+            pairs = held.join(_bounds(classes, "a"), "a").join(_bounds(classes, "b"), "b").where(_may_match("a", "b", percent)).select("a", "b")
+            # a leader has met all of its list
+            lists = now.where("node <> lead").select("node", "common", "v")
         else:
-            left = now
-        apart_now = F.col("x.component") != F.col("y.component") if turn < rounds else F.col("x.component") < F.col("y.component")
-        pairs = _flat(left).alias("x").join(_flat(now).alias("y"), (F.col("x.v") == F.col("y.v")) & apart_now & _may_match("x", "y", percent))
-        pairs = staged(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+            ours = now.groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("all"))  # k at most
+            left, right = (
+                now.select(F.col("node").alias(end), "v", F.col("component").alias(f"component_{end}")).join(_bounds(classes, end), end).join(ours.select(F.col("node").alias(end), F.col("all").alias(f"all_{end}")), end)
+                for end in ("a", "b")
+            )
+            # a pair is made in the first of its lists only
+            first = ~F.exists("all_a", lambda v: (v < F.col("v")) & F.array_contains("all_b", v))
+            pairs = left.join(right, "v").where((F.col("component_a") < F.col("component_b")) & _may_match("a", "b", percent) & first)
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = staged(pairs, "pairs")
         likely = staged(_likely(pairs, classes, percent, k), "likely")
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         ends = staged(ends if items is None else ends.join(items, "node", "left_anti"), "ends")
