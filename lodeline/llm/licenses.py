@@ -1,10 +1,11 @@
 """License scan: a positional index over rare words, in DataFrame functions only.
 
-Templates are short licence notices. Their words, with positions, are the postings. A file's
-licence words are looked up by inverse document frequency, the rarest first: the postings of the
-rarest ones, shifted by the place in the file, vote for (template, relative position). Where
-enough of them agree, the template's mandatory phrase has to stand inside the aligned stretch.
-The score is the share of the template's words that stand at their aligned places.
+Templates are short licence notices. Their words, with positions, are the postings. Each place of
+a template's mandatory phrase in a file gives a relative position; the postings, shifted by it, say
+where the template's other words have to stand. Of the words that do stand there, the rarest by
+document frequency vote, in each such stretch for itself, so that no other notice and no other word
+of the file takes a template's votes. The score is the share of the template's words that stand at
+their aligned places.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ TEMPLATES = {
     "epl": ("eclipse public license", "made available under the terms of the eclipse public license"),
     "unlicense": ("free and unencumbered software", "this is free and unencumbered software released into the public domain"),
 }
-#: Rare words of a file that vote, and how many distinct ones must agree on a place.
+#: Rare words of an aligned stretch that vote, and how many distinct ones must agree on a place.
 RARE_WORDS, VOTES = 4, 2
 
 
@@ -97,24 +98,24 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, bas
         "word string, label string, place int, length int",
     )
     at = files.where("places is not null").select("row", F.explode("places").alias("p")).select("row", "p.word", "p.at")
-    by_idf = Window.partitionBy("row").orderBy("df", "word")
-    rare = at.select("row", "word").distinct().join(F.broadcast(df), "word").withColumn("rank", F.row_number().over(by_idf)).where(F.col("rank") <= rare_words).select("row", "word", F.lit(True).alias("rare"))
-    aligned = (
-        at.join(rare, ["row", "word"], "left")
-        .join(F.broadcast(postings), "word")
-        .groupBy("row", "label", "length", (F.col("at") - F.col("place")).alias("shift"))
-        .agg(F.countDistinct(F.when(F.col("rare"), F.col("word"))).alias("votes"), F.countDistinct("place").alias("hits"))
-        .where(F.col("votes") >= votes)
-    )
     key_places = reduce(
         DataFrame.unionByName,
         [files.where(F.size(f"p{i}") > 0).select("row", F.lit(label).alias("label"), F.explode(f"p{i}").alias("key_at"), F.lit(_offset(templates[label])).alias("key_place")) for i, p in enumerate(phrases) for label in phrases[p]],
     )
-    hits = (
-        aligned.join(key_places.select("row", "label", (F.col("key_at") - F.col("key_place")).alias("shift")).distinct(), ["row", "label", "shift"])
-        .groupBy("row")
-        .agg(F.collect_set("label").alias("own"), F.max(F.col("hits") / F.col("length")).alias("score"))
+    shifts = key_places.select("row", "label", (F.col("key_at") - F.col("key_place")).alias("shift")).distinct()
+    # where each word of the template would stand, and whether it does
+    due = shifts.join(F.broadcast(postings), "label").withColumn("at", F.col("shift") + F.col("place"))
+    stretch = ["row", "label", "length", "shift"]
+    by_idf = Window.partitionBy(*stretch).orderBy("df", "word")
+    aligned = (
+        due.join(at, ["row", "word", "at"])
+        .join(F.broadcast(df), "word")
+        .withColumn("rank", F.dense_rank().over(by_idf))
+        .groupBy(*stretch)
+        .agg(F.countDistinct(F.when(F.col("rank") <= rare_words, F.col("word"))).alias("votes"), F.countDistinct("place").alias("hits"))
+        .where(F.col("votes") >= votes)
     )
+    hits = aligned.groupBy("row").agg(F.collect_set("label").alias("own"), F.max(F.col("hits") / F.col("length")).alias("score"))
     starts = F.flatten(F.array(*[F.col(f"p{i}") for i, p in enumerate(phrases) if p in base]))
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(base[p])) for i, p in enumerate(phrases) if p in base]))
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")

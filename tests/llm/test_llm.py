@@ -450,6 +450,18 @@ def test_every_template_finds_itself(spark):
         assert label in got[i]["labels"].split(",") and got[i]["score"] == 1.0
 
 
+def test_many_notices_and_stray_words_in_one_text(spark):
+    filler, stray = " lorem ipsum dolor" * 50, " mozilla eclipse affero unencumbered "
+    notices = [text for _, text in licenses.TEMPLATES.values()]
+    rows = [(0, (stray + filler + " ").join(notices)), (1, stray + filler + " licensed under cc by nc 4 0" + filler + stray)]
+    five = [licenses.TEMPLATES[x][1] for x in ("mpl", "epl", "isc", "unlicense", "cc0")]
+    rows += [(2, filler.join(five)), (3, stray + filler + " version subject terms 2 0 mozilla public license")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["labels"] == ",".join(sorted(licenses.TEMPLATES)) and got[1]["labels"] == "cc-by-nc"
+    assert got[2]["labels"] == "cc0,epl,isc,mpl,unlicense" and all(got[i]["score"] == 1.0 for i in range(3))
+    assert got[3]["labels"] == "mpl" and got[3]["score"] == pytest.approx(4 / 12)  # "terms" is in its place
+
+
 def test_licenses_of_odd_rows(odd, no_docs):
     got = licenses.scan(odd).toPandas()
     assert len(got) == len(ODD) and got[got.doc_id.isna()].labels.tolist() == ["mit"]
