@@ -300,7 +300,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
         return pa.table({"doc_id": t["doc_id"].take(rows), "t": t["t"].take(rows), "start": start[segment[first]] + window_number[first], "windows": pa.array(-count, pa.int32())})
 
     kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t int, start long, windows int"), "first-windows")
-    marks = places.select(*_PLACE, "start", "windows").unionByName(kept).groupBy(*_PLACE).agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
+    # a set: rows alike bring each of their marks once a row, or merged, and have to count once
+    marks = places.select(*_PLACE, "start", "windows").unionByName(kept).groupBy(*_PLACE).agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

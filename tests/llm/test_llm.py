@@ -405,6 +405,19 @@ def test_repeats_of_odd_texts(spark):
     assert [([[s["start"], s["end"]] for s in r["spans"]], bytes(r["kept"])) for r in got] == cut([(i, (t or "").encode()) for i, t in enumerate(texts)])
 
 
+@pytest.mark.parametrize("limit", [4096, 1])
+def test_repeats_of_rows_alike(spark, limit):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    line = letters(130)
+    texts = [(1, letters(3000) + line), (2, letters(2000) + line + letters(700) + line), (3, letters(100)), (None, line + letters(4000))]
+    want = dict(zip((i for i, _ in texts), cut([(i, t.encode()) for i, t in texts]), strict=True))
+    df = spark.createDataFrame(texts + [texts[0], texts[0], *texts[1:]], "doc_id long, text string").repartition(3)
+    got = suffixes.repeats(df, cut=limit, block=2_000).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter({1: 3, 2: 2, 3: 2, None: 2})
+    assert all(([[s["start"], s["end"]] for s in r["spans"]], bytes(r["kept"])) == want[r["doc_id"]] for r in got)
+
+
 def test_repeats_of_odd_rows(odd, no_docs):
     got = suffixes.repeats(odd).collect()
     assert len(got) == len(ODD)
