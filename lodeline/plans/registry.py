@@ -476,16 +476,23 @@ def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- grounding ------------------------------------------------------------------------------
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant's turn against the documents that its words find best."""
+def matches(spark: SparkSession, sf_dir: str, sources: DataFrame) -> DataFrame:
+    """Every assistant's turn against the sources (id, title, text, content) that its words find best."""
     turns = read(spark, sf_dir, "conversations").where("role = 'assistant'")
     answers = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("aid"), F.col("text").alias("answer"))
-    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("passage").alias("title"), "text")
-    hits = lexical.score(answers.select(F.col("aid").alias("qid"), F.col("answer").alias("text")), passages.select("id", F.col("text").alias("content")), 2)
-    contexts = hits.join(passages, "id").select(F.col("qid").alias("aid"), F.col("rank").alias("place"), F.col("id").alias("doc_id"), "title", "text")
+    hits = lexical.score(answers.select(F.col("aid").alias("qid"), F.col("answer").alias("text")), sources.select("id", "content"), 2)
+    contexts = hits.join(sources, "id").select(F.col("qid").alias("aid"), F.col("rank").alias("place"), F.col("id").alias("doc_id"), "title", "text")
     return grounding.match(answers, contexts)
 
 
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("passage").alias("title"), "text", F.col("text").alias("content"))
+
+
+def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumn("content", lexical.indexed_text())
+
+
 _GROUND = f"""
     an as (select conv_id * 1000 + turn as id, text from conversations where role = 'assistant'),
     ps as (select item_id as id, text from benchmark),
@@ -504,7 +511,7 @@ _GROUND = f"""
 
 @query(f"with {_GROUND} select aid, sentence_no, sentence, confidence, status from mt")
 def grounding_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(spark, sf_dir).select("aid", "sentence_no", "sentence", "confidence", "status")
+    return matches(spark, sf_dir, passages(spark, sf_dir)).select("aid", "sentence_no", "sentence", "confidence", "status")
 
 
 @query(
@@ -513,7 +520,18 @@ def grounding_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     string_agg(sentence || case when status <> 'ungrounded' then ' [' || place || ']' else '' end, ' ' order by sentence_no) as annotated_answer from mt group by aid"""
 )
 def grounding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grounding.report(matches(spark, sf_dir))
+    return grounding.report(matches(spark, sf_dir, passages(spark, sf_dir)))
+
+
+@query()
+def grounding_match_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matches(spark, sf_dir, document_sources(spark, sf_dir))
+    return found.select("aid", "sentence_no", "sentence", "citation_id", "source_doc_id", "source_sentence", "confidence", "status")
+
+
+@query()
+def grounding_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.report(matches(spark, sf_dir, document_sources(spark, sf_dir)))
 
 
 # ---- space and graph ------------------------------------------------------------------------

@@ -218,6 +218,46 @@ def test_grounding(spark):
     assert grounding.cited(grounding.match(answers, contexts)).count() == 0
 
 
+def test_grounding_in_documents_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    pool = [f"word{i}" for i in range(40)]
+    sentence = lambda: "The " + " ".join(rng.choice(pool, 6)) + "."
+    docs = {i: [sentence() for _ in range(int(rng.integers(1, 9)))] for i in range(30)}
+    docs[29] = [sentence() for _ in range(400)]
+    turns = {(c, 1): [docs[int(rng.integers(29))][0], sentence(), docs[29][399]] for c in range(8)}
+    rows = [(i, " ".join(d), "en", f"site{i % 3}", 0) for i, d in docs.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(c, t, "assistant", " ".join(x)) for (c, t), x in turns.items()] + [(0, 0, "user", "The question word1 word2?")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    cut = lambda s: [w for w in s.lower().replace(".", " ").split() if w not in lexical.STOP_WORDS]
+    words = {i: cut(f"site{i % 3} " + " ".join(d)) for i, d in docs.items()}
+    mean = sum(map(len, words.values())) / len(words)
+
+    def weight(w, i):
+        df, tf = sum(w in x for x in words.values()), words[i].count(w)
+        return math.log((len(words) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words[i]) / mean))
+
+    def cosine(a, b):
+        x, y = map(np.array, hashing_embedder([a, b]))
+        return float(x @ y / math.sqrt((x @ x) * (y @ y)))
+
+    want = {}
+    for (c, t), x in turns.items():
+        asked = cut(" ".join(x))
+        best = sorted(docs, key=lambda i: (-round(sum(weight(w, i) for w in asked), 9), i))[:2]
+        for no, s in enumerate(x):
+            want[c * 1000 + t, no] = s, round(max(cosine(s, o) for i in best for o in docs[i]), 4), best
+    got = registry.QUERIES["grounding_match_documents"](spark, str(tmp_path)).collect()
+    assert {(r["aid"], r["sentence_no"]) for r in got} == {*want}
+    for r in got:
+        s, confidence, best = want[r["aid"], r["sentence_no"]]
+        assert r["sentence"] == s and r["confidence"] == pytest.approx(confidence, abs=1e-4) and r["source_doc_id"] in best
+        assert r["source_sentence"] in docs[r["source_doc_id"]]
+    assert any(r["source_doc_id"] == 29 for r in got)
+    assert registry.QUERIES["grounding_report_documents"](spark, str(tmp_path)).count() == len(turns)
+
+
 # ---- space and graph ------------------------------------------------------------------------
 
 
