@@ -301,6 +301,14 @@ def test_trace_gives_breadth_results_at_most():
     assert [e["step"] for e in events] == list(range(len(events)))
 
 
+def test_benchmark_times_the_graph(spark, monkeypatch):
+    asked, own = [], graph.search
+    monkeypatch.setattr(graph, "search", lambda *a, **k: asked.append(1) or own(*a, **k))
+    items = registry.items(spark, SF)
+    r = knn.benchmark(items, registry.first_vector(spark, SF)).first()
+    assert len(asked) == 1 and r["hnsw_us"] > 0 and r["item_count"] == items.count()
+
+
 def test_shards_are_merged(spark):
     items, asked = registry.items(spark, SF), registry.asked_vectors(spark, SF)
     exact = {(r["qid"], r["id"]) for r in knn.search_batch(asked, items, 5).collect()}
