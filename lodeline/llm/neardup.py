@@ -8,15 +8,17 @@ to pass a bound from parity bits of the full sets, then the estimate from the sk
 then the exact similarity of the full sets.
 
 No list is expanded into all its pairs: in each of a few rounds every list has one leader that the
-others are held against, and classes found linked drop out where they are all of a list. What is
-still apart at the end meets pairwise, list by list, so no link between different components is
-left out: links inside one need not be found twice.
+others are held against. Classes found linked hook onto the one among them that most are linked
+with, and drop out where all of a list hang together. What is still apart at the end meets
+pairwise, list by list, so no link between different components is left out: links inside one need
+not be found twice. Lists are cut into parts of bounded length, and each part is a task's share.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from lodeline.llm.shared import staged
 K = 64
 #: Rounds with leaders before what is left meets pairwise.
 ROUNDS = 3
+#: Classes of a part of a list, about.
+PART = 1024
 #: Longs of a set's parity bits, in two halves.
 PARITY = 16
 #: Sets of up to this size have all their shingles in their parity bits; larger ones a half, a
@@ -122,15 +126,22 @@ def least_shared(n: Column, percent: int, k: int = K) -> Column:
 
 
 def _retained(classes: DataFrame, percent: int, k: int) -> DataFrame:
-    """node, common, v: the values by which each class enters the inverted lists, and how many of its
-    sketch's values other classes have too."""
+    """node, common, v, parts, part: the values by which each class enters the inverted lists, how
+    many of its sketch's values other classes have too, and of how many parts of a list it is in
+    which."""
     postings = classes.select("node", F.explode("sketch").alias("v"))
     lengths = postings.groupBy("v").agg(F.count("*").alias("length")).where("length > 1")
     listed = postings.join(lengths, "v").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("length", "v"))).alias("some"))  # k at most
     size = F.least("n", F.lit(k))
     enough = size - least_shared(F.col("n"), percent, k) + 1 - (size - F.size("some"))  # alone in its list: met by none
     rows = listed.join(classes.select("node", "n"), "node").withColumn("common", F.size("some")).withColumn("some", F.slice("some", 1, F.greatest(enough, F.lit(0)).cast("int")))
-    return rows.select("node", "common", F.explode("some.v").alias("v"))
+    rows = rows.select("node", "common", F.explode("some").alias("x")).select("node", "common", "x.v", F.ceil(F.col("x.length") / PART).cast("int").alias("parts"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+
+
+def _to_parts(lists: DataFrame) -> DataFrame:
+    """One row a list -> one for each of its parts."""
+    return lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
 def _bounds(classes: DataFrame, end: str) -> DataFrame:
@@ -186,6 +197,22 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, width: in
     return full_sets(named.unionByName(texts.where("first_doc is null")), width).join(wanted.drop("first_doc"), ["d1", "d2", "n"]).select("node", "items")
 
 
+def _hooked(member: DataFrame, links: DataFrame) -> DataFrame:
+    """member (node, component) with the components of linked nodes (a, b) hooked together: each
+    points to the neighbour of the most links, if that has more than itself, and four such steps
+    are taken at once. So components that get one number are connected, and mostly all that are."""
+    ends = links.join(member.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    edges = ends.where("ca <> cb").select(F.explode(F.array(F.struct("ca", "cb"), F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb")))).alias("e")).select("e.*").distinct()
+    edges = staged(edges, "edges")
+    degree = edges.groupBy("ca").agg(F.count("*").alias("links"))
+    near = edges.join(degree.select(F.col("ca").alias("cb"), "links"), "cb")
+    hub = F.greatest(F.struct(F.count("*").alias("links"), F.col("ca").alias("c")), F.max(F.struct("links", F.col("cb").alias("c"))))
+    step = staged(near.groupBy("ca").agg(hub.alias("hub")).select("ca", F.col("hub.c").alias("to")), "hooks")
+    for _ in range(2):
+        step = step.join(step.select(F.col("ca").alias("to"), F.col("to").alias("next")), "to").select("ca", F.col("next").alias("to"))
+    return member.join(step.withColumnRenamed("ca", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, rounds: int = ROUNDS) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, and t (a hash of the
     text) and component (a number of the component, in this result): one row a document.
@@ -194,65 +221,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     least percent times the size of the union. component_id is the smallest doc_id that links lead
     to, kept says whether it is the document's own. Texts of fewer words than width have one
     shingle of all of them; null and empty texts and those without words have none, are linked
-    with nothing and kept, and have no component. A null doc_id is larger than all others; a component of such documents
-    only has a null component_id. Rows that repeat a doc_id are documents of their own, and all
-    kept if their doc_id is the component's. An empty table gives an empty result. Other columns
-    are not looked at.
+    with nothing and kept, and have no component. Very long texts are taken whole. A null doc_id is
+    larger than all others; a component of such documents only has a null component_id. Rows that
+    repeat a doc_id are documents of their own, and all kept if their doc_id is the component's. An
+    empty table gives an empty result. Other columns are not looked at.
 
     Sets are compared as sets of 64-bit hashes."""
     keys = ["d1", "d2", "n"]
     # the sketches are not kept for each document, only for each class: what is hashed twice is not stored
     rows = staged(sketched(docs, width, k).select("doc_id", "t", *keys), "digests")
     grouped = sketched(docs, width, k).where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("first_doc"), F.first("sketch").alias("sketch"), F.first("level").alias("level"), F.first("bits").alias("bits"))
-    classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    classes = staged(grouped.withColumn("node", F.monotonically_increasing_id()), "classes", tidy=True)
 
-    lists = staged(_retained(classes, percent, k), "lists")
-    busy = lists.groupBy("v").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("v")
-    lists = staged(lists.join(busy, "v"), "busy-lists")
-    member = staged(lists.select("node").distinct().withColumn("component", F.col("node")), "members")
-    items = None
+    lists = staged(_retained(classes, percent, k), "lists", tidy=True)
+    member = lists.select("node").distinct().withColumn("component", F.col("node"))
+    items, links = None, []
     for turn in range(rounds + 1):
         # what copies are made from shares most: it leads first, then others do
         rank = -F.col("common") if turn < rounds - 1 else F.lit(0)
-        now = lists.join(member, "node")
+        now = lists.join(member, "node") if turn else lists.withColumn("component", F.col("node"))
         one = F.min(F.struct(rank.alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("lead"), F.col("component").alias("lead_component")))
-        apart = now.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most"), one.alias("one"))
-        now = staged(now.join(apart.where("least <> most").select("v", "one.lead", "one.lead_component"), "v"), "apart")
+        apart = now.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.first("parts").alias("parts"), one.alias("one")).where("least <> most")
+        now = staged(now.join(_to_parts(apart.select("v", "parts", "one.lead", "one.lead_component")), ["v", "part"]), "apart")
         if now.isEmpty():
             break
         if turn < rounds:
             held = now.where("component <> lead_component").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
             pairs = held.join(_bounds(classes, "a"), "a").join(_bounds(classes, "b"), "b").where(_may_match("a", "b", percent)).select("a", "b")
             # a leader has met all of its list
-            lists = now.where("node <> lead").select("node", "common", "v")
+            lists = now.where("node <> lead").select("node", "common", "v", "parts", "part")
         else:
-            ours = now.groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("all"))  # k at most
-            left, right = (
-                now.select(F.col("node").alias(end), "v", F.col("component").alias(f"component_{end}")).join(_bounds(classes, end), end).join(ours.select(F.col("node").alias(end), F.col("all").alias(f"all_{end}")), end)
-                for end in ("a", "b")
-            )
-            # a pair is made in the first of its lists only
-            first = ~F.exists("all_a", lambda v: (v < F.col("v")) & F.array_contains("all_b", v))
-            pairs = left.join(right, "v").where((F.col("component_a") < F.col("component_b")) & _may_match("a", "b", percent) & first)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = staged(pairs, "pairs")
-        likely = staged(_likely(pairs, classes, percent, k), "likely")
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        ends = staged(ends if items is None else ends.join(items, "node", "left_anti"), "ends")
-        if not ends.isEmpty():
-            more = staged(_whole_sets(docs, ends, classes, width), "sets")
-            items = more if items is None else items.unionByName(more)
-        if items is None:
+            pairs = _left(now, classes, percent)
+        likely = staged(_likely(pairs, classes, percent, k), "likely", tidy=True)
+        if likely.isEmpty():
             continue
-        links = _links(likely, items, percent)
-        ends = links.join(member.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        more = staged(_whole_sets(docs, ends if items is None else ends.join(items, "node", "left_anti"), classes, width), "sets")
+        items = more if items is None else items.unionByName(more)
+        found = staged(_links(likely, items, percent), "links", tidy=True)
+        links.append(found)
+        member = staged(_hooked(member, found), "members")
+
+    whole = classes.select("node", "first_doc", *keys).withColumn("component", F.col("node"))
+    if links:
+        # what hooks have left apart; linked nodes all are members
+        label = lambda end: member.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = reduce(DataFrame.unionByName, links).join(label("a"), "a").join(label("b"), "b").where("ca <> cb")
         merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        member = staged(member.join(merged, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "members")
-
-    whole = classes.select("node", "first_doc", *keys).join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        member = member.join(merged.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("own"))
+        whole = whole.join(member, "node", "left").withColumn("component", F.coalesce("own", "component")).drop("own")
+    whole = staged(whole, "components", tidy=True)
     least = whole.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = whole.join(least, "component").select(*keys, "component_id", "component")
     alone = rows.where("n = 0").select("doc_id", "t", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
     done = rows.where("n > 0").select("doc_id", "t", *keys).join(named, keys).select(*alone.columns).unionByName(alone)
     return done.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "t", "component")
+
+
+def _left(now: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that are in one list of now: each part of a list meets
+    the whole list, and a pair is made in the first of its lists only."""
+    ours = now.groupBy("node").agg(F.sort_array(F.collect_list("v")).alias("all"))  # k at most
+
+    def side(end: str) -> DataFrame:
+        rows = now.select(F.col("node").alias(end), "v", "parts", "part", F.col("component").alias(f"component_{end}"))
+        return rows.join(_bounds(classes, end), end).join(ours.select(F.col("node").alias(end), F.col("all").alias(f"all_{end}")), end)
+
+    first = ~F.exists("all_a", lambda v: (v < F.col("v")) & F.array_contains("all_b", v))
+    pairs = side("a").drop("parts").join(_to_parts(side("b").drop("part")), ["v", "part"])
+    pairs = pairs.where((F.col("component_a") < F.col("component_b")) & _may_match("a", "b", percent) & first)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

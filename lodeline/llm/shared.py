@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -16,11 +17,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset
-    (tests, one machine) a temporary folder that this sets as the checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and
+    everything runs in one process (tests), a temporary folder that this sets as the checkpoint
+    folder; on a cluster an unset folder is an error, as no other one is surely shared."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("spark.lodeline.shared.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="lodeline-")
@@ -34,20 +38,27 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
+def staged(df: DataFrame, name: str, *by: str, tidy: bool = False) -> DataFrame:
     """df written as Parquet into the shared folder and read again.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, never the stages before,
-    and what several consumers need is computed once. The shuffle files behind it are of no more
-    use, and Spark deletes them once the driver has collected its garbage; so it does that here."""
+    and what several consumers need is computed once. With tidy the shuffle files behind it, which
+    are of no more use, are deleted now: worth it for large tables, as it collects the driver's
+    garbage."""
     spark, path = df.sparkSession, stage_path(df.sparkSession, name)
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    if tidy:
+        free(spark)
+    return out
+
+
+def free(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the driver has collected its garbage, so this does it."""
     gc.collect()
     for _ in range(2):  # Python's references reach the JVM a little later
         spark._jvm.System.gc()
         time.sleep(0.2)
-    return out
 
 
 def release(spark: SparkSession) -> None:
