@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm import shingles
@@ -85,7 +85,7 @@ def segments(data: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tu
 
 _BYTES = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-ANCHORS = "h long, g long, doc_id long, t int, start long, windows int"
+ANCHORS = "h long, g long, doc_id long, t long, start long, windows int"
 
 
 def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -223,6 +223,11 @@ def first_windows(parts: list[bytes], count: np.ndarray, rank: np.ndarray, start
 _PLACE = ["doc_id", "t"]
 
 
+def text_key(text: Column) -> Column:
+    """What tells documents of one doc_id, or of none, apart: 64 bits of the text; null is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     renamed = right.withColumnsRenamed({"doc_id": "right_id", "t": "right_t"})
     return left.join(renamed, F.col("doc_id").eqNullSafe(F.col("right_id")) & (F.col("t") == F.col("right_t")), how).drop("right_id", "right_t")
@@ -241,7 +246,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     looked at. Strings are compared by their bytes, segments that are merged by 64-bit hashes of
     segment and anchor."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("t", F.hash("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"), text_key(F.col("text")).alias("t"))
     found = lambda: anchors(docs.where(F.octet_length("text") >= window), window, gram)
     often = found().select("h").groupBy("h").agg(F.count("*").alias("places")).where("places > 1").select("h")
     often = staged(often, "frequent-anchors")
@@ -281,17 +286,21 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
                 doc = pa.array(np.full(len(part), i))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column("doc_id").take(doc), b.column("t").take(doc), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(seg, pa.binary())], ["block", "doc_id", "t", "start", "windows", "bytes"])
 
-    taken = with_text.mapInArrow(take, "block long, doc_id long, t int, start long, windows int, bytes binary")
+    taken = with_text.mapInArrow(take, "block long, doc_id long, t long, start long, windows int, bytes binary")
     taken = taken.withColumn("alone", F.col("windows") == 1)
     # equal single windows, of which a cut anchor may bring very many, are merged before they meet
     single = taken.where("alone").groupBy("block", "bytes").agg(F.min(place).alias("p")).select("block", "p.doc_id", "p.t", "p.start", F.lit(1).alias("windows"), "bytes")
     taken = taken.where("not alone").drop("alone").unionByName(single)
 
     def keep(t: pa.Table) -> pa.Table:
-        doc, t32, start = t["doc_id"].to_pandas().to_numpy(dtype=object), t["t"].to_numpy(), t["start"].to_numpy()
-        number = np.array([(d is None or d != d, 0 if d is None or d != d else int(d), int(x)) for d, x in zip(doc, t32, strict=True)], "b1,i8,i8")
-        _, rank = np.unique(number, return_inverse=True)
-        segment, window_number = first_windows(t["bytes"].to_pylist(), t["windows"].to_numpy(), rank.astype(np.int64), start, window)
+        start = t["start"].to_numpy()
+        document = [t["t"].to_numpy(), t["doc_id"].fill_null(0).to_numpy(), t["doc_id"].is_null().to_numpy()]
+        order, new = np.lexsort(document), np.zeros(len(start), bool)
+        for c in document:
+            new[1:] |= c[order][1:] != c[order][:-1]
+        rank = np.zeros(len(start), np.int64)
+        rank[order] = np.cumsum(new)
+        segment, window_number = first_windows(t["bytes"].to_pylist(), t["windows"].to_numpy(), rank, start, window)
         new = np.ones(len(segment), bool)
         new[1:] = (segment[1:] != segment[:-1]) | (window_number[1:] != window_number[:-1] + 1)
         first = np.flatnonzero(new)
@@ -299,7 +308,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
         rows = pa.array(segment[first])
         return pa.table({"doc_id": t["doc_id"].take(rows), "t": t["t"].take(rows), "start": start[segment[first]] + window_number[first], "windows": pa.array(-count, pa.int32())})
 
-    kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t int, start long, windows int"), "first-windows")
+    kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t long, start long, windows int"), "first-windows")
     # a set: rows alike bring each of their marks once a row, or merged, and have to count once
     marks = places.select(*_PLACE, "start", "windows").unionByName(kept).groupBy(*_PLACE).agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
 
@@ -320,7 +329,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
                 )
 
     joined = _same_document(docs, marks, "left")
-    return joined.select(*_PLACE, "text", "marks").mapInArrow(cut_out, "doc_id long, t int, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.select(*_PLACE, "text", "marks").mapInArrow(cut_out, "doc_id long, t long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def hash_of(window: bytes) -> int:
