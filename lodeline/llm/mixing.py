@@ -64,15 +64,15 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = (3, 1, 2), perce
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
-    """docs (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken: one row a document.
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150, most: int = 2, row: str = "doc_id") -> DataFrame:
+    """docs (doc_id, text, source, ...) -> row, size, source_size, target, taken: one row a document.
 
     The shuffle key is the MD5 of doc_id, so reruns agree. Null texts and texts without words have
-    size 0 and take nothing. A null source is a source of its own, a null doc_id shuffles as the
-    empty string. Rows that repeat a doc_id are documents of their own; rows alike in doc_id,
-    source and size are interchangeable. An empty table gives an empty result. Other columns are
-    not looked at."""
-    docs = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    size 0 and take nothing; very long ones count whole. A null source is a source of its own, a
+    null doc_id shuffles as the empty string. Rows that repeat a doc_id are documents of their own;
+    rows alike in doc_id, source and size are interchangeable, unless the column row numbers them.
+    An empty table gives an empty result. Other columns are not looked at."""
+    docs = docs.select("doc_id", F.col(row).alias("row"), "source", word_count(F.col("text")).alias("size"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = staged(docs.withColumn("h", key).withColumn("slice", F.substring("h", 1, SLICE_DIGITS)), "sizes")
 
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150,
     offsets = slices.withColumn("offset", F.sum("slice_size").over(_running([F.col("slice")], F.col("source"))) - F.col("slice_size"))
     offsets = offsets.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "slice_size")
 
-    order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("size")]
+    order = [F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("row")]
     # source as a join key that is never null
     named = lambda df: df.withColumn("sk", F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit(""))))
     queued = (
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), percent: int = 150,
     times = kept.groupBy("rank", "cum", "h").agg(F.count("*").alias("times"))
     # (rank, cum) names one document with words: the source's running sum grows with each
     return queued.join(times, ["rank", "cum", "h"], "left").select(
-        "doc_id",
+        F.col("row").alias(row),
         "size",
         "source_size",
         "target",
