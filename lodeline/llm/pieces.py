@@ -8,12 +8,12 @@ The vocabulary's pieces have the space mark at their start only (this is checked
 goes through every start of a run of spaces, and the stretches between - mostly words - can be
 encoded each for itself. Frequent ones are remembered, in a table of bounded size.
 
-The result is the path of the highest total score, as a unigram model defines it. A model trained
-by pair merging has scores by merge order, and sums of them do not give its encoding. There a
-piece relaxes its end only if it goes together with the last piece of the best path to its start:
-if merging both pieces' text leaves these two. Merging all of a text leaves such a pair everywhere,
-and just one piece at each place passes, so the path is what merging gives. Pieces that merging
-never leaves are not in the automaton.
+The result is the path of the highest total score. For a unigram model that is all. A model trained
+by pair merging has scores by merge order, and their highest sum alone is not its encoding. There a
+guard stands before the relaxation: a piece relaxes its end only if it goes together with the last
+piece of the best path to its start, that is, if merging both pieces' text leaves these two. Merging
+all of a text leaves such a pair everywhere, so the best path among those that pass the guard is
+what merging gives. Pieces that merging never leaves are not in the automaton.
 """
 
 from __future__ import annotations
@@ -85,55 +85,36 @@ class Pieces:
             known = self.pairs[key] = self.merge(one + two) == [one, two]
         return known
 
-    def merged_path(self, s: str) -> array:
-        """Ids that pair merging gives. Characters without a piece never merge with anything."""
-        n, known, together = len(s), self.pairs.get, self.together
-        # a short text's places are a list, a long one's four bytes each
-        last, size = ([-1] * n, [0] * n) if n <= LONGEST else (array("i", [-1]) * n, array("i", [0]) * n)
-        for end, (length, i, _) in self.automaton.iter(s):  # at each end the longest first
-            if not size[end]:
-                before = last[end - length] if end >= length else -1
+    def viterbi(self, s: str) -> array:
+        """Ids of the path of the highest score, of equal ones that whose last pieces are longer;
+        for a merging model among the paths whose neighbours go together."""
+        n, low, known = len(s), float("-inf"), self.pairs.get
+        # a short text's places are lists, a long one's a few bytes each
+        best, back, size = ([low] * (n + 1), [-1] * (n + 1), [1] * (n + 1)) if n <= LONGEST else (array("d", [low]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [1]) * (n + 1))
+        best[0], done, merging = 0.0, 0, self.merging
+        odd = not self.singles.issuperset(s)
+        for end, (length, i, score) in self.automaton.iter(s):  # at each end the longest first
+            if odd:
+                while done < end:  # pieces that end later may start here
+                    done += 1
+                    self._spell(s, done, best, back)
+            end += 1
+            start = end - length
+            if merging:
+                before = back[start]
                 if before >= 0:
                     fits = known(before << 32 | i)
                     if fits is None:
-                        fits = together(before, i)
+                        fits = self.together(before, i)
                     if not fits:
                         continue
-                last[end], size[end] = i, length
-        ids = array("i")
-        while n:
-            if size[n - 1]:
-                ids.append(last[n - 1])
-                n -= size[n - 1]
-            else:
-                n -= 1
-                ids.extend([self.byte_ids[b] for b in reversed(s[n].encode())])
-        ids.reverse()
-        return ids
-
-    def viterbi(self, s: str) -> array:
-        """Ids of the path of the highest score; of equal ones that whose last pieces are longer."""
-        if not s:
-            return array("i")
-        n, low = len(s), float("-inf")
-        best, back = array("d", [low]) * (n + 1), array("i", [-1]) * (n + 1)
-        size = array("i", [1]) * (n + 1)
-        best[0] = 0.0
-        alone = [k for k, c in enumerate(s) if c not in self.singles] if not self.singles.issuperset(s) else []
-        at = 0
-        for end, (length, i, score) in self.automaton.iter(s):
-            end += 1
-            # byte-spelled characters that end before this place, or here if no piece began earlier
-            while at < len(alone) and alone[at] < end - 1:
-                self._spell(alone[at], best, back, size)
-                at += 1
-            now = best[end - length] + score
+            now = best[start] + score
             if now > best[end]:
                 best[end], back[end], size[end] = now, i, length
-            if at < len(alone) and alone[at] == end - 1 and best[end - 1] + self.unknown > best[end]:
-                self._spell(alone[at], best, back, size)
-        for k in alone[at:]:
-            self._spell(k, best, back, size)
+        if odd:
+            while done < n:
+                done += 1
+                self._spell(s, done, best, back)
         ids = array("i")
         while n:
             if back[n] >= 0:
@@ -141,14 +122,17 @@ class Pieces:
                 n -= size[n]
             else:
                 n -= 1
-                ids.extend(self.byte_ids[b] for b in reversed(s[n].encode()))
+                ids.extend([self.byte_ids[b] for b in reversed(s[n].encode())])
         ids.reverse()
         return ids
 
-    def _spell(self, k: int, best: array, back: array, size: array) -> None:
-        now = best[k] + self.unknown
-        if now > best[k + 1]:
-            best[k + 1], back[k + 1], size[k + 1] = now, -1, 1
+    def _spell(self, s: str, end: int, best, back) -> None:
+        """Relaxes an end by the bytes of the character before it, if that has no piece of its own;
+        where pieces merge, only if none has come to this end."""
+        if s[end - 1] not in self.singles:
+            now = best[end - 1] + self.unknown
+            if best[end] == float("-inf") or not self.merging and now > best[end]:
+                best[end], back[end] = now, -1
 
     def encode(self, text: str | None) -> array:
         """A space is put before the text, as before every word. Marks that the text itself holds
@@ -163,7 +147,7 @@ class Pieces:
             for s in self.stretches(part.replace(" ", MARK)):
                 got = known.get(s)
                 if got is None:
-                    got = (self.merged_path(s) if self.merging else self.viterbi(s)).tobytes()
+                    got = self.viterbi(s).tobytes()
                     if len(s) <= LONGEST:
                         if len(known) >= REMEMBERED:
                             known.clear()
