@@ -33,7 +33,9 @@ def op4_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencounts.rollup(table(spark, sf_dir, "documents"), "byte_bpe_50k/1")
+    """Of the documents that no label calls toxic: those are deleted again."""
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1")
+    return tokencounts.rollup(table(spark, sf_dir, "documents"), "byte_bpe_50k/1", toxic)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Token counts as delta-maintained rollups.
 
-A batch of signed rows - +1 for a document that comes, -1 for one that goes, both for one whose
-count is revised - is pre-aggregated to (source, lang, tokenizer version) and committed as one
-delta. Totals are sums of deltas, so they never need the documents again. A batch has an id and
-its delta a folder of that name; the folder's _SUCCESS mark is the commit. A committed batch is
-not applied again, and one that broke off is written anew, so replays change nothing.
+A batch of changes - a document that comes adds itself and its tokens, one that goes takes both
+away, one whose count is revised brings the difference - is pre-aggregated to (source, lang,
+tokenizer version) and committed as one delta. Totals are sums of deltas, so they never need the
+documents again. A batch has an id and its delta a folder of that name; the folder's _SUCCESS mark
+is the commit. A committed batch is not applied again, and one that broke off is written anew, so
+replays change nothing. A compaction sums many deltas up in one and remembers their batches.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: How byte-level BPE cuts text into words before merging. Fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ("source", "lang", "version")
+#: Folders of a batch's delta, of a compaction's, and of the ids that a compaction has summed up.
+BATCH, SUM, FOLDED = "batch=", "sum=", "folded="
 DELTA = "source string, lang string, version string, docs long, tokens long"
 
 
@@ -36,49 +39,60 @@ class Ledger:
         path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def committed(self) -> list[str]:
-        """Folders of committed batches."""
+    def _deltas(self) -> list[str]:
+        """Folders of committed deltas."""
         fs, root = self._fs()
         if not fs.exists(root):
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(root) if fs.exists(self._fs(s.getPath().getName(), "_SUCCESS")[1]))
 
+    def committed(self) -> set[str]:
+        """Ids of committed batches, those that a compaction has summed up too: one a batch."""
+        deltas, done = self._deltas(), set()
+        for d in deltas:
+            if d.startswith(BATCH):
+                done.add(base64.urlsafe_b64decode(d.removeprefix(BATCH)).decode())
+        folded = [f"{self.path}/{d}" for d in deltas if d.startswith(FOLDED)]
+        return done | {r[0] for r in self.spark.read.schema("id string").parquet(*folded).collect()} if folded else done
+
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
-        """changes: source, lang, version, sign (+1 or -1), tokens. False, and nothing happens, if
-        the batch is committed already. Rows whose sign or tokens are null count as nothing; null
-        keys are keys of their own. An empty batch is committed as an empty delta."""
-        folder = "batch=" + base64.urlsafe_b64encode(batch_id.encode()).decode()
-        if folder in self.committed():
+        """changes: source, lang, version, docs (1 for a document that comes, -1 for one that goes,
+        0 for one that stays) and tokens, signed alike. False, and nothing happens, if the batch is
+        committed already. Rows whose docs or tokens are null count as nothing; null keys are keys of
+        their own; repeated rows count as often as they stand there, in any order. An empty batch is
+        committed as an empty delta."""
+        if batch_id in self.committed():
             return False
-        rows = changes.where("sign is not null and tokens is not null")
-        delta = rows.groupBy(*[F.col(k).cast("string").alias(k) for k in KEYS]).agg(
-            F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens")
-        )
-        delta.where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        rows = changes.where("docs is not null and tokens is not null")
+        delta = rows.groupBy(*[F.col(k).cast("string").alias(k) for k in KEYS]).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
+        delta.where("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(f"{self.path}/{BATCH}{base64.urlsafe_b64encode(batch_id.encode()).decode()}")
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens: sums over the committed deltas. Keys whose docs and
         tokens have come to nothing are left out."""
-        folders = [f"{self.path}/{f}" for f in self.committed()]
+        folders = [f"{self.path}/{f}" for f in self._deltas() if not f.startswith(FOLDED)]
         deltas = self.spark.read.schema(DELTA).parquet(*folders) if folders else self.spark.createDataFrame([], DELTA)
         return deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
-    def compact(self, batch_id: str) -> DataFrame:
-        """Totals as rows of one new batch for another ledger: what a compaction writes."""
-        return self.totals().withColumns({"sign": F.lit(1)})
+    def compact(self, path: str) -> Ledger:
+        """A new ledger at path with the same totals in one delta, that refuses the same batches. It
+        counts from the moment its delta is committed, which is the last step."""
+        other = Ledger(self.spark, path)
+        self.spark.createDataFrame([(x,) for x in sorted(self.committed())], "id string").write.mode("overwrite").parquet(f"{other.path}/{FOLDED}0")
+        self.totals().write.mode("overwrite").parquet(f"{other.path}/{SUM}0")
+        return other
 
 
 def signed(rows: DataFrame, sign: int, tokens: Column | str = "tokens") -> DataFrame:
-    """rows (source, lang, version) as changes of one sign."""
+    """rows (source, lang, version), each a document, as changes of one sign."""
     tokens = F.col(tokens) if isinstance(tokens, str) else tokens
-    return rows.select(*KEYS, F.lit(sign).alias("sign"), tokens.cast("long").alias("tokens"))
+    return rows.select(*KEYS, F.lit(sign).alias("docs"), (sign * tokens).cast("long").alias("tokens"))
 
 
 def revised(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """rows with an old and a new count: what was counted goes, what is right comes."""
-    pair = F.array(F.struct(F.lit(-1).alias("sign"), F.col(old).cast("long").alias("tokens")), F.struct(F.lit(1).alias("sign"), F.col(new).cast("long").alias("tokens")))
-    return rows.select(*KEYS, F.inline(pair))
+    """rows with an old and a new count: the documents stay, the difference comes or goes."""
+    return rows.select(*KEYS, F.lit(0).alias("docs"), (F.col(new) - F.col(old)).cast("long").alias("tokens"))
 
 
 def count_tokens(docs: DataFrame, version: str, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
@@ -104,15 +118,22 @@ def count_tokens(docs: DataFrame, version: str, folder: str = TOKENIZERS, ranks:
     return counted.select("source", "lang", F.lit(version).alias("version"), "guess", "tokens")
 
 
-def rollup(docs: DataFrame, version: str, path: str | None = None, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
-    """docs (source, lang, text, ...) -> source, lang, version, docs, tokens, by three commits: the
-    quick counts as they come in, their revision by the tokenizer's, and a replay of the revision,
-    which the ledger refuses. An empty table gives an empty result; other columns are not looked
-    at, and repeated rows count as often as they stand there."""
+def rollup(docs: DataFrame, version: str, gone: DataFrame | None = None, path: str | None = None, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
+    """docs (doc_id, source, lang, text, ...), gone (doc_id) -> source, lang, version, docs, tokens of
+    the documents that are not gone, by four commits: the quick counts as documents come in, their
+    revision by the tokenizer's, the documents that go, and a replay, which the ledger refuses.
+
+    Null and empty texts have no tokens but are documents; long ones count whole. Null sources and
+    languages are keys of their own. Repeated rows count as often as they stand there, and go as
+    often; ids that repeat in gone go once, null ones take nothing. Keys that are left with nothing
+    do not appear. An empty table gives an empty result; other columns are not looked at."""
     ledger = Ledger(docs.sparkSession, path or stage_path(docs.sparkSession, "token-ledger"))
     guess = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4)
     ledger.apply(f"{version}/load", signed(docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit(version).alias("version"), guess.alias("tokens")), 1))
     changes = revised(count_tokens(docs, version, folder, ranks), "guess", "tokens")
     ledger.apply(f"{version}/revise", changes)
+    if gone is not None:
+        going = docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
+        ledger.apply(f"{version}/delete", signed(count_tokens(going, version, folder, ranks), -1))
     ledger.apply(f"{version}/revise", changes)
     return ledger.totals()
