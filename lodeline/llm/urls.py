@@ -2,8 +2,9 @@
 
 DataFrame functions and the JVM's own FP-growth only. A URL's tokens are its scheme, its host's
 labels and its path's segments. Labelled pages are transactions of tokens and a verdict; FP-growth
-finds the frequent token sets, and those that imply "block" with enough confidence are the rules.
-An inverted index from token to rule finds the rules all of whose tokens a URL has.
+finds the frequent token sets, and those that imply a verdict with enough confidence, and clearly
+more often than it is given anyway, are the rules. An inverted index from token to rule finds the
+rules all of whose tokens a URL has.
 """
 
 from __future__ import annotations
@@ -19,11 +20,15 @@ from lodeline.llm.shared import ascii_lower, staged
 
 #: (action, host and path): the fixed rules of the contract.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: A token set is frequent in this share of the labelled pages; a rule holds for this share of its pages.
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.5
-#: And is frequent only in so many labelled pages, so that a few pages make no rule.
-MIN_PAGES = 20
-BLOCK = "verdict:block"
+#: A rule's tokens and verdict are in this share of the labelled pages at least, at every size; a rule
+#: holds for this share of the pages that have its tokens, and for so many times the verdict's own share.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.005, 0.5, 1.1
+#: Confidence is that of a rule's pages and of so many more with the verdict's own share, so that a
+#: few pages make no rule.
+PRIOR = 10
+#: Index rows that are sent along to all tasks at most; a larger index is dealt by token.
+MOST_SENT = 500_000
+VERDICTS = {"verdict:block": "block", "verdict:allow": "allow"}
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -54,52 +59,60 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(tag("scheme:", F.array(F.coalesce(ascii_lower(scheme), F.lit("")))), tag("host:", F.split(host, r"[.]")), tag("path:", F.split(path, r"[/._-]"))))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """labelled (tokens, blocked) -> rule, tokens, confidence, support of rules that imply a block.
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, prior: float = PRIOR) -> DataFrame:
+    """labelled (tokens, blocked) -> rule, tokens, verdict, confidence, support of the rules.
 
-    Of two rules where one's tokens hold all of the other's, the longer one stays only if it is
-    more confident. Empty without labelled rows. Every labelled row counts."""
-    baskets = labelled.select(F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items"))
+    A rule that has one token more than another of the same verdict stays only if it is more
+    confident. Empty without labelled rows. Every labelled row counts."""
+    block, allow = VERDICTS
+    baskets = labelled.select(F.concat("tokens", F.array(F.when(F.col("blocked"), block).otherwise(allow))).alias("items"))
     baskets = staged(baskets, "url-baskets")
-    support = min(1.0, max(min_support, min_pages / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where(F.col("consequent")[0].isin(*VERDICTS))
+    share, pages = F.col("confidence") / F.col("lift"), F.lit(baskets.count())
+    shrunk = (F.col("support") * pages + prior * share) / (F.col("support") * pages / F.col("confidence") + prior)
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.when(F.col("consequent")[0] == block, "block").otherwise("allow").alias("verdict"), shrunk.alias("confidence"), "support", share.alias("share"))
+    rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("share"))).drop("share")
     rules = staged(rules.withColumn("rule", F.array_join("tokens", " ")), "url-rules")
-    # pruned by an inverted index too: a rule's shorter ones share a token with it
-    one = rules.select(F.col("rule").alias("longer"), F.col("tokens").alias("all"), F.col("confidence").alias("c"), F.explode("tokens").alias("token"))
-    other = rules.select(F.col("rule").alias("shorter"), F.col("tokens").alias("some"), F.col("confidence").alias("d"), F.element_at("tokens", 1).alias("token"))
-    beaten = one.join(other, "token").where((F.size("some") < F.size("all")) & (F.size(F.array_except("some", "all")) == 0) & (F.col("d") >= F.col("c")))
-    return rules.join(beaten.select(F.col("longer").alias("rule")).distinct(), "rule", "left_anti")
+    shorter = rules.select("rule", "verdict", "confidence", F.explode("tokens").alias("without"), "tokens")
+    shorter = shorter.select(F.col("rule").alias("longer"), "verdict", F.col("confidence").alias("c"), F.array_join(F.array_remove("tokens", F.col("without")), " ").alias("rule"))
+    beaten = shorter.join(rules.select("rule", "verdict", "confidence"), ["rule", "verdict"]).where("confidence >= c")
+    return rules.join(beaten.select(F.col("longer").alias("rule"), "verdict").distinct(), ["rule", "verdict"], "left_anti")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
+def judge(
+    pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, prior: float = PRIOR
+) -> DataFrame:
     """pages (page_id, url, ...), labels (page_id, blocked) -> page_id, host, path, rule, verdict,
-    mined_rule, confidence: one row a page.
-
-    verdict is the fixed rule's, else "block" where a mined rule matches (mined_rule names the most
-    confident one), else "allow". Labels that disagree about a page, or are null, are left out;
-    repeated ones count once. Null URLs and those without :// have empty host and path, no tokens
-    and so the verdict "allow". Rows that repeat a page_id are judged each for itself. Empty tables
-    give empty results, no labels no mined rules. Other columns are not looked at."""
+    mined_rule, mined_verdict, confidence: one row a page.
+
+    verdict is the fixed rule's, else "block" where a mined rule for it matches, else "allow".
+    mined_rule is the matching rule that decides, or would where a fixed one does: the most
+    confident one for a block, else the most confident one to allow; of equal ones the last by its
+    text. Labels that disagree about a page, or are null, are left out; repeated ones count once.
+    Null URLs and those without :// have empty host and path; null and empty ones, of which no rule
+    can match any, get "allow". URLs of any length are read whole. Rows that repeat a page_id or a
+    url are judged each for itself. Empty tables give empty results, no labels no mined rules.
+    Other columns are not looked at, whatever their names."""
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"), tokens_of(F.col("url"), host, path).alias("tokens"))
+    urls = staged(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
     agreed = labels.where("page_id is not null and blocked is not null").groupBy("page_id").agg(F.min("blocked").alias("blocked"), F.max("blocked").alias("most")).where("blocked = most").drop("most")
-    tokens = tokens_of(F.col("url"), F.col("host"), F.col("path"))
-    labelled = urls.join(agreed, "page_id").select(tokens.alias("tokens"), "blocked")
-    mined = staged(mine(labelled, min_support, min_confidence, min_pages), "url-mined")
+    mined = mine(urls.join(agreed, "page_id").select("tokens", "blocked"), min_support, min_confidence, min_lift, prior)
 
-    # a URL's verdict depends on the URL only: each distinct one is looked up once
-    index = mined.select("rule", "confidence", F.size("tokens").alias("needs"), F.explode("tokens").alias("token"))
-    asked = urls.select("url", "host", "path").distinct().select("url", F.explode(tokens).alias("token"))
-    matched = asked.join(index, "token").groupBy("url", "rule", "confidence", "needs").agg(F.count("*").alias("has")).where("has = needs")
-    best = matched.groupBy("url").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("mined_rule"), F.max("confidence").alias("confidence"))
+    index = staged(mined.select("rule", "verdict", "confidence", F.size("tokens").alias("needs"), F.explode("tokens").alias("token")), "url-index")
+    if index.count() <= MOST_SENT:
+        index = F.broadcast(index)
+    asked = urls.select("row", F.explode("tokens").alias("token"))
+    matched = asked.join(index, "token").groupBy("row", "rule", "verdict", "confidence", "needs").agg(F.count("*").alias("has")).where("has = needs")
+    top = F.max(F.struct((F.col("verdict") == "block").alias("blocks"), "confidence", "rule", "verdict")).alias("top")
+    best = matched.groupBy("row").agg(top).select("row", F.col("top.rule").alias("mined_rule"), F.col("top.verdict").alias("mined_verdict"), F.col("top.confidence").alias("confidence"))
 
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     return (
-        urls.join(best, "url", "left")
+        urls.join(best, "row", "left")
         .withColumns({"rule": rule, "action": action})
-        .select("page_id", "host", "path", "rule", F.coalesce("action", F.when(F.col("mined_rule").isNotNull(), F.lit("block")), F.lit("allow")).alias("verdict"), "mined_rule", "confidence")
+        .select("page_id", "host", "path", "rule", F.coalesce("action", "mined_verdict", F.lit("allow")).alias("verdict"), "mined_rule", "mined_verdict", "confidence")
     )
 
 
