@@ -1,153 +1,157 @@
 """License scan: a positional index over rare words, in DataFrame functions only.
 
-Templates are short licence notices. Their words, with positions, are the postings. Each place of
-a template's mandatory phrase in a file gives a relative position; the postings, shifted by it, say
-where the template's other words have to stand. Of the words that do stand there, the rarest by
-document frequency vote, in each such stretch for itself, so that no other notice and no other word
-of the file takes a template's votes. The score is the share of the template's words that stand at
-their aligned places.
+Templates are licence texts and notices, each with a mandatory key phrase; their words, with
+positions, are the postings. Of a template's words that a file has, the rarest by document frequency
+are looked up, and so are the two rarest of the key phrase. Each place where such a word stands in
+the file, less the word's place in the template, is a shift: where the template would begin. Words
+that agree on a shift propose it, the key phrase has to stand at its aligned place, and the score is
+the share of the template's words that stand at theirs. The phrases whose places are counted go
+through the same index, as templates that are nothing but their key phrase.
+
+Each template has votes of its own, so no other notice and no other word of a file takes them; and
+as two words of a key phrase always vote, every place of it is proposed.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeline.llm.license_texts import TEMPLATES
 from lodeline.llm.shared import ascii_lower, staged
 
 #: What parts words: ASCII that is neither a digit nor a lower-case letter (after lower-casing).
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places count, with their labels. Fixed values.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices to look for: label -> (mandatory phrase, text). The phrase is a part of the text.
-TEMPLATES = {
-    "mit": ("mit license", "released under the mit license"),
-    "apache": ("apache license", "licensed under the apache license version 2 0"),
-    "gpl": ("general public license", "this work is licensed under the gnu general public license version 3"),
-    "lgpl": ("lesser general public license", "licensed under the gnu lesser general public license"),
-    "agpl": ("affero general public license", "licensed under the gnu affero general public license"),
-    "cc-by-nc": ("cc by nc", "licensed under cc by nc 4 0"),
-    "cc-by-sa": ("cc by sa", "licensed under cc by sa 4 0"),
-    "cc0": ("cc0 1 0", "dedicated to the public domain under cc0 1 0 universal"),
-    "bsd": ("redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
-    "mpl": ("mozilla public license", "subject to the terms of the mozilla public license version 2 0"),
-    "isc": ("isc license", "released under the isc license"),
-    "epl": ("eclipse public license", "made available under the terms of the eclipse public license"),
-    "unlicense": ("free and unencumbered software", "this is free and unencumbered software released into the public domain"),
-}
-#: Rare words of an aligned stretch that vote, and how many distinct ones must agree on a place.
-RARE_WORDS, VOTES = 4, 2
+#: A template's rarest words that are looked up, how many distinct ones must agree on a shift, and the
+#: share of a template's words that must stand at their places.
+RARE_WORDS, VOTES, MIN_SHARE = 4, 2, 0.3
+
+Template = tuple[str, str, str]
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), lambda w: w != "")
+    """The words of a text, A-Z lower-cased; none of a null or empty one."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATOR), "")
+
+
+def _literal(words: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, words))
 
 
-def _starts(words: Column, phrase: str) -> Column:
-    """The places where the phrase's words stand one after the other."""
-    parts = phrase.split()
-    last = F.size(words) - len(parts)
-    at = lambda i: reduce(lambda a, b: a & b, (F.get(words, i + j) == p for j, p in enumerate(parts)))
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), at)).otherwise(F.array().cast("array<int>"))
+def _offset(template: Template) -> int:
+    """Where the key phrase starts in the template, in words."""
+    phrase, text = template[1].split(), template[2].split()
+    return next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE_PHRASES, rare_words: int = RARE_WORDS, votes: int = VOTES) -> DataFrame:
+def scan(
+    docs: DataFrame, templates: Sequence[Template] = TEMPLATES, base: dict[str, str] = BASE_PHRASES, rare_words: int = RARE_WORDS, votes: int = VOTES, min_share: float = MIN_SHARE
+) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score: one row a document.
 
     base maps phrases to labels: n_base counts their places, first_word and last_word are the
-    smallest and largest start (null without any). labels has the base labels and those of the
-    templates found; both are sorted and comma-joined, '' without any. score is the best share of
-    a template's words at their aligned places, and 1 at least where a base phrase stands alone
-    would say too much, so a base label without aligned template scores the phrase's share of it.
-
-    Null and empty texts have no words, no labels and score 0. Rows that repeat a doc_id are
-    scanned each for itself. Other columns are not looked at."""
-    vocabulary = sorted({w for phrase, text in templates.values() for w in (phrase + " " + text).split()})
-    phrases = {p: [l for l, (q, _) in templates.items() if q == p] for p in dict.fromkeys([*base, *(p for p, _ in templates.values())])}
-    lower = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("lower"))
-    split = lower.select("doc_id", "lower", F.filter(F.split("lower", SEPARATOR), lambda w: w != "").alias("words"))
-    # A phrase can only stand where its longest word is a part of the text: a plain substring
-    # test keeps the positional work to those files.
-    maybe = {p: F.contains(F.col("lower"), F.lit(max(p.split(), key=len))) for p in phrases}
-    none = F.array().cast("array<int>")
-    split = split.withColumns({f"p{i}": F.when(maybe[p], _starts(F.col("words"), p)).otherwise(none) for i, p in enumerate(phrases)})
-    found = reduce(lambda a, b: a | b, (F.size(f"p{i}") > 0 for i in range(len(phrases))))
-    every = F.array(*map(F.lit, vocabulary))
-    seen = F.array_intersect(F.col("words"), every)
-    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda s: F.array_contains(every, s["word"]))
-    files = staged(
-        split.select(
-            F.monotonically_increasing_id().alias("row"),
-            "doc_id",
-            F.size("words").cast("long").alias("n_words"),
-            *[f"p{i}" for i in range(len(phrases))],
-            seen.alias("seen"),
-            F.when(found, places).alias("places"),
-        ),
-        "license-words",
-    )
-
-    # Document frequency of the licence words over all files; one row a word of the vocabulary.
-    df = files.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    postings = files.sparkSession.createDataFrame(
-        [(w, label, i, len(text.split())) for label, (_, text) in templates.items() for i, w in enumerate(text.split())],
-        "word string, label string, place int, length int",
+    smallest and largest start (null without any). templates are (label, key phrase, text), the
+    phrase of two different words at least and a part of the text. A template is found where its key
+    phrase stands and at least min_share of its words stand at their places with it, whatever stands
+    between; labels has the base labels and those of the templates found. Both are sorted and
+    comma-joined, '' without any. score is the largest share of a template found, 0 without any.
+
+    Null and empty texts have no words, no labels and score 0. Texts of any length are scanned
+    whole, and all places count. Of words as frequent as each other the first by its letters is the
+    rarer one; which it is changes no result. Rows that repeat a doc_id are scanned each for itself.
+    An empty table gives an empty result. Other columns are not looked at, whatever their names."""
+    every = [(label, phrase, phrase) for phrase, label in base.items()] + list(templates)
+    vocabulary = sorted({w for _, _, text in every for w in text.split()})
+    phrases = sorted({t[1] for t in every})
+    has = lambda phrase: F.size(F.array_except(_literal(sorted(set(phrase.split()))), F.col("seen"))) == 0
+    split = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    split = split.withColumn("seen", F.array_intersect("words", _literal(vocabulary)))
+    # a file without all words of any key phrase has nothing to align
+    may = (F.size("seen") > 1) & reduce(lambda a, b: a | b, (has(p) for p in phrases))
+    files = staged(split.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "seen", F.when(may, F.col("words")).alias("words")), "license-words")
+
+    # document frequencies of the licence words: one row a word of the vocabulary
+    df = {r["word"]: r["df"] for r in files.select(F.explode("seen").alias("word")).groupBy("word").agg(F.count("*").alias("df")).collect()}
+    rarest = lambda text: sorted(set(text.split()), key=lambda w: (df.get(w, 0), w))
+    asked = []
+    for i, (_, phrase, text) in enumerate(every):
+        here = lambda words: F.array_intersect(_literal(words), F.col("seen"))  # noqa: E731  in the order of the first
+        look = F.array_union(F.slice(here(rarest(text)), 1, rare_words), _literal(rarest(phrase)[:2]))
+        asked.append(F.when(has(phrase), F.struct(F.lit(i).alias("t"), look.alias("look"))))
+    some = files.where("words is not null").select("row", "words", F.array_compact(F.array(*asked)).alias("asked"))
+    some = some.withColumn("all", F.array_distinct(F.flatten(F.col("asked.look"))))
+
+    postings = files.sparkSession.createDataFrame([(w, i, at) for i, (_, _, text) in enumerate(every) for at, w in enumerate(text.split())], "word string, t int, place int")
+    found = some.select("row", "asked", "all", F.posexplode("words").alias("at", "word")).where(F.array_contains("all", F.col("word")))
+    found = found.select("row", "word", "at", F.explode("asked").alias("a")).where(F.array_contains("a.look", F.col("word"))).select("row", "word", "at", "a.t")
+    shifts = found.join(F.broadcast(postings), ["word", "t"]).groupBy("row", "t", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("word").alias("votes"))
+    proposed = shifts.where(F.col("votes") >= votes).groupBy("row").agg(F.collect_list(F.struct("t", "shift")).alias("proposed"))  # a file's own
+
+    texts, keys = (F.array(*[_literal(t[k].split()) for t in every]) for k in (2, 1))
+    offsets, labels = F.array(*[F.lit(_offset(t)) for t in every]), _literal([t[0] for t in every])
+    rows = some.select("row", "words").join(proposed, "row")
+    rows = rows.withColumns({"texts": texts, "keys": keys, "offsets": offsets, "names": labels})
+    stands = lambda words, start: F.forall(F.transform(words, lambda w, i: F.coalesce(F.get(F.col("words"), start + i) == w, F.lit(False))), lambda x: x)
+    share = lambda words, start: F.size(F.filter(F.transform(words, lambda w, i: F.get(F.col("words"), start + i) == w), lambda x: x)) / F.size(words)
+    of = lambda column, s: F.get(F.col(column), s["t"])
+    rows = rows.withColumn("verified", F.filter("proposed", lambda s: stands(of("keys", s), s["shift"] + of("offsets", s))))
+    is_base = lambda s: s["t"] < len(base)
+    rows = rows.withColumns(
+        {
+            "starts": F.transform(F.filter("verified", is_base), lambda s: s["shift"]),
+            "base": F.transform(F.filter("verified", is_base), lambda s: of("names", s)),
+            "own": F.filter(F.transform(F.filter("verified", lambda s: ~is_base(s)), lambda s: F.struct(of("names", s).alias("label"), share(of("texts", s), s["shift"]).alias("share"))), lambda x: x["share"] >= min_share),
+        }
     )
-    at = files.where("places is not null").select("row", F.explode("places").alias("p")).select("row", "p.word", "p.at")
-    key_places = reduce(
-        DataFrame.unionByName,
-        [files.where(F.size(f"p{i}") > 0).select("row", F.lit(label).alias("label"), F.explode(f"p{i}").alias("key_at"), F.lit(_offset(templates[label])).alias("key_place")) for i, p in enumerate(phrases) for label in phrases[p]],
-    )
-    shifts = key_places.select("row", "label", (F.col("key_at") - F.col("key_place")).alias("shift")).distinct()
-    # where each word of the template would stand, and whether it does
-    due = shifts.join(F.broadcast(postings), "label").withColumn("at", F.col("shift") + F.col("place"))
-    stretch = ["row", "label", "length", "shift"]
-    by_idf = Window.partitionBy(*stretch).orderBy("df", "word")
-    aligned = (
-        due.join(at, ["row", "word", "at"])
-        .join(F.broadcast(df), "word")
-        .withColumn("rank", F.dense_rank().over(by_idf))
-        .groupBy(*stretch)
-        .agg(F.countDistinct(F.when(F.col("rank") <= rare_words, F.col("word"))).alias("votes"), F.countDistinct("place").alias("hits"))
-        .where(F.col("votes") >= votes)
-    )
-    hits = aligned.groupBy("row").agg(F.collect_set("label").alias("own"), F.max(F.col("hits") / F.col("length")).alias("score"))
-    starts = F.flatten(F.array(*[F.col(f"p{i}") for i, p in enumerate(phrases) if p in base]))
-    base_labels = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(base[p])) for i, p in enumerate(phrases) if p in base]))
-    joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    share = {p: max((len(p.split()) / len(text.split()) for q, text in templates.values() if q == p), default=1.0) for p in base}
-    base_score = F.greatest(F.lit(0.0), *[F.when(F.size(f"p{i}") > 0, F.lit(share[p])) for i, p in enumerate(phrases) if p in base])
+    hits = rows.select("row", "starts", F.array_distinct("base").alias("base"), F.array_distinct("own.label").alias("own"), F.array_max("own.share").alias("score"))
+    none, joined = F.array().cast("array<string>"), lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return (
-        files.join(hits, "row", "left")
-        .withColumns({"starts": starts, "base": base_labels})
+        files.select("row", "doc_id", "n_words")
+        .join(hits, "row", "left")
         .select(
             "doc_id",
             "n_words",
-            F.size("starts").cast("long").alias("n_base"),
+            F.size(F.coalesce("starts", F.array().cast("array<int>"))).cast("long").alias("n_base"),
             F.array_min("starts").cast("long").alias("first_word"),
             F.array_max("starts").cast("long").alias("last_word"),
-            joined(F.col("base")).alias("base_labels"),
-            joined(F.concat("base", F.coalesce("own", F.array().cast("array<string>")))).alias("labels"),
-            F.greatest(F.coalesce("score", F.lit(0.0)), base_score).alias("score"),
+            joined(F.coalesce("base", none)).alias("base_labels"),
+            joined(F.concat(F.coalesce("base", none), F.coalesce("own", none))).alias("labels"),
+            F.coalesce("score", F.lit(0.0)).alias("score"),
         )
     )
 
 
-def _offset(template: tuple[str, str]) -> int:
-    """Where the mandatory phrase starts in the template, in words."""
-    phrase, text = (f" {x} " for x in template)
-    return len(re.split(" +", text[: text.index(phrase)].strip())) if text.index(phrase) else 0
-
-
-#: The columns that the contract fixes, in DuckDB.
-BASE_SQL = r"""
-with d as (
-  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from documents)
-select doc_id, len(w)::bigint as n_words from d
-"""
+def _sql(templates: Sequence[Template] = TEMPLATES, base: dict[str, str] = BASE_PHRASES, min_share: float = MIN_SHARE) -> str:
+    """The same rows in DuckDB, by looking for each key phrase at each place."""
+    listed = lambda s: "[" + ", ".join(f"'{w}'" for w in s.split()) + "]"
+    rows = [f"('{label}', {listed(phrase)}, {listed(phrase)}, 0, true)" for phrase, label in base.items()]
+    rows += [f"('{t[0]}', {listed(t[1])}, {listed(t[2])}, {_offset(t)}, false)" for t in templates]
+    return rf"""
+    with t(label, phrase, words, place, base) as (values {', '.join(rows)}),
+    d as (
+      select row_number() over () as row, doc_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+      from documents),
+    p as (
+      select row, label, words, base, at, at - place as shift
+      from (select d.row, t.label, t.phrase, t.words, t.place, t.base, d.w, unnest(range(1, len(d.w) - len(t.phrase) + 2)) as at from d join t on list_has_all(d.w, t.phrase)) x
+      where w[at : at + len(phrase) - 1] = phrase),
+    s as (
+      select p.*, len(list_filter(range(1, len(words) + 1), lambda i: shift + i - 1 >= 1 and d.w[shift + i - 1] = words[i]))::double / len(words) as share from p join d using (row)),
+    h as (
+      select row, count(*) filter (where base) as n_base, min(at - 1) filter (where base) as first_word, max(at - 1) filter (where base) as last_word,
+             string_agg(distinct label, ',' order by label) filter (where base) as base_labels,
+             string_agg(distinct label, ',' order by label) filter (where base or share >= {min_share}) as labels, max(share) filter (where not base and share >= {min_share}) as score
+      from s group by row)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+           coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+    from d left join h using (row)"""
+
+
+SQL = _sql()
