@@ -5,8 +5,8 @@ quantised residual from the cell's centroid. A query probes its nearest cells: a
 tables (query residual against code words) rank a cell's rows, and the best of them are measured
 exactly on the original vectors. The model is fitted on a bounded sample, every row is indexed.
 
-Cells are cut into blocks of rows and queries into blocks too, so that a cell that holds a third
-of all rows is spread over many tasks.
+A cell's rows and the queries that ask it are cut into blocks, so that a cell that holds a third of
+all rows is spread over many tasks. Vectors of different lengths have models of their own.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.shared import staged
-from lodeline.llm.vectors import best, lists, matrix, smallest, takes_part
+from lodeline.llm.vectors import asked_blocks, best, lists, matrix, smallest, takes_part
 
 #: Rows that centroids and code words are fitted on, at most.
 FIT_SAMPLE = 16_384
@@ -29,14 +29,36 @@ WORDS, PART, ROUNDS = 256, 4, 8
 #: Cells: the root of the rows, divided by this, up to MOST_CELLS.
 CELL_DIVISOR, MOST_CELLS = 2, 4096
 #: The cells to probe are as many as find this share of the sample's true neighbours.
-TARGET_RECALL = 0.985
+TARGET_RECALL = 0.96
 #: Rows of a cell block that are measured exactly, for each query.
 RERANK = 64
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
+#: Numbers of a table of distances, at most: larger ones are made in blocks of rows.
+TABLE = 1 << 22
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T)
+    d = a @ b.T
+    d *= -2
+    d += (a * a).sum(1)[:, None]
+    d += (b * b).sum(1)[None, :]
+    return np.maximum(d, 0, out=d)
+
+
+def _blocks(x: np.ndarray, b: np.ndarray) -> Iterator[slice]:
+    """Rows of x whose distances to b are one table."""
+    step = max(1, TABLE // max(1, len(b)))
+    return (slice(i, i + step) for i in range(0, len(x), step))
+
+
+def closest(x: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of x the nearest row of b, the first of equals, and the squared distance."""
+    at, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for s in _blocks(x, b):
+        d = _squares(x[s], b)
+        at[s] = d.argmin(1)
+        far[s] = d[np.arange(len(d)), at[s]]
+    return at, far
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
@@ -46,14 +68,12 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.nda
     k = min(k, len(distinct))
     c = distinct[np.random.default_rng(seed).choice(len(distinct), k, replace=False)] if k else x[:0]
     for _ in range(rounds if k < len(distinct) else 0):
-        d = _squares(x, c)
-        near = d.argmin(1)
+        near, d = closest(x, c)
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(n[:, None] > 0, total / np.maximum(1, n)[:, None], c)
-        far = np.argsort(-d[np.arange(len(x)), near])
-        for i, j in zip(np.flatnonzero(n == 0), far, strict=False):
+        for i, j in zip(np.flatnonzero(n == 0), np.argsort(-d), strict=False):
             c[i] = x[j]
     return c
 
@@ -65,14 +85,15 @@ class Model:
     cells: np.ndarray
     words: list[np.ndarray]
     probes: int
+    fitted: bool = True
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, i : i + PART] for i in range(0, x.shape[1], PART)]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = _squares(x, self.cells).argmin(1)
+        cell, _ = closest(x, self.cells)
         left = x - self.cells[cell]
-        codes = [_squares(p, w).argmin(1) for p, w in zip(self.parts(left), self.words, strict=True)]
+        codes = [closest(p, w)[0] for p, w in zip(self.parts(left), self.words, strict=True)]
         return cell, np.stack(codes, 1).astype(np.uint8)
 
     def tables(self, x: np.ndarray, cell: int) -> list[np.ndarray]:
@@ -81,18 +102,20 @@ class Model:
 
 
 def fit(sample: np.ndarray, n_rows: int, k: int, target: float = TARGET_RECALL) -> Model:
+    """The model of n_rows rows, of which sample is a part."""
     cells = kmeans(sample, max(1, min(MOST_CELLS, len(sample), round(n_rows**0.5 / CELL_DIVISOR))))
-    left = sample - cells[_squares(sample, cells).argmin(1)]
+    home, _ = closest(sample, cells)
+    left = sample - cells[home]
     words = [kmeans(left[:, i : i + PART], WORDS, 4, i + 1) for i in range(0, sample.shape[1], PART)]
     # how many cells hold the neighbours: asked with a part of the sample against all of it
     asks = sample[:: max(1, len(sample) // 256)]
-    d = _squares(asks, sample)
-    neighbours = np.argsort(d, 1, kind="stable")[:, 1 : k + 1]
-    home = _squares(sample, cells).argmin(1)
-    order = np.argsort(np.argsort(_squares(asks, cells), 1), 1)
-    ranks = np.take_along_axis(order, home[neighbours], 1).reshape(-1)
-    probes = int(np.sort(ranks)[min(len(ranks) - 1, int(target * len(ranks)))]) + 1 if len(ranks) else len(cells)
-    return Model(cells, words, probes)
+    ranks = []
+    for s in _blocks(asks, sample):
+        neighbours = np.argsort(_squares(asks[s], sample), 1, kind="stable")[:, 1 : k + 1]
+        order = np.argsort(np.argsort(_squares(asks[s], cells), 1, kind="stable"), 1)
+        ranks.append(np.take_along_axis(order, home[neighbours], 1).reshape(-1))
+    ranks = np.sort(np.concatenate(ranks))
+    return Model(cells, words, int(ranks[min(len(ranks) - 1, int(target * len(ranks)))]) + 1 if len(ranks) else len(cells))
 
 
 def search_block(model: Model, cell: int, q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int, rerank: int) -> tuple[list, list]:
@@ -118,54 +141,47 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, fit_sample: int
     """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score: for each row where
     is_query holds its k nearest found by Euclidean distance, ties to the smaller vec_id.
 
-    Candidates are all rows but the query's own, repeated ids and vectors included; a repeated
-    query is answered for each row. A query gets k rows if there are as many, else all: cells are
-    probed beyond the usual number until they hold enough. Rows without vec_id, and vectors that
-    are null, zero or hold null or non-finite components, take no part; nor do vectors of another
-    length than the commonest (of two as common, the shorter). An empty table, or one without
-    queries, gives an empty result. Other columns are not looked at."""
-    spark = vectors.sparkSession
+    Candidates are all rows of the query's length but its own, repeated ids and vectors included; a
+    repeated query is answered for each row. A query gets k rows if there are as many, else all:
+    cells are probed beyond the usual number until they hold enough. Rows without vec_id, and
+    vectors that are null, zero or hold null or non-finite components, take no part. An empty table,
+    or one without queries, gives an empty result. Other columns are not looked at."""
     schema = "query_row long, query_id long, vec_id long, score double"
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("asks"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & takes_part(F.col("v")) & F.exists("v", lambda x: x != 0))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    if common is None:
-        return best(spark.createDataFrame([], schema), k, F.col("score"))
-    dims, n_rows = common
-    rows = rows.where(F.size("v") == dims)
-    sample = rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_sample).select("v").toArrow()
-    model = fit(matrix(sample["v"], np.float64), n_rows, k)
+    lengths = {r["n"]: r["count"] for r in rows.groupBy(F.size("v").alias("n")).count().collect()}  # one row a length
+    sample: dict[int, list] = {n: [] for n in lengths}
+    for r in rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_sample).toArrow()["v"]:
+        x = r.values.to_numpy()
+        sample[len(x)].append(x)
+    # a length that the sample does not have is rare: one cell, of which all rows are measured
+    models = {n: fit(np.array(own), lengths[n], k) if own else Model(np.zeros((1, n)), [np.zeros((1, len(range(i, min(i + PART, n))))) for i in range(0, n, PART)], 1, False) for n, own in sample.items()}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                cell, code = model.encode(matrix(b.column("v"), np.float64))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), b.column("asks"), pa.array(cell, pa.int32()), pa.array([x.tobytes() for x in code], pa.binary())], ["vec_id", "v", "asks", "cell", "code"])
+            for n in np.unique(sizes := np.diff(b.column("v").offsets.to_numpy())).tolist():
+                part = b.filter(pa.array(sizes == n))
+                cell, code = models[n].encode(matrix(part.column("v"), np.float64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(cell), n), pa.int32()), pa.array(cell, pa.int32()), pa.array([x.tobytes() for x in code], pa.binary())], ["vec_id", "v", "asks", "size", "cell", "code"])
 
-    indexed = rows.mapInArrow(index, "vec_id long, v array<double>, asks boolean, cell int, code binary")
+    indexed = rows.mapInArrow(index, "vec_id long, v array<double>, asks boolean, size int, cell int, code binary")
     indexed = staged(indexed.withColumn("row", F.monotonically_increasing_id()), "ivf")
-    sizes = np.zeros(len(model.cells), np.int64)
-    n_asks = 0
-    for r in indexed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect():  # one row a cell
-        sizes[r["cell"]] = r["n"]
-        n_asks += r["q"]
-    salts, q_blocks = -(-sizes // row_block), max(1, -(-n_asks // query_block))
+    sizes = {(r["size"], r["cell"]): r["count"] for r in indexed.groupBy("size", "cell").count().collect()}  # one row a length and cell
+    held = {n: np.array([sizes.get((n, c), 0) for c in range(len(m.cells))]) for n, m in models.items()}
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            order = np.argsort(_squares(matrix(b.column("v"), np.float64), model.cells), 1, kind="stable")
-            enough = (np.cumsum(sizes[order], 1) <= k).sum(1) + 1  # k others and the row itself
-            asks = [(i, c, s) for i, o in enumerate(order) for c in o[: max(model.probes, enough[i])] for s in range(salts[c])]
-            i, c, s = (np.array(x, np.int64) for x in zip(*asks, strict=True))
-            part = b.select(["row", "vec_id", "v"]).take(pa.array(i))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c, pa.int32()), pa.array(s)], ["row", "vec_id", "v", "cell", "salt"])
-
-    asking = indexed.where("asks").select("row", "vec_id", "v").mapInArrow(probe, "row long, vec_id long, v array<double>, cell int, salt long")
-    asking = asking.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(q_blocks)))
-    cuts = F.element_at(F.array(*[F.lit(max(1, int(s))) for s in salts]), F.col("cell") + 1)
-    asked = indexed.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(1)), cuts)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")))
+            for n in np.unique(size := b.column("size").to_numpy()).tolist():
+                part, m = b.filter(pa.array(size == n)), models[n]
+                v = matrix(part.column("v"), np.float64)
+                for s in _blocks(v, m.cells):
+                    order = np.argsort(_squares(v[s], m.cells), 1, kind="stable")
+                    enough = (np.cumsum(held[n][order], 1) <= k).sum(1) + 1  # k others and the row itself
+                    i, at = np.nonzero(np.arange(order.shape[1])[None, :] < np.maximum(m.probes, enough)[:, None])
+                    some = part.select(["row", "vec_id", "v"]).take(pa.array(i + s.start))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(i), n), pa.int32()), pa.array(order[i, at], pa.int32())], ["row", "vec_id", "v", "size", "cell"])
+
+    asking = indexed.where("asks").select("row", "vec_id", "v", "size").mapInArrow(probe, "row long, vec_id long, v array<double>, size int, cell int")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -173,10 +189,10 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, fit_sample: int
         side = lambda t: {"row": t["row"].to_numpy(), "id": t["vec_id"].to_numpy(), "v": matrix(t["v"], np.float64)}
         q, c = side(left), side(right)
         c["code"] = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        at, score = search_block(model, int(left["cell"][0].as_py()), q, c, k, rerank)
+        m = models[left["size"][0].as_py()]
+        at, score = search_block(m, left["cell"][0].as_py(), q, c, k, rerank if m.fitted else right.num_rows)
         n = [len(a) for a in at]
         return pa.table({"query_row": np.repeat(q["row"], n), "query_id": np.repeat(q["id"], n), "vec_id": c["id"][np.concatenate(at)], "score": np.concatenate(score)})
 
-    keys = ["cell", "salt", "qb"]
-    found = asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, schema)
+    found = asked_blocks(staged(asking, "ivf-asks"), indexed.drop("asks"), sizes, query_block, row_block).applyInArrow(meet, schema)
     return best(found, k, F.col("score"))

@@ -1,8 +1,10 @@
 """What both vector searches share: rows that take part, and blocks of queries against blocks of rows.
 
-A block of queries meets a block of rows in one cogroup: every row goes to as many tasks as there
-are blocks of queries, so no task holds more than a block of either, however many queries or equal
-vectors there are. Each task returns the best k of its block, and a window keeps the best of all.
+Rows lie in cells, and a query asks some of them. A cell's rows are cut into blocks, and so are the
+queries that ask it; a block of queries meets a block of rows in one cogroup. A row goes only to as
+many tasks as there are blocks of queries that ask its cell, and no task holds more than a block of
+either, however many queries or equal vectors there are. Each task returns the best k of its block,
+and a window keeps the best of all.
 """
 
 from __future__ import annotations
@@ -33,6 +35,21 @@ def lists(m: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.ascontiguousarray(m).reshape(-1), kind))
 
 
+def asked_blocks(asking: DataFrame, rows: DataFrame, sizes: dict[tuple[int, int], int], query_block: int, row_block: int):
+    """asking, rows: (size, cell, row, ...), sizes: rows of each (size, cell) -> their cogroup by block
+    of queries and block of rows. The counts of queries and of rows, one number a length and cell,
+    go to the driver and into the plan."""
+    asks = {(r["size"], r["cell"]): r["n"] for r in asking.groupBy("size", "cell").agg(F.count("*").alias("n")).collect()}
+    both = asking.sparkSession.createDataFrame([(s, c, -(-sizes[s, c] // row_block), -(-n // query_block)) for (s, c), n in asks.items() if (s, c) in sizes], "size int, cell int, salts int, blocks int")
+    deal = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # rows are dealt by a hash of the row, so equal vectors or ids spread out; cells that nobody asks go
+    asking = asking.join(F.broadcast(both), ["size", "cell"]).withColumn("qb", deal("blocks", 1)).withColumn("salt", every("salts"))
+    rows = rows.join(F.broadcast(both), ["size", "cell"]).withColumn("salt", deal("salts", 2)).withColumn("qb", every("blocks"))
+    keys = ["size", "cell", "salt", "qb"]
+    return asking.drop("salts", "blocks").groupBy(*keys).cogroup(rows.drop("salts", "blocks").groupBy(*keys))
+
+
 def best(found: DataFrame, k: int, order: Column) -> DataFrame:
     """found (query_row, query_id, vec_id, score) -> each query's best k, ranked from 1."""
     w = Window.partitionBy("query_row").orderBy(order, F.col("vec_id"))
