@@ -6,6 +6,8 @@ Snapshots are Parquet folders, or JSON documents {version, dims, items} for exch
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,15 +71,61 @@ def delete(store: DataFrame, ids: DataFrame) -> DataFrame:
     return store.join(ids.select("id"), "id", "left_anti").select(*store.columns)
 
 
+#: Names the folder of the snapshot that counts.
+CURRENT = "CURRENT"
+
+
+def _path(spark: SparkSession, *parts: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path("/".join(parts))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the snapshot at path; None if there is none."""
+    fs, mark = _path(spark, path, CURRENT)
+    if not fs.exists(mark):
+        return None
+    stream = fs.open(mark)
+    try:
+        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return f"{path}/{name}"
+
+
 def save(store: DataFrame, path: str) -> int:
-    """A Parquet snapshot, committed as a whole; the number of rows."""
-    store.write.mode("overwrite").parquet(path)
-    return store.sparkSession.read.parquet(path).count()
+    """A Parquet snapshot at path; the number of rows. The rows go to a new folder first, then a mark
+    that names it is put in the place of the old one, so a reader has the old snapshot or the new one,
+    never a part; the folders before the one that was current go. A store that was loaded from path can
+    be saved there: what it reads stays until the save after the next."""
+    spark = store.sparkSession
+    name, before = f"snapshot-{uuid.uuid4().hex}", _current(spark, path)
+    store.write.parquet(f"{path}/{name}")
+    fs, mark = _path(spark, path, CURRENT)
+    _, new = _path(spark, path, f"{name}.mark")
+    out = fs.create(new, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(mark.toUri(), spark._jsc.hadoopConfiguration()).rename(new, mark, _overwrite(spark))
+    for s in fs.listStatus(_path(spark, path)[1]):
+        old = s.getPath().getName()
+        if old.startswith("snapshot-") and old != name and f"{path}/{old}" != before:
+            fs.delete(s.getPath(), True)
+    return spark.read.parquet(f"{path}/{name}").count()
+
+
+def _overwrite(spark: SparkSession):
+    """Hadoop's option for a rename that replaces, as the array that the call takes."""
+    kind = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE
+    return options
 
 
 def load(spark: SparkSession, path: str, schema: str = ITEM) -> DataFrame:
-    """A Parquet snapshot; empty if there is none."""
-    return spark.read.schema(schema).parquet(path) if snapshot_info(spark, path)["exists"] else spark.createDataFrame([], schema)
+    """The Parquet snapshot at path; empty if there is none."""
+    current = _current(spark, path)
+    return spark.read.schema(schema).parquet(current) if current else spark.createDataFrame([], schema)
 
 
 def save_json(store: DataFrame, path: str, dims: int) -> int:
@@ -105,8 +153,8 @@ def load_json(spark: SparkSession, path: str, schema: str = ITEM, reassign: bool
 
 
 def snapshot_info(spark: SparkSession, path: str) -> dict:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Whether there is a snapshot at path, and its bytes: of the current one, or of all files."""
+    fs, where = _path(spark, _current(spark, path) or path)
     exists = fs.exists(where)
     return {"path": path, "exists": exists, "size_bytes": fs.getContentSummary(where).getLength() if exists else 0}
 
