@@ -6,7 +6,7 @@ whole documents inside one scan, so nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,24 +20,26 @@ from lodeline.functions.models import Embed, hashing_embedder
 PERCENTILE, MIN_WORDS, MAX_WORDS = 75.0, 25, 350
 
 
-def distances(vectors: list[list[float]]) -> list[float]:
+def distances(vectors: Sequence[Sequence[float]]) -> np.ndarray:
     """Clamped cosine distances of neighbours; 1 for empty, unlike long or zero vectors."""
-    out = []
-    for a, b in zip(vectors, vectors[1:], strict=False):
-        if not len(a) or len(a) != len(b):
-            out.append(1.0)
-            continue
-        x, y = np.asarray(a, float), np.asarray(b, float)
-        scale = float(np.sqrt(x @ x) * np.sqrt(y @ y))
-        out.append(1.0 - float(np.clip(x @ y / scale, -1.0, 1.0)) if scale else 1.0)
-    return out
-
-
-def threshold(d: list[float], percentile: float) -> float:
+    if len(vectors) < 2:
+        return np.zeros(0)
+    size = np.array([len(v) for v in vectors])
+    m = np.zeros((len(vectors), max(1, size.max())))
+    for n in np.unique(size):
+        m[size == n, :n] = [v for v in vectors if len(v) == n]
+    scale = np.sqrt((m * m).sum(1))
+    scale = scale[1:] * scale[:-1]
+    fits = (size[1:] == size[:-1]) & (scale > 0)
+    dot = (m[1:] * m[:-1]).sum(1)
+    return np.where(fits, 1.0 - np.clip(dot / np.where(fits, scale, 1.0), -1.0, 1.0), 1.0)
+
+
+def threshold(d: Sequence[float], percentile: float) -> float:
     """The value at the percentile's rank, without interpolation; 0 of none."""
     if not 0 <= percentile <= 100:
         raise ValueError("the percentile must be from 0 to 100")
-    return sorted(d)[min(int(len(d) * percentile / 100.0), len(d) - 1)] if d else 0.0
+    return float(np.sort(d)[min(int(len(d) * percentile / 100.0), len(d) - 1)]) if len(d) else 0.0
 
 
 def cuts(counts: list[int], d: list[float], at: float, least: int, most: int) -> list[int]:
@@ -53,15 +55,22 @@ def cuts(counts: list[int], d: list[float], at: float, least: int, most: int) ->
     return out
 
 
-def _fold(docs: DataFrame, fields: T.StructType, handle, embed: Embed, text: str) -> DataFrame:
-    names = fields.names
+def _fold(docs: DataFrame, schema: str, handle, embed: Embed, text: str) -> DataFrame:
+    """handle: id, text, sentences, distances or None if any sentence has no vector -> rows. The
+    distances of a whole batch are one computation."""
+    fields = T._parse_datatype_string(schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            size = frame["sentences"].map(len).to_numpy()
             flat = [s for x in frame["sentences"] for s in x]
-            vectors = iter(embed(flat)) if flat else iter(())
-            rows = [handle(r.id, getattr(r, text), list(r.sentences), [next(vectors) for _ in r.sentences]) for r in frame.itertuples()]
-            yield pd.DataFrame([x for r in rows for x in r], columns=names)
+            vectors = embed(flat) if flat else []
+            d, given = distances(vectors), np.array([len(v) > 0 for v in vectors], bool)
+            ends, rows = np.cumsum(size), []
+            for i, whole, own, z in zip(frame["id"], frame[text], frame["sentences"], ends, strict=True):
+                a = z - len(own)
+                rows += handle(i, whole, list(own), d[a : max(a, z - 1)], bool(given[a:z].all()))
+            yield pd.DataFrame(rows, columns=fields.names)
 
     rows = tx.sentences(docs.select("id", F.coalesce(F.col(text), F.lit("")).alias(text)), text)
     return rows.mapInPandas(run, fields)
@@ -72,22 +81,21 @@ def semantic_chunks(docs: DataFrame, embed: Embed = hashing_embedder, percentile
     if any sentence has no vector, the document gets fixed chunks; blank texts get none."""
     threshold([], percentile)
 
-    def handle(i: int, whole: str, own: list[str], vectors: list[list[float]]) -> list[tuple]:
+    def handle(i: int, whole: str, own: list[str], d: np.ndarray, given: bool) -> list[tuple]:
         counts = [len(s.split()) for s in own]
         if len(own) <= 1:
             chunks = [whole.strip()] if whole.strip() else []
-        elif len(whole.split()) <= least:
+        elif sum(counts) <= least:
             chunks = [" ".join(own)]
-        elif any(not len(v) for v in vectors):
+        elif not given:
             chunks = _windows(whole)
         else:
-            d = distances(vectors)
             ends = [*cuts(counts, d, threshold(d, percentile), least, most), len(own) - 1]
             starts = [0, *(e + 1 for e in ends)]
             chunks = [" ".join(own[a : e + 1]) for a, e in zip(starts, ends, strict=False)]
         return [(i, k, c) for k, c in enumerate(chunks)]
 
-    return _fold(docs, T._parse_datatype_string("id long, place long, chunk string"), handle, embed, text)
+    return _fold(docs, "id long, place long, chunk string", handle, embed, text)
 
 
 def _windows(whole: str, size: int = tx.CHUNK_WORDS, overlap: int = tx.OVERLAP_WORDS) -> list[str]:
@@ -110,9 +118,9 @@ def semantic_preview(docs: DataFrame, embed: Embed = hashing_embedder, percentil
     without vector are at distance 1."""
     threshold([], percentile)
 
-    def handle(i: int, whole: str, own: list[str], vectors: list[list[float]]) -> list[tuple]:
+    def handle(i: int, whole: str, own: list[str], d: np.ndarray, given: bool) -> list[tuple]:
         counts = [len(s.split()) for s in own]
-        d = [round(x, 4) for x in distances(vectors)]
+        d = [round(x, 4) for x in d.tolist()]
         at = round(threshold(d, percentile), 4)
         inner = cuts(counts, d, at, least, most)
         ends = [*inner, len(own) - 1] if own else []
@@ -120,4 +128,4 @@ def semantic_preview(docs: DataFrame, embed: Embed = hashing_embedder, percentil
         chunks = [{"text": " ".join(own[a : e + 1]), "words": sum(counts[a : e + 1]), "first": a, "last": e} for a, e in zip(starts, ends, strict=False)]
         return [(i, own, d, at, inner, chunks, len(own), len(chunks))]
 
-    return _fold(docs, T._parse_datatype_string(_PREVIEW), handle, embed, text)
+    return _fold(docs, _PREVIEW, handle, embed, text)
