@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeline.operators import knn, lexical
+from lodeline.operators import graph, knn, lexical, quantize
 
 RRF_K = 60
 
@@ -21,14 +21,28 @@ def merge(vector: DataFrame, lexical_hits: DataFrame, k: int = 3, rrf_k: int = R
     return both.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 3, rrf_k: int = RRF_K) -> DataFrame:
+#: Fewer chunks than this are searched by their codes, and the breadth of a graph search from there on.
+FEW, BREADTH = 10, 50
+
+
+def routed(queries: DataFrame, chunks: DataFrame, k: int, index: DataFrame | None = None) -> DataFrame:
+    """queries (qid, emb), chunks (id, emb) -> qid, id, dist, rank, by cosine: few chunks by their
+    quantised vectors, more by the layered graph (index, or one that is built now)."""
+    n = chunks.count()
+    if n < FEW:
+        return quantize.search_batch(queries, chunks, k)
+    return graph.search(graph.build(chunks) if index is None else index, queries, k, BREADTH)
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 3, rrf_k: int = RRF_K, near: DataFrame | None = None) -> DataFrame:
     """queries (qid, text, emb), chunks (id, title, text, emb) -> qid, id, score, rank. Either list
-    has 4 k hits; the vector one has no distance limit."""
-    near = knn.search_batch(queries, chunks, 4 * k)
+    has 4 k hits; the vector one has no distance limit, and is near, if that is given."""
+    near = knn.search_batch(queries, chunks, 4 * k) if near is None else near
     words = lexical.score(queries, chunks.select("id", lexical.indexed_text().alias("content")), 4 * k)
     return merge(near, words, k, rrf_k)
 
 
-def vector_hits(queries: DataFrame, chunks: DataFrame, k: int = 3, max_dist: float = 0.9) -> DataFrame:
+def vector_hits(queries: DataFrame, chunks: DataFrame, k: int = 3, max_dist: float = 0.9, near: DataFrame | None = None) -> DataFrame:
     """Of each query's 2 k nearest the first k that are near enough."""
-    return knn.search_batch(queries, chunks, 2 * k).where(F.col("dist") <= max_dist).where(F.col("rank") <= k)
+    near = knn.search_batch(queries, chunks, 2 * k) if near is None else near
+    return near.where(F.col("dist") <= max_dist).where(F.col("rank") <= k)

@@ -1,9 +1,10 @@
-"""Layered neighbour graphs: build, delete, search, trace and topology.
+"""Layered neighbour graphs: build, store, delete, search, trace and topology.
 
 Inserting is sequential by nature: each node is linked to what the graph holds by then. So a graph
-is built inside one task from a bounded shard of the items, many shards at once; one shard of all
-items gives the classic graph, many give a forest whose searches are merged. What comes back are
-tables of nodes and edges.
+is built inside one task from a shard of bounded size, many shards side by side; one shard of all
+items gives the classic graph, many give a forest whose searches are merged. An index is a table, one
+row a node with its vector and its links, that can be written, read, searched and thinned out
+without building anything again.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from __future__ import annotations
 import heapq
 import math
 import random
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +21,8 @@ from lodeline.operators import distance, knn
 
 #: Links of a node in upper layers and in layer 0, breadth of the search while building, seed of the levels.
 LINKS, GROUND_LINKS, BUILD_BREADTH, SEED = 16, 32, 200, 42
+#: Items of a shard at most, unless the caller says otherwise: what one task builds in some seconds.
+SHARD_ROWS = 512
 
 
 def levels(n: int, links: int = LINKS, seed: int = SEED) -> list[int]:
@@ -43,6 +44,36 @@ class Graph:
         for node in range(len(ids)):
             self._insert(node)
 
+    @classmethod
+    def restored(cls, rows: pd.DataFrame) -> Graph:
+        """The graph of a shard's rows of an index."""
+        rows = rows.sort_values("id")
+        g = cls([], np.zeros((0, 1)))
+        g.ids, g.vectors, g.top = rows["id"].tolist(), np.stack(rows["emb"].to_numpy()).astype(float), rows["max_layer"].tolist()
+        place = {x: i for i, x in enumerate(g.ids)}
+        g.height, g.alive = int(rows["height"].iloc[0]), set(range(len(g.ids)))
+        g.entry = next((i for i, e in enumerate(rows["entry"]) if e), None)
+        g.links = [{} for _ in range(g.height + 1)]
+        for i, layers in enumerate(rows["links"]):
+            for layer, near in enumerate(layers):
+                g.links[layer][i] = [place[x] for x in near if x in place]
+        return g
+
+    def rows(self, shard: int) -> pd.DataFrame:
+        """The graph as a shard's rows of an index."""
+        left = sorted(self.alive)
+        return pd.DataFrame(
+            {
+                "shard": shard,
+                "id": [self.ids[x] for x in left],
+                "emb": [self.vectors[x].tolist() for x in left],
+                "max_layer": [self.top[x] for x in left],
+                "links": [[[self.ids[y] for y in layer.get(x, ())] for layer in self.links[: self.top[x] + 1]] for x in left],
+                "entry": [x == self.entry for x in left],
+                "height": self.height,
+            }
+        )
+
     def far(self, v: np.ndarray, nodes: list[int], metric: str | None = None) -> np.ndarray:
         return distance.table(v[None, :], self.vectors[nodes], metric or self.metric)[0]
 
@@ -146,96 +177,110 @@ class Graph:
             tell("result", 0, x, far, rank=rank)
         return events
 
-    def edges(self) -> Iterator[tuple[int, int, int]]:
-        """layer, node, neighbour, as each node's own lists have them."""
-        for layer, own in enumerate(self.links):
-            for x, near in own.items():
-                if layer <= self.top[x]:
-                    for y in near:
-                        yield layer, self.ids[x], self.ids[y]
-
 
 _EVENTS = "shard long, qid long, step long, layer long, type string, node long, dist double, from_node long, prev_dist double, rank long"
+INDEX = "shard long, id long, emb array<double>, max_layer long, links array<array<long>>, entry boolean, height long"
 
 
-def _sharded(items: DataFrame, shards: int) -> DataFrame:
-    return items.where(F.size("emb") > 0).select(F.col("id").cast("long"), F.col("emb").cast("array<double>")).withColumn("shard", F.pmod("id", F.lit(shards)).cast("long"))
+def shards_for(items: DataFrame, shard_rows: int = SHARD_ROWS) -> int:
+    return max(1, -(-items.count() // shard_rows))
 
 
-def _of(frame: pd.DataFrame) -> Graph:
-    frame = frame.sort_values("id")
-    return Graph(frame["id"].tolist(), np.stack(frame["emb"].to_numpy()))
-
-
-def node_levels(items: DataFrame, shards: int = 1) -> DataFrame:
-    """shard, id, max_layer: the layers are drawn, so no graph is built."""
+def build(items: DataFrame, shards: int | None = None) -> DataFrame:
+    """items (id, emb, ...) -> an index: shard, id, emb, max_layer, links by layer as each node holds
+    them, entry (searches begin there) and height of the shard's graph. Items without vector are
+    left out. Without a number of shards there are as many as keep them bounded."""
+    shards = shards_for(items) if shards is None else shards
+    rows = items.where(F.size("emb") > 0).select(F.col("id").cast("long"), F.col("emb").cast("array<double>"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        return pd.DataFrame({"shard": frame["shard"], "id": frame["id"], "max_layer": levels(len(frame))})
+        return Graph(frame["id"].tolist(), np.stack(frame["emb"].to_numpy())).rows(int(frame["shard"].iloc[0]))
 
-    return _sharded(items, shards).select("shard", "id").groupBy("shard").applyInPandas(run, "shard long, id long, max_layer long")
+    return rows.withColumn("shard", F.pmod("id", F.lit(shards)).cast("long")).groupBy("shard").applyInPandas(run, INDEX)
 
 
-def build(items: DataFrame, shards: int = 1) -> DataFrame:
-    """shard, layer, src, dst: links as each node holds them."""
+def add(index: DataFrame, items: DataFrame, shards: int | None = None) -> DataFrame:
+    """index with more items, in new shards."""
+    last = index.agg(F.coalesce(F.max("shard"), F.lit(-1))).first()[0]
+    more = build(items, shards)
+    return index.unionByName(more.withColumn("shard", F.col("shard") + last + 1))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = pd.DataFrame(list(_of(frame).edges()), columns=["layer", "src", "dst"])
-        return rows.assign(shard=int(frame["shard"].iloc[0]))[["shard", "layer", "src", "dst"]]
 
-    return _sharded(items, shards).groupBy("shard").applyInPandas(run, "shard long, layer long, src long, dst long")
+def delete(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """index without the ids of gone (id) and all links with them; nothing is mended. Where a
+    shard's entry goes, its first item left is the new one; the height stays."""
+
+    def run(own: pd.DataFrame, lost: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=[c.split()[0] for c in INDEX.split(", ")])
+        g = Graph.restored(own)
+        place = {x: i for i, x in enumerate(g.ids)}
+        for x in lost["gone"]:
+            g.remove(place[x])
+        return g.rows(int(own["shard"].iloc[0]))
+
+    lost = index.select(F.col("shard").alias("of_shard"), F.col("id").alias("gone")).join(gone.select(F.col("id").alias("gone")).distinct(), "gone", "left_semi")
+    return index.groupBy("shard").cogroup(lost.groupBy("of_shard")).applyInPandas(run, INDEX)
 
 
-def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """layer, nodes, edges: a node counts in its layers up to the top one, a link where its lower
-    end holds it."""
-    n = nodes.select(F.explode(F.sequence(F.lit(0).cast("long"), "max_layer")).alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
-    e = edges.where("src < dst").groupBy("layer").agg(F.count("*").alias("edges"))
-    return n.join(e, "layer", "left").select("layer", "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"))
+def node_levels(index: DataFrame) -> DataFrame:
+    """shard, id, max_layer, entry, height."""
+    return index.select("shard", "id", "max_layer", "entry", "height")
+
+
+def edges(index: DataFrame) -> DataFrame:
+    """shard, layer, src, dst: links as each node holds them."""
+    rows = index.select("shard", F.col("id").alias("src"), F.posexplode("links").alias("layer", "near"))
+    return rows.select("shard", F.col("layer").cast("long").alias("layer"), "src", F.explode("near").alias("dst"))
 
 
-def without(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges without the ids of gone; nothing is mended."""
-    ends = edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti")
-    return nodes.join(gone.select("id"), "id", "left_anti"), ends
+def topology(index: DataFrame) -> DataFrame:
+    """layer, nodes, edges, and the top layer's entries: a node counts in its layers up to the top
+    one, a link where its lower end holds it; entry_points are the shards' entries by id."""
+    n = index.select(F.explode(F.sequence(F.lit(0).cast("long"), "max_layer")).alias("layer")).groupBy("layer").agg(F.count("*").alias("nodes"))
+    e = edges(index).where("src < dst").groupBy("layer").agg(F.count("*").alias("edges"))
+    top = index.where("entry").groupBy(F.col("height").alias("layer")).agg(F.sort_array(F.collect_list("id")).alias("entry_points"))  # one a shard
+    rows = n.join(e, "layer", "left").join(top, "layer", "left")
+    return rows.select("layer", "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), F.coalesce("entry_points", F.array().cast("array<bigint>")).alias("entry_points"))
 
 
-def _asked(items: DataFrame, queries: DataFrame, shards: int):
-    """Each shard's items with its copy of the queries, a bounded block at a time."""
+def _asked(index: DataFrame, queries: DataFrame):
+    """Each shard of an index with its copy of the queries."""
     q = queries.select(F.col("qid").cast("long"), F.col("emb").cast("array<double>"))
-    q = q.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>")))
-    return _sharded(items, shards).groupBy("shard").cogroup(q.groupBy("shard"))
+    q = index.select(F.col("shard").alias("of_shard")).distinct().crossJoin(q)  # every shard answers every question
+    return index.groupBy("shard").cogroup(q.groupBy("of_shard"))
 
 
-def search(items: DataFrame, queries: DataFrame, k: int = 5, breadth: int = 50, metric: str | None = "cosine", shards: int = 1) -> DataFrame:
-    """qid, id, dist, rank by graph search; the shards' results are merged."""
+def search(index: DataFrame, queries: DataFrame, k: int = 5, breadth: int = 50, metric: str | None = "cosine") -> DataFrame:
+    """index, queries (qid, emb) -> qid, id, dist, rank by graph search; the shards' results are
+    merged. Queries of another length than the vectors find nothing."""
 
     def run(own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(own) and len(asks):
-            g = _of(own)
-            rows = [(q, g.ids[x], d) for q, v in zip(asks["qid"], asks["emb"], strict=True) for d, x in g.search(np.asarray(v, float), k, breadth, metric)]
+            g = Graph.restored(own)
+            rows = [(q, g.ids[x], d) for q, v in zip(asks["qid"], asks["emb"], strict=True) if len(v) == g.vectors.shape[1] for d, x in g.search(np.asarray(v, float), k, breadth, metric)]
         return pd.DataFrame(rows, columns=["qid", "id", "dist"])
 
-    return knn.best(_asked(items, queries, shards).applyInPandas(run, "qid long, id long, dist double"), k)
+    return knn.best(_asked(index, queries).applyInPandas(run, "qid long, id long, dist double"), k)
 
 
-def trace(items: DataFrame, queries: DataFrame, k: int = 5, breadth: int = 50, metric: str | None = "cosine", shards: int = 1) -> DataFrame:
+def trace(index: DataFrame, queries: DataFrame, k: int = 5, breadth: int = 50, metric: str | None = "cosine") -> DataFrame:
     """shard, qid, step, layer, type, node, dist, from_node, prev_dist, rank."""
 
     def run(own: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in _EVENTS.split(", ")]
         rows = []
         if len(own) and len(asks):
-            g = _of(own)
+            g = Graph.restored(own)
             for q, v in zip(asks["qid"], asks["emb"], strict=True):
                 rows += [e | {"qid": q, "shard": int(own["shard"].iloc[0])} for e in g.trace(np.asarray(v, float), k, breadth, metric)]
         frame = pd.DataFrame(rows, columns=columns)
         whole = [c for c in columns if c not in ("type", "dist", "prev_dist")]
         return frame.astype({c: "Int64" for c in whole})
 
-    return _asked(items, queries, shards).applyInPandas(run, _EVENTS)
+    return _asked(index, queries).applyInPandas(run, _EVENTS)
 
 
 def with_coordinates(nodes: DataFrame, points: DataFrame) -> DataFrame:

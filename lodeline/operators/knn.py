@@ -1,14 +1,14 @@
-"""Nearest neighbours: exact, filtered, batched, by several metrics, and of quantised vectors.
+"""Nearest neighbours: exact, filtered, batched, by several metrics and by several indexes.
 
-Items are rows (id, metadata, category, emb). All index choices of the interface ("bruteforce",
-"kdtree", "hnsw") answer exactly here: a scan with a bounded heap in each task, then the best of
-all. Graph search with its own visits is in operators.graph.
+Items are rows (id, metadata, category, emb). The index that is asked for is the one that answers:
+"bruteforce" is a scan with a bounded heap in each task and then the best of all, "kdtree" a search
+of trees, which is exact as well, and every other name a search of layered graphs.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodeline.operators import distance
 
+Table = Callable[[np.ndarray, np.ndarray], np.ndarray]
 ALGORITHMS = ("bruteforce", "kdtree", "hnsw")
 #: Up to so many queries are sent along with the scan; more are dealt into blocks.
 QUERY_BLOCK = 2048
@@ -36,27 +37,58 @@ def with_distance(items: DataFrame, query: Sequence[float], metric: str | None =
     return items.withColumn("dist", distance.metric(metric)(F.col("emb"), distance.vector(query)))
 
 
-def search(items: DataFrame, query: Sequence[float], k: int = 5, metric: str | None = "cosine", algo: str = "hnsw") -> DataFrame:
-    """The k nearest items, ties to the smaller id; algo only names the index that was asked for."""
-    near = with_distance(items.where(F.size("emb") == len(query)), query, metric)
-    return near.orderBy("dist", "id").limit(_checked(k))
+def search(items: DataFrame, query: Sequence[float], k: int = 5, metric: str | None = "cosine", algo: str = "bruteforce", index=None) -> DataFrame:
+    """The k nearest items, ties to the smaller id. index is a graph's (operators.graph) or a tree's
+    two tables (operators.kdtree) of these items, if there is one: otherwise it is built now."""
+    fits = items.where(F.size("emb") == len(query))
+    if algo == "bruteforce":
+        return with_distance(fits, query, metric).orderBy("dist", "id").limit(_checked(k))
+    asked = items.sparkSession.createDataFrame([(0, [float(x) for x in query])], "qid long, emb array<double>")
+    found = by_index(asked, fits, k, metric, algo, index).select("id", "dist")
+    return items.join(F.broadcast(found), "id").select(*items.columns, "dist").orderBy("dist", "id")  # k rows
+
 
+def by_index(queries: DataFrame, items: DataFrame, k: int = 5, metric: str | None = "cosine", algo: str = "hnsw", index=None) -> DataFrame:
+    """queries (qid, emb), items (id, emb) -> qid, id, dist, rank, by the index of that name."""
+    from lodeline.operators import graph, kdtree  # which import this module
+
+    _checked(k)
+    if algo == "bruteforce":
+        return search_batch(queries, items, k, distance.metric_name(metric))
+    if algo == "kdtree":
+        return kdtree.search(*(index or kdtree.build(items, metric)), queries, k, metric)
+    return graph.search(graph.build(items) if index is None else index, queries, k, metric=metric)
 
-def search_filtered(items: DataFrame, query: Sequence[float], k: int = 5, metric: str | None = "cosine", algo: str = "hnsw", category: str | None = None, push_down: bool = False) -> DataFrame:
+
+def search_filtered(
+    items: DataFrame, query: Sequence[float], k: int = 5, metric: str | None = "cosine", algo: str = "bruteforce", category: str | None = None, push_down: bool = False, index=None
+) -> DataFrame:
     """As search, of one category. The filter comes after the max(min(5 k, n), k) nearest, so fewer
     than k may be left; push_down filters first, as scans prefer. Case is ignored, and space around
     the filter; a filter of spaces only filters nothing."""
     if not category:
-        return search(items, query, k, metric, algo)
-    name = category.strip().lower()
-    of = F.lower("category") == name if name else F.lit(True)
+        return search(items, query, k, metric, algo, index)
+    of = _of_category(category)
     if push_down:
         return search(items.where(of), query, k, metric, algo)
-    nearest = with_distance(items.where(F.size("emb") == len(query)), query, metric).orderBy("dist", "id").limit(OVERSAMPLE * _checked(k))
-    return nearest.where(of).orderBy("dist", "id").limit(k)
+    return search(items, query, OVERSAMPLE * _checked(k), metric, algo, index).where(of).orderBy("dist", "id").limit(k)
 
 
-def _batch(queries: list[tuple[int, list[float]]], k: int, metric: str):
+def _of_category(category: str) -> Column:
+    name = category.strip().lower()
+    return F.lower("category") == name if name else F.lit(True)
+
+
+def search_filtered_batch(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "cosine", category: str = "", push_down: bool = False) -> DataFrame:
+    """search_filtered for many queries (qid, emb) at once -> qid, id, dist, rank."""
+    of = _of_category(category)
+    if push_down:
+        return search_batch(queries, items.where(of), k, metric)
+    near = search_batch(queries, items, OVERSAMPLE * _checked(k), metric).drop("rank")
+    return best(near.join(items.where(of).select("id"), "id", "left_semi"), k)
+
+
+def _batch(queries: list[tuple[int, list[float]]], k: int, metric: str | Table):
     """A scan that keeps each query's k nearest of every batch of rows."""
     ids = np.array([q for q, _ in queries], np.int64)
     m = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
@@ -70,7 +102,7 @@ def _batch(queries: list[tuple[int, list[float]]], k: int, metric: str):
                 continue
             emb = rows.column("emb").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
             row_id = rows.column("id").to_numpy()
-            d = np.round(distance.table(m, emb, metric), PLACES) + 0.0
+            d = np.round(metric(m, emb) if callable(metric) else distance.table(m, emb, metric), PLACES) + 0.0
             keep = min(k, d.shape[1])
             edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
             q, r = np.nonzero(d <= edge)  # ties at the edge too: ids decide later
@@ -84,9 +116,9 @@ def best(found: DataFrame, k: int, by: str = "qid") -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def search_batch(queries: DataFrame, items: DataFrame, k: int = 5, metric: str = "cosine", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """queries (qid, emb), items (id, emb) -> qid, id, dist, rank. Queries beyond one block are
-    dealt into blocks that each meet all items, one after the other in each task's memory."""
+def search_batch(queries: DataFrame, items: DataFrame, k: int = 5, metric: str | Table = "cosine", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """queries (qid, emb), items (id, emb) -> qid, id, dist, rank. metric is a name or a function of
+    two matrices. Queries beyond one block are dealt into blocks that each meet all items."""
     _checked(k)
     schema, queries = "qid long, id long, dist double", queries.select(F.col("qid").cast("long"), F.col("emb").cast("array<double>"))
     items = items.select(F.col("id").cast("long"), F.col("emb").cast("array<double>"))
@@ -114,29 +146,41 @@ def search_batch(queries: DataFrame, items: DataFrame, k: int = 5, metric: str =
 def compare_metrics(items: DataFrame, query: Sequence[float], k: int = 5) -> DataFrame:
     """metric, id, metadata, dist, rank: the k nearest by each metric. Distances are rounded to 5
     places before they are ranked; ties go to the smaller id. Empty vectors are left out."""
-    q = distance.vector(query)
-    every = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(distance.metric(m)(F.col("emb"), q), 5).alias("dist")) for m in distance.METRICS])
-    rows = items.where(F.size("emb") == len(query)).select("id", "metadata", F.inline(every))
-    return best(rows, k, "metric").select("metric", "id", "metadata", "dist", "rank")
+    asked = items.sparkSession.createDataFrame([(0, [float(x) for x in query])], "qid long, emb array<double>")
+    return compare_metrics_batch(asked, items, k).drop("qid")
+
+
+def compare_metrics_batch(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """compare_metrics for many queries (qid, emb) -> qid, metric, id, metadata, dist, rank."""
+    places = lambda name: lambda a, b: np.round(distance.table(a, b, name), 5)
+    each = [search_batch(queries, items, k, places(m)).withColumn("metric", F.lit(m)) for m in distance.METRICS]
+    found = each[0].unionByName(each[1]).unionByName(each[2])
+    return found.join(items.select("id", "metadata"), "id").select("qid", "metric", "id", "metadata", "dist", "rank")
 
 
 def categories(items: DataFrame) -> DataFrame:
     return items.select("category").distinct().orderBy("category")
 
 
-def benchmark(items: DataFrame, query: Sequence[float], k: int = 5, metric: str = "cosine") -> DataFrame:
-    """One row: microseconds of one search by each index, and the number of items. hnsw is the graph
-    search, which builds its graph first; kdtree is the exact scan again, as there is no tree."""
-    from lodeline.operators import graph  # which imports this module
+def benchmark(items: DataFrame, query: Sequence[float], k: int = 5, metric: str = "cosine", graph_index=None, tree_index=None) -> DataFrame:
+    """One row: microseconds of one search by each index, and the number of items. The graph's and
+    the trees' indexes are built before, unless they are given, and not timed."""
+    from lodeline.operators import graph, kdtree  # which import this module
 
     fits = items.where(F.size("emb") == len(query))
-    asked = items.sparkSession.createDataFrame([(0, [float(x) for x in query])], "qid long, emb array<double>")
+    indexes = {"hnsw": (graph.build(fits).cache() if graph_index is None else graph_index), "kdtree": tuple(x.cache() for x in kdtree.build(fits, metric)) if tree_index is None else tree_index}
+    own = [x for x, given in ((indexes["hnsw"], graph_index), *((t, tree_index) for t in indexes["kdtree"])) if given is None]
     took = {}
-    for algo in ALGORITHMS:
-        start = time.perf_counter()
-        found = graph.search(fits, asked, k, metric=metric) if algo == "hnsw" else search(items, query, k, metric, algo)
-        found.select("id", "dist").collect()
-        took[algo] = int((time.perf_counter() - start) * 1e6)
+    try:
+        for x in own:
+            x.count()
+        for algo in ALGORITHMS:
+            start = time.perf_counter()
+            search(items, query, k, metric, algo, indexes.get(algo)).select("id", "dist").collect()
+            took[algo] = int((time.perf_counter() - start) * 1e6)
+    finally:
+        for x in own:
+            x.unpersist()
     return items.agg(F.count("*").alias("item_count")).select(*[F.lit(took[a]).cast("long").alias(f"{a}_us") for a in ALGORITHMS], "item_count")
 
 

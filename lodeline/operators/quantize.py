@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodeline.operators import distance
+from lodeline.operators import distance, knn
 
 FLAT = 1e-9
 
@@ -53,6 +54,18 @@ def search(items: DataFrame, query: Sequence[float], k: int = 5) -> DataFrame:
     return rows.withColumn("dist", dist).drop("decoded", "scale", "lowest", "code").orderBy("dist", "id").limit(k)
 
 
+def cosine(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Cosine distances with 1e-9 added to each norm."""
+    nq, nr = np.sqrt((queries * queries).sum(1)) + 1e-9, np.sqrt((rows * rows).sum(1)) + 1e-9
+    return 1 - queries @ rows.T / (nq[:, None] * nr[None, :])
+
+
+def search_batch(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """search for many queries (qid, emb) at once -> qid, id, dist, rank."""
+    rows = encode(items.where(F.size("emb") > 0))
+    return knn.search_batch(queries, rows.select("id", decode(F.col("code"), F.col("scale"), F.col("lowest")).alias("emb")), k, cosine)
+
+
 def stats(items: DataFrame) -> DataFrame:
     """One row: bytes as floats and as codes, what is saved, ratio, and the parameters (null if empty)."""
     sizes = items.agg(F.count("*").alias("count"), F.coalesce(F.max(F.size("emb")), F.lit(0)).alias("dims"))

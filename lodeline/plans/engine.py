@@ -1,7 +1,7 @@
 """The whole interface as one object: each route of the service is a method.
 
-Stores are DataFrames, so every method but the counting ones is lazy; nothing is kept in the
-driver but the settings.
+Stores are DataFrames and so are results; nothing is kept in the driver but the settings. The
+graphs that searches walk are built when one is first needed, and staged in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from lodeline.functions import text as tx
 from lodeline.functions.models import Embed, Generate, generate_column, hashing_embedder
 from lodeline.operators import fusion, graph, grounding, knn, lexical, manifold, quantize, semantic
 from lodeline.operators.rerank import rerank
+from lodeline.scratch import staged
 from lodeline.sources import store
 from lodeline.streaming.ingest import chunks
 
@@ -28,21 +29,37 @@ class Engine:
         self.available = available or (lambda: generate is not None)
         self.items = store.seed_items(spark) if items is None else items
         self.documents = spark.createDataFrame([], store.CHUNK) if documents is None else documents
+        self._graphs: dict[str, DataFrame] = {}
+
+    def graph(self, of: str = "items") -> DataFrame:
+        """The index of the items, or of the documents."""
+        if of not in self._graphs:
+            self._graphs[of] = staged(graph.build(self.items if of == "items" else self.documents), f"graph-{of}")
+        return self._graphs[of]
+
+    def _remove(self, of: str, gone: int) -> bool:
+        rows: DataFrame = getattr(self, of)
+        there = not rows.where(F.col("id") == gone).isEmpty()
+        setattr(self, of, rows.where(F.col("id") != gone))
+        if there and of in self._graphs:
+            lost = self.spark.createDataFrame([(gone,)], "id long")
+            self._graphs[of] = staged(graph.delete(self._graphs[of], lost), f"graph-{of}")
+        return there
 
     # ---- items
 
     def search(self, v: str | Sequence[float], k: int = 5, metric: str = "cosine", algo: str = "hnsw", category: str | None = None) -> DataFrame:
-        return knn.hits(knn.search_filtered(self.items, self._vector(v), k, metric, algo, category))
+        index = None if algo in ("bruteforce", "kdtree") else self.graph()
+        return knn.hits(knn.search_filtered(self.items, self._vector(v), k, metric, algo, category, index=index))
 
     def insert(self, metadata: str, category: str, embedding: Sequence[float]) -> int:
         row = self.spark.createDataFrame([(0, metadata, category or "", list(map(float, embedding)))], store.ITEM)
         self.items = store.insert(self.items, row, self.dims)
+        self._graphs.pop("items", None)
         return self.items.agg(F.max("id")).first()[0]
 
     def delete(self, item_id: int) -> bool:
-        there = not self.items.where(F.col("id") == item_id).isEmpty()
-        self.items = self.items.where(F.col("id") != item_id)
-        return there
+        return self._remove("items", item_id)
 
     def list_items(self) -> DataFrame:
         return store.listed(self.items)
@@ -54,19 +71,19 @@ class Engine:
         return knn.categories(self.items)
 
     def benchmark(self, v: str | Sequence[float], k: int = 5, metric: str = "cosine") -> DataFrame:
-        return knn.benchmark(self.items, self._vector(v), k, metric)
+        return knn.benchmark(self.items, self._vector(v), k, metric, graph_index=self.graph())
 
     def graph_info(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Layers, nodes and edges."""
-        nodes, edges = graph.node_levels(self.items), graph.build(self.items)
-        return graph.topology(nodes, edges), nodes, edges
+        """Layers with their entry points, nodes and edges."""
+        index = self.graph()
+        return graph.topology(index), graph.node_levels(index), graph.edges(index)
 
     def graph_topology(self) -> DataFrame:
-        return graph.with_coordinates(graph.node_levels(self.items), self.items_3d())
+        return graph.with_coordinates(graph.node_levels(self.graph()), self.items_3d())
 
     def graph_trace(self, v: str | Sequence[float], k: int = 5, ef: int = 50, metric: str = "cosine") -> DataFrame:
         query = self.spark.createDataFrame([(0, self._vector(v))], "qid long, emb array<double>")
-        return graph.trace(self.items, query, k, ef, metric)
+        return graph.trace(self.graph(), query, k, ef, metric)
 
     def cluster_analytics(self) -> DataFrame:
         return manifold.clusters(self.items_3d())
@@ -93,6 +110,7 @@ class Engine:
         """Documents as saved; of the items those that the seed does not have are added to it."""
         self.items = store.restore(store.seed_items(self.spark), store.load(self.spark, f"{path}/vectors"))
         self.documents = store.load(self.spark, f"{path}/documents", store.CHUNK)
+        self._graphs.clear()
 
     def persist_status(self, path: str) -> dict:
         return {k: store.snapshot_info(self.spark, f"{path}/{k}") for k in ("vectors", "documents")}
@@ -104,6 +122,7 @@ class Engine:
         cut = chunks(doc, self.embed, strategy, percentile).coalesce(1).sortWithinPartitions("place")
         before = self.documents.count()
         self.documents = store.insert(self.documents, cut.select(F.lit(0).cast("long").alias("id"), "title", "text", "emb"))
+        self._graphs.pop("documents", None)
         return self.documents.count() - before
 
     def semantic_preview(self, text: str, percentile: float = semantic.PERCENTILE) -> DataFrame:
@@ -114,18 +133,17 @@ class Engine:
         return self.documents.select("id", "title", tx.preview(F.col("text"), 120).alias("preview"), tx.word_count(F.col("text")).alias("words")).orderBy("id")
 
     def doc_delete(self, doc_id: int) -> bool:
-        there = not self.documents.where(F.col("id") == doc_id).isEmpty()
-        self.documents = self.documents.where(F.col("id") != doc_id)
-        return there
+        return self._remove("documents", doc_id)
 
     def token_stats(self) -> DataFrame:
         return lexical.corpus(self.documents.select("id", lexical.indexed_text().alias("content")))
 
     def doc_search(self, question: str, k: int = 3, max_dist: float = 0.9) -> DataFrame:
-        return self._with_chunks(fusion.vector_hits(self._asked(question), self.documents, k, max_dist))
+        asked = self._asked(question)
+        return self._with_chunks(fusion.vector_hits(asked, self.documents, k, max_dist, self._near(asked, 2 * k)))
 
     def hybrid_search(self, question: str, k: int = 3, rrf_k: int = fusion.RRF_K) -> DataFrame:
-        hits = self._with_chunks(fusion.hybrid(self._asked(question), self.documents, k, rrf_k))
+        hits = self._with_chunks(self._hybrid(question, k, rrf_k))
         return hits.withColumn("text", tx.preview(F.col("text"), 200))
 
     def doc_rerank(self, question: str, k: int = 5, strategy: str = "cross") -> DataFrame:
@@ -134,7 +152,7 @@ class Engine:
     def advanced_search(self, question: str, k: int = 3, pipeline: str = "vector", strategy: str = "cross") -> DataFrame:
         """id, title, text, score, rank; score is a distance for vector and hyde."""
         if pipeline == "hybrid":
-            return self._with_chunks(fusion.hybrid(self._asked(question), self.documents, k))
+            return self._with_chunks(self._hybrid(question, k))
         if pipeline == "rerank":
             best = rerank(self._candidates(question, max(10, 3 * k)), strategy, self.generate, k)
             return best.select("id", "title", "text", F.col("rerank_score").alias("score"), F.col("new_rank").alias("rank"), "original_rank", "reasoning").orderBy("rank")
@@ -157,12 +175,11 @@ class Engine:
         report, marked = None, answer
         if ground and found and not answer.startswith("ERROR"):
             contexts = self.spark.createDataFrame([(0, i, f["id"], f["title"], f["text"]) for i, f in enumerate(found)], "aid long, place long, doc_id long, title string, text string")
-            matches = grounding.match(self.spark.createDataFrame([(0, answer)], "aid long, answer string"), contexts, self.embed).cache()
+            matches = staged(grounding.match(self.spark.createDataFrame([(0, answer)], "aid long, answer string"), contexts, self.embed), "grounding")
             summary = grounding.report(matches).first()
             if summary:
                 report = summary.asDict() | {"rows": [r.asDict() for r in matches.orderBy("sentence_no").collect()], "cited": [r.asDict() for r in grounding.cited(matches).orderBy("sentence_no").collect()]}
                 marked = summary["annotated_answer"]
-            matches.unpersist()
         times.append(time.perf_counter())
         names = ("retrieval_ms", "generation_ms", "grounding_ms")
         return {"answer": answer, "annotated_answer": marked, "pipeline": pipeline, "contexts": found, "grounding": report, "latencies": {n: round((b - a) * 1000, 1) for n, a, b in zip(names, times, times[1:], strict=False)}}
@@ -182,12 +199,20 @@ class Engine:
     def _asked(self, question: str) -> DataFrame:
         return self.spark.createDataFrame([(0, question, list(map(float, self.embed([question])[0])))], "qid long, text string, emb array<double>")
 
+    def _near(self, asked: DataFrame, k: int) -> DataFrame:
+        rows = self.documents.where(F.size("emb") > 0)
+        return fusion.routed(asked, rows, k, self.graph("documents") if rows.count() >= fusion.FEW else None)
+
+    def _hybrid(self, question: str, k: int, rrf_k: int = fusion.RRF_K) -> DataFrame:
+        asked = self._asked(question)
+        return fusion.hybrid(asked, self.documents, k, rrf_k, self._near(asked, 4 * k))
+
     def _with_chunks(self, hits: DataFrame) -> DataFrame:
         score = "dist" if "dist" in hits.columns else "score"
         joined = self.documents.join(F.broadcast(hits), "id")  # k rows
         return joined.select("id", "title", "text", F.round(score, 6).alias("score"), "rank").orderBy("rank")
 
     def _candidates(self, question: str, n: int) -> DataFrame:
-        hits = fusion.hybrid(self._asked(question), self.documents, n).withColumnRenamed("rank", "original_rank")
+        hits = self._hybrid(question, n).withColumnRenamed("rank", "original_rank")
         joined = self.documents.join(F.broadcast(hits), "id")
         return joined.select(F.lit(0).cast("long").alias("qid"), F.lit(question).alias("query"), "id", "title", "text", "original_rank")
