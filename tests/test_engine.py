@@ -188,7 +188,7 @@ def test_preview_covers_all_sentences(spark):
         assert sum(c["last"] - c["first"] + 1 for c in x["chunks"]) == x["sentence_count"]
 
 
-@pytest.mark.parametrize("reply, score, reason", [("Reasoning: good\nScore: 7.5", 0.75, "good"), ("score: 99", 1.0, "score: 99"), ("Score: -3", 0.5, "Relevance assessed by LLM."), ("fine", 0.5, "fine")])
+@pytest.mark.parametrize("reply, score, reason", [("Reasoning: good\nScore: 7.5", 0.75, "good"), ("score: 99", 1.0, "score: 99"), ("Score: -3", 0.5, tx.NO_REASON), ("fine", 0.5, "fine")])
 def test_grades(spark, reply, score, reason):
     assert value(spark, tx.grade(F.lit(reply))) == score
     assert value(spark, tx.grade_reason(F.lit(reply))) == reason
