@@ -1,55 +1,28 @@
-"""What the operators share: the shared folder, staged tables and row keys."""
+"""What the operators share: staged tables, words and row keys."""
 
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeline import scratch
+from lodeline.scratch import release, shared_dir, stage_path  # noqa: F401  of the operators' interface
+
 #: A word of the contracts on documents: a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and
-    everything runs in one process (tests), a temporary folder that this sets as the checkpoint
-    folder; on a cluster an unset folder is an error, as no other one is surely shared."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = spark.conf.get("spark.lodeline.shared.dir", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="lodeline-")
-        spark.conf.set("spark.lodeline.shared.dir", own)
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def stage_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, under one folder for each application."""
-    return f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str, *by: str, tidy: bool = False) -> DataFrame:
-    """df written as Parquet into the shared folder and read again.
-
-    This cuts the lineage: a lost executor costs the tasks that it ran, never the stages before,
-    and what several consumers need is computed once. With tidy the shuffle files behind it, which
-    are of no more use, are deleted now: worth it for large tables, as it collects the driver's
-    garbage."""
-    spark, path = df.sparkSession, stage_path(df.sparkSession, name)
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    """df written as Parquet into the shared folder and read again, which cuts the lineage. With tidy
+    the shuffle files behind it, which are of no more use, are deleted now: worth it for large
+    tables, as it collects the driver's garbage."""
+    out = scratch.staged(df, name, *by)
     if tidy:
-        free(spark)
+        free(df.sparkSession)
     return out
 
 
@@ -61,12 +34,6 @@ def free(spark: SparkSession) -> None:
         time.sleep(0.2)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes this application's staged tables. Call it once no result is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
