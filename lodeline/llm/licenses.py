@@ -133,21 +133,21 @@ def _sql(templates: Sequence[Template] = TEMPLATES, base: dict[str, str] = BASE_
     rows = [f"('{label}', {listed(phrase)}, {listed(phrase)}, 0, true)" for phrase, label in base.items()]
     rows += [f"('{t[0]}', {listed(t[1])}, {listed(t[2])}, {_offset(t)}, false)" for t in templates]
     return rf"""
-    with t(label, phrase, words, place, base) as (values {', '.join(rows)}),
+    with t(label, phrase, words, place, is_base) as (values {', '.join(rows)}),
     d as (
       select row_number() over () as row, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
       from documents),
     p as (
-      select row, label, words, base, at, at - place as shift
-      from (select d.row, t.label, t.phrase, t.words, t.place, t.base, d.w, unnest(range(1, len(d.w) - len(t.phrase) + 2)) as at from d join t on list_has_all(d.w, t.phrase)) x
-      where w[at : at + len(phrase) - 1] = phrase),
+      select row, label, words, is_base, spot, spot - place as shift
+      from (select d.row, t.label, t.phrase, t.words, t.place, t.is_base, d.w, unnest(range(1, len(d.w) - len(t.phrase) + 2)) as spot from d join t on list_has_all(d.w, t.phrase)) x
+      where w[spot : spot + len(phrase) - 1] = phrase),
     s as (
       select p.*, len(list_filter(range(1, len(words) + 1), lambda i: shift + i - 1 >= 1 and d.w[shift + i - 1] = words[i]))::double / len(words) as share from p join d using (row)),
     h as (
-      select row, count(*) filter (where base) as n_base, min(at - 1) filter (where base) as first_word, max(at - 1) filter (where base) as last_word,
-             string_agg(distinct label, ',' order by label) filter (where base) as base_labels,
-             string_agg(distinct label, ',' order by label) filter (where base or share >= {min_share}) as labels, max(share) filter (where not base and share >= {min_share}) as score
+      select row, count(*) filter (where is_base) as n_base, min(spot - 1) filter (where is_base) as first_word, max(spot - 1) filter (where is_base) as last_word,
+             string_agg(distinct label, ',' order by label) filter (where is_base) as base_labels,
+             string_agg(distinct label, ',' order by label) filter (where is_base or share >= {min_share}) as labels, max(share) filter (where not is_base and share >= {min_share}) as score
       from s group by row)
     select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
            coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score

@@ -291,3 +291,21 @@ def _left(now: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     pairs = side("a").drop("parts").join(_to_parts(side("b").drop("part")), ["v", "part"])
     pairs = pairs.where((F.col("component_a") < F.col("component_b")) & _may_match("a", "b", percent) & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+#: The rows of two-word shingles and 80 % in DuckDB, by all pairs that share a shingle.
+SQL = r"""
+with recursive w as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct row, unnest(case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as x from w),
+n as (select row, count(*)::bigint as n from s group by row),
+p as (select a.row as a, b.row as b, count(*) as shared from s a join s b on a.x = b.x and a.row < b.row group by all),
+e as (select a, b from p join n x on x.row = a join n y on y.row = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+l as (select a, b from e union all select b, a from e),
+c as (select row as a, row as b from n union select c.a, l.b from c join l on c.b = l.a),
+m as (select c.a as row, min(w.doc_id) as component_id from c join w on w.row = c.b group by c.a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, case when n.n is null then w.doc_id else m.component_id end as component_id,
+       w.doc_id is not distinct from (case when n.n is null then w.doc_id else m.component_id end) as kept
+from w left join n using (row) left join m using (row)"""

@@ -79,4 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op9_exact_topk": topk.SQL}
+#: Full results, where SQL expresses them.
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": neardup.SQL,
+    "op6_mixing": mixing.SQL,
+    "op7_suffix_dedup": suffixes.SQL,
+    "op8_license_scan": licenses.SQL,
+    "op9_exact_topk": topk.SQL,
+}

@@ -353,3 +353,21 @@ def removed(n: int, start: np.ndarray, count: np.ndarray, window: int) -> tuple[
     gone = np.cumsum(cover)[:n] > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     return gone, edge.reshape(-1, 2)
+
+
+#: The digests of windows of 100 bytes in DuckDB, window by window.
+SQL = r"""
+with d as (
+  select row_number() over (order by doc_id nulls last, md5(coalesce(text, ''))) as place, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select place, doc_id, h, (length(h) // 2)::bigint as n from d),
+w as (select place, unnest(range(0, n - 99)) as spot, h from b where n >= 100),
+g as (select place, spot, md5(substr(h, 2 * spot + 1, 200)) as s from w),
+r as (select place, spot, row_number() over (partition by s order by place, spot) > 1 as again from g),
+o as (select place, spot, spot + 100 as upto, max(spot + 100) over (partition by place order by spot rows between unbounded preceding and 1 preceding) as before from r where again),
+q as (select place, spot, upto, sum(case when before is null or spot > before then 1 else 0 end) over (partition by place order by spot) as run from o),
+x as (select place, run, min(spot) as a, max(upto) as z from q group by all),
+y as (select place, a, z, lag(z, 1, 0) over (partition by place order by a) as since from x),
+k as (select y.place, count(*)::bigint as n_spans, sum(z - a)::bigint as n_removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' order by a) as head, max(z) as last from y join b using (place) group by y.place)
+select doc_id, n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+       sha256(unhex(case when k.place is null then h else head || substr(h, 2 * last + 1) end)) as kept_sha256
+from b left join k using (place)"""

@@ -29,7 +29,7 @@ from lodeline.llm.vectors import asked_blocks, best, lists, matrix, takes_part
 
 #: Pivots, as a share of the dimensions: so many give bounds that leave most candidates out even where
 #: vectors point everywhere alike; and at most so many.
-PIVOT_SHARE, MOST_PIVOTS = 0.75, 256
+PIVOT_SHARE, MOST_PIVOTS = 0.8, 256
 #: Pivots and first candidates are picked among so many rows: a bounded sample, since any give exact
 #: results.
 SAMPLE = 2048
