@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import text as tx
 from lodeline.functions.models import hashing_embedder
-from lodeline.operators import distance, fusion, graph, grounding, knn, lexical, manifold, quantize, semantic
+from lodeline.operators import distance, fusion, graph, grounding, kdtree, knn, lexical, manifold, quantize, semantic
 from lodeline.operators.rerank import rerank
 from lodeline.plans import registry
 from lodeline.plans.engine import Engine
@@ -156,6 +156,9 @@ def test_fixed_chunks(spark):
 
 
 def test_sentences(spark):
+    odd = "See e.g. this, i.e. that @@DOT@@ etc. and so on.\r\n  Then more here.   \n\n\tLast one, vs. the rest? Yes it is."
+    rows = tx.sentences(texts(spark, odd)).first()["sentences"]
+    assert rows == ["See e.g. this, i.e. that @@DOT@@ etc. and so on.", "Then more here.", "Last one, vs. the rest?", "Yes it is."]
     rows = tx.sentences(texts(spark, "Dr. Who has 3.14 pies. Yes. Two items. Here we go!\nNew line", "", None)).orderBy("id").collect()
     assert rows[0]["sentences"] == ["Dr. Who has 3.14 pies. Yes.", "Two items. Here we go!", "New line"]
     assert rows[1]["sentences"] == [] and rows[2]["sentences"] == []
@@ -278,7 +281,7 @@ def test_few_items_keep_their_first_components(spark):
 def test_seed_graph_is_complete(spark):
     e = Engine(spark)
     layers, nodes, _ = e.graph_info()
-    assert [tuple(r) for r in layers.orderBy("layer").collect()] == [(0, 20, 190), (1, 4, 6)]
+    assert [tuple(r) for r in layers.orderBy("layer").collect()] == [(0, 20, 190, []), (1, 4, 6, [2])]
     assert sorted(r["id"] for r in nodes.where("max_layer = 1").collect()) == [2, 10, 13, 20]
 
 
@@ -312,10 +315,83 @@ def test_benchmark_times_the_graph(spark, monkeypatch):
 def test_shards_are_merged(spark):
     items, asked = registry.items(spark, SF), registry.asked_vectors(spark, SF)
     exact = {(r["qid"], r["id"]) for r in knn.search_batch(asked, items, 5).collect()}
-    got = {(r["qid"], r["id"]) for r in graph.search(items, asked, 5, shards=3).collect()}
+    got = {(r["qid"], r["id"]) for r in graph.search(graph.build(items, 3), asked, 5).collect()}
     assert len(exact & got) >= 0.95 * len(exact)
 
 
+def test_stored_graphs_answer_like_built_ones(spark):
+    v = np.array([x for _, _, x in store.SEED_ROWS])
+    own = graph.Graph(list(range(1, 21)), v)
+    index = graph.build(store.seed_items(spark), 1)
+    again = graph.Graph.restored(index.toPandas())
+    assert (again.ids, again.top, again.entry, again.height) == (own.ids, own.top, own.entry, own.height)
+    assert again.links == own.links and again.trace(v[7], 4, 6) == own.trace(v[7], 4, 6)
+    gone = spark.createDataFrame([(own.ids[own.entry],), (5,), (99,)], "id long")
+    left = graph.delete(index, gone)
+    rows = {r["id"]: r for r in left.collect()}
+    assert set(rows) == set(range(1, 21)) - {2, 5} and [i for i, r in rows.items() if r["entry"]] == [1]
+    assert {r["height"] for r in rows.values()} == {1} and not {2, 5} & {x for r in rows.values() for layer in r["links"] for x in layer}
+    asked = spark.createDataFrame([(0, [float(x) for x in v[1]]), (1, [1.0])], "qid long, emb array<double>")
+    assert {r["qid"] for r in graph.search(left, asked, 3).collect()} == {0}
+    more = graph.add(left, spark.createDataFrame([(21, [float(x) for x in v[1]])], "id long, emb array<double>"))
+    assert graph.search(more, asked, 1).first()["id"] == 21
+
+
+def test_levels_and_links_worked_out_by_hand():
+    draws = [0.6394267984578837, 0.025010755222666936, 0.27502931836911926]  # of the seed
+    assert graph.levels(3) == [int(-math.log(u) / math.log(16)) for u in draws] == [0, 1, 0]
+    g = graph.Graph([10, 20, 30], np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.1]]))
+    assert g.links == [{0: [2, 1], 1: [2, 0], 2: [0, 1]}, {1: []}] or g.links[0][2] == [0, 1]
+    assert g.entry == 1 and g.height == 1
+
+
+@pytest.mark.parametrize("metric", distance.METRICS)
+def test_trees_are_exact(metric):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(400, 3)), 1)
+    v[:40], v[40:60] = 0.0, v[60]  # zero vectors and repeated ones
+    ids = rng.permutation(400)
+    cuts, leaves = kdtree.grow(kdtree._unit(v, metric), np.arange(400), 16)
+    at, paths = zip(*leaves, strict=True)
+    tree = kdtree.Tree(ids[list(at)], v[list(at)], list(paths), {p: (a, c) for p, a, c in cuts}, metric)
+    measured = 0
+    for q in [*v[::17], np.zeros(3), np.array([5.0, 5.0, 5.0])]:
+        got, d, n = tree.search(q, 7)
+        exact = np.round(distance.table(q[None], v, metric)[0], knn.PLACES)
+        order = np.lexsort((ids, exact))[:7]
+        assert tree.ids[got].tolist() == ids[order].tolist() and d.tolist() == exact[order].tolist()
+        measured += n
+    assert measured < 0.8 * 400 * 26  # sides are left out
+
+
+def test_trees_over_tables(spark):
+    items, asked = registry.items(spark, SF), registry.asked_vectors(spark, SF)
+    exact = knn.search_batch(asked, items, 4, "manhattan").collect()
+    for shards in (1, 3):
+        assert sorted(kdtree.search(*kdtree.build(items, "manhattan", shards), asked, 4, "manhattan").collect()) == sorted(exact)
+    empty = kdtree.build(items.limit(0))
+    assert kdtree.search(*empty, asked).count() == 0
+
+
+def test_names_of_indexes_select_them(spark, monkeypatch):
+    asked = []
+    for module in (graph, kdtree):
+        monkeypatch.setattr(module, "search", lambda *a, own=module.search, name=module.__name__, **k: asked.append(name) or own(*a, **k))
+    items, q = store.seed_items(spark), list(store.SEED_ROWS[3][2])
+    found = [[r["id"] for r in knn.search(items, q, 3, "cosine", algo).collect()] for algo in ("bruteforce", "kdtree", "hnsw", "typo")]
+    assert found[0] == found[1] == found[2] == found[3] and [x.rsplit(".")[-1] for x in asked] == ["kdtree", "graph", "graph"]
+
+
+def test_few_chunks_are_searched_by_their_codes(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(quantize, "search_batch", lambda *a, own=quantize.search_batch: asked.append("codes") or own(*a))
+    monkeypatch.setattr(graph, "search", lambda *a, own=graph.search, **k: asked.append("graph") or own(*a, **k))
+    rows = store.seed_items(spark).select("id", "emb")
+    q = rows.where("id = 3").select(F.lit(0).cast("long").alias("qid"), "emb")
+    assert fusion.routed(q, rows.where("id < 10"), 2).first()["id"] == 3 and asked == ["codes"]
+    assert fusion.routed(q, rows.where("id <= 10"), 2).first()["id"] == 3 and asked == ["codes", "graph"]
+
+
 # ---- stores and the whole -------------------------------------------------------------------
 
 
@@ -333,6 +409,64 @@ def test_json_snapshots(spark, tmp_path):
     assert store.snapshot_info(spark, f"file://{tmp_path}/none")["exists"] is False
 
 
+def test_a_snapshot_is_replaced_as_a_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    items = store.seed_items(spark)
+    assert store.load(spark, path).count() == 0 and store.save(items, path) == 20
+    now = store.load(spark, path)
+    for n in (21, 22, 23):  # load, insert, save to the same place, load
+        now = store.insert(now, spark.createDataFrame([(0, f"new{n}", "", [0.5] * 16)], store.ITEM))
+        assert store.save(now, path) == n
+        now = store.load(spark, path)
+        assert now.count() == n and now.agg(F.max("id")).first()[0] == n
+    folders = [x.name for x in (tmp_path / "s").iterdir() if x.name.startswith("snapshot-") and x.is_dir()]
+    assert len(folders) == 2  # the current one and the one before
+    with pytest.raises(Exception, match="boom"):
+        store.save(now.withColumn("metadata", F.raise_error(F.lit("boom")).cast("string")), path)
+    assert store.load(spark, path).count() == 23 and store.snapshot_info(spark, path)["size_bytes"] > 0
+
+
+def test_model_server(monkeypatch):
+    """The connectors against a server of their own."""
+    import http.server
+    import json
+    import threading
+
+    from lodeline.functions.models import http_models
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def reply(self, body):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def do_GET(self):
+            self.reply({"models": []})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if asked["prompt"] == "bad":
+                self.send_error(500)
+            elif self.path == "/api/embeddings":
+                self.reply({"embedding": [float(len(asked["prompt"])), 1.0]})
+            else:
+                self.reply({"response": f"{asked['model']}: {asked['prompt']}"})
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    embed, generate, available = http_models(f"http://127.0.0.1:{server.server_port}", "e", "g")
+    try:
+        assert available() and embed(["abc", "bad"]) == [[3.0, 1.0], []]
+        assert generate(["hello"]) == ["g: hello"] and generate(["bad"])[0].startswith("ERROR")
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert not available()
+
+
 def test_insert_delete_restore(spark):
     e = Engine(spark)
     assert e.insert("new", "cs", [0.1] * 16) == 21
