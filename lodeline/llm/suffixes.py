@@ -249,12 +249,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"), text_key(F.col("text")).alias("t"))
     found = lambda: anchors(docs.where(F.octet_length("text") >= window), window, gram)
     often = found().select("h").groupBy("h").agg(F.count("*").alias("places")).where("places > 1").select("h")
-    often = staged(often, "frequent-anchors")
-    places = staged(found().join(often, "h"), "places")
+    often = staged(often, "frequent-anchors", tidy=True)
+    places = staged(found().join(often, "h"), "places", tidy=True)
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "start")
     distinct = places.groupBy("h", "g").agg(F.min(place).alias("p"), F.first("windows").alias("windows"))
-    distinct = staged(distinct.select("h", "g", "p.doc_id", "p.t", "p.start", "windows"), "segments")
+    distinct = staged(distinct.select("h", "g", "p.doc_id", "p.t", "p.start", "windows"), "segments", tidy=True)
     crowded = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > cut).select("h", F.lit(True).alias("crowded"))
     total = distinct.agg(F.sum(F.col("windows") + window)).first()[0] or 0
     blocks = max(1, -(-total // block))
@@ -308,7 +308,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
         rows = pa.array(segment[first])
         return pa.table({"doc_id": t["doc_id"].take(rows), "t": t["t"].take(rows), "start": start[segment[first]] + window_number[first], "windows": pa.array(-count, pa.int32())})
 
-    kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t long, start long, windows int"), "first-windows")
+    kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t long, start long, windows int"), "first-windows", tidy=True)
     # a set: rows alike bring each of their marks once a row, or merged, and have to count once
     marks = places.select(*_PLACE, "start", "windows").unionByName(kept).groupBy(*_PLACE).agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
 
