@@ -199,8 +199,8 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame, width: in
 
 def _hooked(member: DataFrame, links: DataFrame) -> DataFrame:
     """member (node, component) with the components of linked nodes (a, b) hooked together: each
-    points to the neighbour of the most links, if that has more than itself, and four such steps
-    are taken at once. So components that get one number are connected, and mostly all that are."""
+    points to the neighbour of the most links, if that has more than itself, and two such steps are
+    taken at once. So components that get one number are connected, and mostly all that are."""
     ends = links.join(member.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(member.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
     edges = ends.where("ca <> cb").select(F.explode(F.array(F.struct("ca", "cb"), F.struct(F.col("cb").alias("ca"), F.col("ca").alias("cb")))).alias("e")).select("e.*").distinct()
     edges = staged(edges, "edges")
@@ -208,8 +208,7 @@ def _hooked(member: DataFrame, links: DataFrame) -> DataFrame:
     near = edges.join(degree.select(F.col("ca").alias("cb"), "links"), "cb")
     hub = F.greatest(F.struct(F.count("*").alias("links"), F.col("ca").alias("c")), F.max(F.struct("links", F.col("cb").alias("c"))))
     step = staged(near.groupBy("ca").agg(hub.alias("hub")).select("ca", F.col("hub.c").alias("to")), "hooks")
-    for _ in range(2):
-        step = step.join(step.select(F.col("ca").alias("to"), F.col("to").alias("next")), "to").select("ca", F.col("next").alias("to"))
+    step = step.join(step.select(F.col("ca").alias("to"), F.col("to").alias("next")), "to").select("ca", F.col("next").alias("to"))
     return member.join(step.withColumnRenamed("ca", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
@@ -242,7 +241,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         now = lists.join(member, "node") if turn else lists.withColumn("component", F.col("node"))
         one = F.min(F.struct(rank.alias("r"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("lead"), F.col("component").alias("lead_component")))
         apart = now.groupBy("v").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.first("parts").alias("parts"), one.alias("one")).where("least <> most")
-        now = staged(now.join(_to_parts(apart.select("v", "parts", "one.lead", "one.lead_component")), ["v", "part"]), "apart")
+        now = staged(now.join(_to_parts(apart.select("v", "parts", "one.lead", "one.lead_component")), ["v", "part"]), "apart", tidy=True)
         if now.isEmpty():
             break
         if turn < rounds:
@@ -260,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         items = more if items is None else items.unionByName(more)
         found = staged(_links(likely, items, percent), "links", tidy=True)
         links.append(found)
-        member = staged(_hooked(member, found), "members")
+        member = staged(_hooked(member, found), "members", tidy=True)
 
     whole = classes.select("node", "first_doc", *keys).withColumn("component", F.col("node"))
     if links:
