@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import time
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,29 @@ def staged(df: DataFrame, name: str, *by: str, tidy: bool = False) -> DataFrame:
 
 
 def free(spark: SparkSession) -> None:
-    """Spark deletes shuffle files once the driver has collected its garbage, so this does it."""
+    """Spark deletes shuffle files once the driver has collected its garbage, so this does it, and
+    lets the driver's C library give back what many plans have left there."""
     gc.collect()
     for _ in range(2):  # Python's references reach the JVM a little later
         spark._jvm.System.gc()
         time.sleep(0.2)
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """The JVM's own command for it; a JVM that has none is left alone."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    find = jvm.java.lang.Class.forName
+    kinds = array(jvm.java.lang.Class, 4)
+    for i, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = find(name)
+    given = array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    given[2], given[3] = array(jvm.java.lang.Object, 0), array(jvm.java.lang.String, 0)
+    try:
+        find("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JJavaError:
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -98,8 +98,10 @@ def revised(rows: DataFrame, old: str, new: str) -> DataFrame:
 def count_tokens(docs: DataFrame, version: str, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
     """docs (source, lang, text, ...) -> source, lang, version, guess, tokens: one row a document.
 
-    tokens is the byte-level BPE's count over the whole text, 0 for null and empty ones; guess is
-    the quick count of one token for each four bytes, rounded up."""
+    tokens is the byte-level BPE's count over the whole text, however long, 0 for null and empty
+    ones; guess is the quick count of one token for each four bytes, rounded up. Null sources and
+    languages stay null. Repeated rows are counted each for itself; an empty table gives an empty
+    result. Other columns are not looked at."""
     path = f"{folder}/{ranks}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

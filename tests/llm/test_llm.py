@@ -244,6 +244,41 @@ def test_near_copies_at_the_threshold(spark):
     assert dict(zip(got["doc_id"], got["component_id"], strict=True)) == want
 
 
+def against(sql, frame, name="documents"):
+    con = duckdb.connect()
+    con.register(name, frame)
+    found = con.sql(sql)
+    return found.columns, sorted(found.fetchall(), key=repr)
+
+
+def test_near_duplicates_against_sql(spark):
+    columns, want = against(neardup.SQL, table(spark, "/root/testdata/sf0.01", "documents").toPandas())
+    got = queries.op3_near_duplicates(spark, "/root/testdata/sf0.01").select(*columns).collect()
+    assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Lists of many parts: copies of one text, each with changes of its own, and a chain of them."""
+    monkeypatch.setattr(neardup, "PART", 16)
+    rng = np.random.default_rng(21)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(300):
+        w = list(base)
+        for j in rng.choice(200, int(rng.integers(0, 7)), replace=False):
+            w[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+    w = [f"c{i}" for i in range(120)]
+    for i in range(60):  # each like the one before, the first and last unlike
+        w[2 * i : 2 * i + 2] = [f"d{i}", f"e{i}"]
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, "the same few words") for i in range(100)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame([(int(i), t) for i, t in rows], "doc_id long, text string")
+    got = neardup.near_duplicates(d, 2).toPandas()
+    want = linked({int(i): shingled(t, 2) for i, t in rows})
+    assert dict(zip(got["doc_id"], got["component_id"], strict=True)) == want
+
+
 def test_near_duplicates_of_odd_rows(odd, no_docs):
     got = neardup.near_duplicates(odd, 2).toPandas()
     assert len(got) == len(ODD)
@@ -492,6 +527,11 @@ def test_repeats_against_brute_force(docs, limit):
     assert [([[s["start"], s["end"]] for s in r["spans"]], bytes(r["kept"])) for r in got] == cut(rows)
 
 
+def test_repeats_against_sql(spark, docs):
+    columns, want = against(suffixes.SQL, docs.toPandas())
+    assert sorted(map(tuple, queries.op7_suffix_dedup(spark, SF).select(*columns).collect()), key=repr) == want
+
+
 def test_repeats_of_odd_texts(spark):
     a = "".join(chr(97 + i * i % 26) for i in range(333))
     texts = ["x" * 500, "xy" * 300, a, a, "ü" * 120 + a, a[:99], None, "", "\x00" * 150, a[50:250] + "ü" + a[:120]]
@@ -613,7 +653,7 @@ def test_licenses_of_long_and_repeated_texts(spark):
     long = "mit license " * 60_000 + "licensed under the apache license version 2 0"
     rows = [(1, long, "x", 1), (1, long, "x", 1), (2, "mit", "x", 1), (2, "mit license mit", "x", 1)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, word string, t long")).orderBy("doc_id", "n_words").collect()
-    assert [(r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in got[:2]] == [(120_005, 60_001, 0, 120_003, "apache,mit")] * 2
+    assert [(r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) for r in got[:2]] == [(120_008, 60_001, 0, 120_003, "apache,mit")] * 2
     assert [(r["n_base"], r["labels"]) for r in got[2:]] == [(0, ""), (1, "mit")]
 
 
@@ -750,8 +790,8 @@ def test_pipeline_stages(spark, docs):
     assert now.columns == columns and {i: t for i, (t, _) in got.items()} == left and all(len(t) == n for t, n in got.values())
 
     # the stage shuffles by doc_id and text, so that rows that repeat a doc_id are apart
-    both = now.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t")))
-    taken = {r["doc_id"]["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.mix(both).collect()}
+    both = now.withColumn("own", F.col("doc_id")).withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t")))
+    taken = {r["own"]: r["taken"] // max(1, r["size"]) for r in mixing.mix(both, row="own").collect()}
     now = corpus_pipeline.mix(spark, now, SF)
     assert now.columns == columns and Counter(r["doc_id"] for r in now.collect()) == Counter({i: n for i, n in taken.items() if n})
 
@@ -760,12 +800,35 @@ def test_pipeline_stages(spark, docs):
     assert all(p.decode(r["token_ids"]) == r["text"] and r["n_tokens"] == len(r["token_ids"]) for r in done)
 
 
+#: Names that the pipeline and its operators use inside.
+INSIDE = ["t", "copy", "worded", "left", "mark_id", "mark_t", "number", "component", "first", "token_ids", "n_tokens", "times", "row", "size", "h", "node"]
+
+
 def test_pipeline_of_odd_rows(spark, odd, no_docs):
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd, SF).columns == odd.columns, name
-        assert stage(spark, no_docs, SF).count() == 0, name
     kept = Counter(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, odd, SF).collect())
     assert kept == Counter({1: 1, 3: 1, 4: 1, 5: 1, None: 1, 6: 1, 7: 1, 8: 1})
+    mine = odd.withColumns({c: F.lit("mine") for c in INSIDE})
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, mine, SF), stage(spark, no_docs, SF)
+        added = ["n_tokens", "token_ids"] if name == corpus_pipeline.STAGES[-1][0] else []
+        assert sorted(got.columns) == sorted({*mine.columns, *added}) and none.count() == 0, name
+        rows = got.collect()
+        assert rows and all(r[c] == "mine" for r in rows for c in INSIDE if c not in added), name
+        if name in ("suffix-array dedup", corpus_pipeline.STAGES[-1][0]):
+            assert len(rows) == len(ODD)
+
+
+def test_mix_stage_deals_rows_alike(spark):
+    alike = [(1, "one two three", "en", "a", 13)] * 41
+    rows = alike + [(10 + i, f"some words {i} " * (i + 1), "en", "b", 1) for i in range(12)] + [(None, "no id here", None, None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    numbered = d.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t"))).withColumn("n", F.monotonically_increasing_id())
+    taken = mixing.mix(numbered, row="n").join(numbered.select("n", "source"), "n").groupBy("source").agg(F.sum("taken").alias("words")).collect()
+    got = corpus_pipeline.mix(spark, d, SF).toPandas()
+    by = Counter()
+    for r in got.itertuples():
+        by[r.source] += len(words(r.text))
+    assert by == {r["source"]: r["words"] for r in taken if r["words"]}
 
 
 # ---- the queries ----------------------------------------------------------------------------
