@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,19 +26,30 @@ DIMS = 64
 
 @lru_cache(maxsize=200_000)
 def _bucket(token: str, dims: int) -> int:
+    """-1 for what is not indexed."""
+    if len(token) < 2 or token in STOP_WORDS:
+        return -1
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dims
 
 
+def hashing_matrix(texts: Sequence[str], dims: int = DIMS) -> np.ndarray:
+    """Counts of indexed tokens, dealt to dims buckets by the first 32 bits of their MD5: one row a text."""
+    place, find = [], re.compile("[a-z0-9]+").findall
+    for i, t in enumerate(texts):
+        place += [i * dims + b for w in find((t or "").lower()) if (b := _bucket(w, dims)) >= 0]
+    return np.bincount(np.array(place, np.int64), minlength=len(texts) * dims).astype(float).reshape(len(texts), dims)
+
+
 def hashing_embedder(texts: list[str], dims: int = DIMS) -> list[list[float]]:
-    """Counts of indexed tokens, dealt to dims buckets by the first 32 bits of their MD5."""
-    stop, out = frozenset(STOP_WORDS), []
-    for t in texts:
-        v = [0.0] * dims
-        for w in re.findall("[a-z0-9]+", (t or "").lower()):
-            if len(w) > 1 and w not in stop:
-                v[_bucket(w, dims)] += 1.0
-        out.append(v)
-    return out
+    return hashing_matrix(texts, dims).tolist()
+
+
+#: An embedder may bring a function of the same result as a matrix, which saves making lists of it.
+hashing_embedder.matrix = hashing_matrix
+
+
+def vectors(embed: Embed, texts: list[str]) -> Sequence[Sequence[float]]:
+    return getattr(embed, "matrix", embed)(texts)
 
 
 def embed_column(text: Column, embed: Embed = hashing_embedder) -> Column:
@@ -46,7 +58,7 @@ def embed_column(text: Column, embed: Embed = hashing_embedder) -> Column:
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([list(map(float, v)) for v in embed(s.fillna("").tolist())], dtype=object)
+            yield pd.Series([np.asarray(v, float) for v in vectors(embed, s.fillna("").tolist())], index=s.index, dtype=object)
 
     return run(text)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from lodeline.operators import distance
 
 Table = Callable[[np.ndarray, np.ndarray], np.ndarray]
 ALGORITHMS = ("bruteforce", "kdtree", "hnsw")
-#: Up to so many queries are sent along with the scan; more are dealt into blocks.
-QUERY_BLOCK = 2048
+#: Queries of up to so many bytes are sent along with the scan, so that items are not shuffled; more are
+#: dealt into blocks. A task measures so many queries at a time.
+QUERY_BYTES, QUERY_BLOCK = 16 << 20, 2048
 #: Places of a batch's distances: products of matrices differ in the last ones, and ranks must not.
 PLACES = 12
 #: A filtered search looks at so many times k neighbours before it filters.
@@ -88,56 +90,67 @@ def search_filtered_batch(queries: DataFrame, items: DataFrame, k: int = 5, metr
     return best(near.join(items.where(of).select("id"), "id", "left_semi"), k)
 
 
-def _batch(queries: list[tuple[int, list[float]]], k: int, metric: str | Table):
-    """A scan that keeps each query's k nearest of every batch of rows."""
-    ids = np.array([q for q, _ in queries], np.int64)
-    m = np.array([v for _, v in queries], np.float64).reshape(len(queries), -1)
+def _batch(ids: np.ndarray, queries: np.ndarray, k: int, metric: str | Table):
+    """A scan that keeps each query's k nearest of every batch of rows of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             emb = b.column("emb")
-            fits = np.diff(emb.offsets.to_numpy()) == m.shape[1] if b.num_rows else np.zeros(0, bool)
+            fits = np.diff(emb.offsets.to_numpy()) == queries.shape[1] if b.num_rows else np.zeros(0, bool)
             rows = b.filter(pa.array(fits & ~np.asarray(emb.is_null())))
-            if not rows.num_rows or not len(m):
+            if not rows.num_rows:
                 continue
             emb = rows.column("emb").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
             row_id = rows.column("id").to_numpy()
-            d = np.round(metric(m, emb) if callable(metric) else distance.table(m, emb, metric), PLACES) + 0.0
-            keep = min(k, d.shape[1])
-            edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-            q, r = np.nonzero(d <= edge)  # ties at the edge too: ids decide later
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(row_id[r]), pa.array(d[q, r])], ["qid", "id", "dist"])
+            for s in range(0, len(ids), QUERY_BLOCK):
+                m = queries[s : s + QUERY_BLOCK]
+                d = np.round(metric(m, emb) if callable(metric) else distance.table(m, emb, metric), PLACES) + 0.0
+                keep = min(k, d.shape[1])
+                edge = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
+                q, r = np.nonzero(d <= edge)  # ties at the edge too: ids decide later
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + q]), pa.array(row_id[r]), pa.array(d[q, r])], ["qid", "id", "dist"])
 
     return run
 
 
+def _matrices(qid: pa.Array, emb: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries of each length; empty and null ones find nothing."""
+    size, flat, ids = np.diff(emb.offsets.to_numpy()), emb.flatten().to_numpy(zero_copy_only=False).astype(np.float64), qid.to_numpy()
+    start = np.cumsum(size) - size
+    return [(ids[size == n], flat[(start[size == n][:, None] + np.arange(n)).reshape(-1)].reshape(-1, n)) for n in np.unique(size) if n]
+
+
 def best(found: DataFrame, k: int, by: str = "qid") -> DataFrame:
     w = Window.partitionBy(by).orderBy("dist", "id")
     return found.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
-def search_batch(queries: DataFrame, items: DataFrame, k: int = 5, metric: str | Table = "cosine", query_block: int = QUERY_BLOCK) -> DataFrame:
-    """queries (qid, emb), items (id, emb) -> qid, id, dist, rank. metric is a name or a function of
-    two matrices. Queries beyond one block are dealt into blocks that each meet all items."""
+def search_batch(queries: DataFrame, items: DataFrame, k: int = 5, metric: str | Table = "cosine", query_bytes: int = QUERY_BYTES, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """queries (qid, emb), items (id, emb) -> qid, id, dist, rank: the k nearest of a query's length.
+    metric is a name or a function of two matrices. Queries of more than query_bytes are dealt into
+    blocks that each meet all items."""
     _checked(k)
-    schema, queries = "qid long, id long, dist double", queries.select(F.col("qid").cast("long"), F.col("emb").cast("array<double>"))
+    schema = "qid long, id long, dist double"
+    queries = queries.select(F.col("qid").cast("long"), F.col("emb").cast("array<double>")).where("emb is not null")
     items = items.select(F.col("id").cast("long"), F.col("emb").cast("array<double>"))
-    head = queries.limit(query_block + 1).collect()  # bounded
-    if len(head) <= query_block:
-        return best(items.mapInArrow(_batch([(r[0], r[1]) for r in head], k, metric), schema), k)
-    blocks = -(-queries.count() // query_block)
+    n, cells = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("emb")), F.lit(0))).first()
+    if 8 * cells <= query_bytes:
+        sent = queries.toArrow().combine_chunks()  # bounded
+        each = _matrices(*(c.combine_chunks() for c in sent.columns)) if n else []
+        found = [items.mapInArrow(_batch(ids, m, k, metric), schema) for ids, m in each] or [items.sparkSession.createDataFrame([], schema)]
+        return best(reduce(DataFrame.unionByName, found), k)
+    blocks = -(-n // query_block)
     asking = queries.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     pieces = max(1, items.sparkSession.sparkContext.defaultParallelism)
     asking = asking.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     asked = items.withColumn("piece", F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = list(zip(left["qid"].to_pylist(), left["emb"].to_pylist(), strict=True))
-        empty = pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        if not rows or not right.num_rows:
-            return empty
-        out = list(_batch(rows, k, metric)(iter(right.select(["id", "emb"]).combine_chunks().to_batches())))
-        return pa.Table.from_batches(out) if out else empty
+        out = []
+        if left.num_rows and right.num_rows:
+            for ids, m in _matrices(left["qid"].combine_chunks(), left["emb"].combine_chunks()):
+                out += _batch(ids, m, k, metric)(iter(right.select(["id", "emb"]).combine_chunks().to_batches()))
+        return pa.Table.from_batches(out) if out else pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
 
     keys = ["block", "piece"]
     return best(asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, schema), k)

@@ -15,19 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.functions import text as tx
-from lodeline.functions.models import Embed, hashing_embedder
+from lodeline.functions.models import Embed, hashing_embedder, vectors
 
 PERCENTILE, MIN_WORDS, MAX_WORDS = 75.0, 25, 350
 
 
-def distances(vectors: Sequence[Sequence[float]]) -> np.ndarray:
+def distances(own: Sequence[Sequence[float]]) -> np.ndarray:
     """Clamped cosine distances of neighbours; 1 for empty, unlike long or zero vectors."""
-    if len(vectors) < 2:
+    if len(own) < 2:
         return np.zeros(0)
-    size = np.array([len(v) for v in vectors])
-    m = np.zeros((len(vectors), max(1, size.max())))
+    size = np.array([len(v) for v in own])
+    m = np.zeros((len(own), max(1, size.max())))
     for n in np.unique(size):
-        m[size == n, :n] = [v for v in vectors if len(v) == n]
+        m[size == n, :n] = own if len(np.unique(size)) == 1 else [v for v in own if len(v) == n]
     scale = np.sqrt((m * m).sum(1))
     scale = scale[1:] * scale[:-1]
     fits = (size[1:] == size[:-1]) & (scale > 0)
@@ -64,8 +64,8 @@ def _fold(docs: DataFrame, schema: str, handle, embed: Embed, text: str) -> Data
         for frame in frames:
             size = frame["sentences"].map(len).to_numpy()
             flat = [s for x in frame["sentences"] for s in x]
-            vectors = embed(flat) if flat else []
-            d, given = distances(vectors), np.array([len(v) > 0 for v in vectors], bool)
+            own_vectors = vectors(embed, flat) if flat else []
+            d, given = distances(own_vectors), np.array([len(v) > 0 for v in own_vectors], bool)
             ends, rows = np.cumsum(size), []
             for i, whole, own, z in zip(frame["id"], frame[text], frame["sentences"], ends, strict=True):
                 a = z - len(own)

@@ -97,8 +97,13 @@ def test_blocks_of_queries_give_the_same(spark):
     items = registry.items(spark, SF)
     asked = registry.asked_vectors(spark, SF)
     one = knn.search_batch(asked, items, 3).collect()
-    many = knn.search_batch(asked, items, 3, query_block=4).collect()
+    many = knn.search_batch(asked, items, 3, query_bytes=100, query_block=4).collect()
     assert sorted(one) == sorted(many) and len(one) == 75
+    short = spark.createDataFrame([(900, [1.0, 0.0]), (901, []), (902, None)], "qid long, emb array<double>")
+    pair = spark.createDataFrame([(7, [0.0, 2.0]), (8, [3.0, 0.0])], "id long, emb array<double>")
+    both, rows = asked.unionByName(short), items.select("id", F.col("emb").cast("array<double>")).unionByName(pair)
+    assert sorted(knn.search_batch(both, rows, 3).collect()) == sorted([*one, (900, 8, 0.0, 1), (900, 7, 1.0, 2)])
+    assert knn.search_batch(asked.limit(0), items).count() == 0
 
 
 @pytest.mark.parametrize("s, want", [("1, 2,,3", [1.0, 2.0, 3.0]), ("1,x", []), ("", []), (" 4 ", [4.0])])
@@ -341,8 +346,9 @@ def test_levels_and_links_worked_out_by_hand():
     draws = [0.6394267984578837, 0.025010755222666936, 0.27502931836911926]  # of the seed
     assert graph.levels(3) == [int(-math.log(u) / math.log(16)) for u in draws] == [0, 1, 0]
     g = graph.Graph([10, 20, 30], np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.1]]))
-    assert g.links == [{0: [2, 1], 1: [2, 0], 2: [0, 1]}, {1: []}] or g.links[0][2] == [0, 1]
-    assert g.entry == 1 and g.height == 1
+    # the second node links with the first, the third with the nearer first, then the second
+    assert [sorted(g.links[0][x]) for x in range(3)] == [[1, 2], [0, 2], [0, 1]] and g.links[0][2] == [0, 1]
+    assert g.links[1] == {1: []} and g.entry == 1 and g.height == 1
 
 
 @pytest.mark.parametrize("metric", distance.METRICS)
