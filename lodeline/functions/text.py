@@ -26,7 +26,7 @@ def strip(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(c, r"(?U)\s+"), "")
 
 
 def word_count(c: Column) -> Column:

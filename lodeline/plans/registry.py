@@ -19,7 +19,7 @@ from lodeline.functions.models import embed_column, generate_column, hashing_emb
 from lodeline.operators import distance, fusion, graph, grounding, kdtree, knn, lexical, manifold, quantize, semantic
 from lodeline.operators.rerank import rerank
 from lodeline.plans.engine import Engine
-from lodeline.scratch import stage_path, staged
+from lodeline.scratch import spread, stage_path, staged
 from lodeline.sources import store
 from lodeline.streaming.ingest import chunks
 
@@ -52,7 +52,7 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text")
+    return spread(d.select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text"))
 
 
 def embedded(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -40,6 +40,14 @@ def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it comes in no more parts than there are cores. That is a small table,
+    often of one file with one row group, which one task would read: worth a shuffle before work on
+    texts. A table of more parts stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def release(spark: SparkSession) -> None:
     """Deletes this application's staged tables. Call it once no result is needed any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodeline-{spark.sparkContext.applicationId}")
