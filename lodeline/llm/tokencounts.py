@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.llm.shared import stage_path
+from lodeline.llm.shared import stage_path, staged
 
 #: Where the public tokenizers' files are, and the one that counts.
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
@@ -96,13 +96,14 @@ def revised(rows: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, version: str, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
-    """docs (source, lang, text, ...) -> source, lang, version, guess, tokens: one row a document.
+    """docs (doc_id, source, lang, text, ...) -> doc_id, source, lang, version, guess, tokens: one row a
+    document.
 
     tokens is the byte-level BPE's count over the whole text, however long, 0 for null and empty
     ones; guess is the quick count of one token for each four bytes, rounded up. Null sources and
     languages stay null. Repeated rows are counted each for itself; an empty table gives an empty
     result. Other columns are not looked at."""
-    path = f"{folder}/{ranks}"
+    path, kept = f"{folder}/{ranks}", ["doc_id", "source", "lang", "guess"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -112,12 +113,12 @@ def count_tokens(docs: DataFrame, version: str, folder: str = TOKENIZERS, ranks:
         encoding = tiktoken.Encoding("counted", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
         for b in batches:
             n = [len(encoding.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("source"), b.column("lang"), b.column("guess"), pa.array(n, pa.int64())], ["source", "lang", "guess", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n, pa.int64())], [*kept, "tokens"])
 
     guess = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4).cast("long")
-    rows = docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), guess.alias("guess"), F.col("text").cast("string"))
-    counted = rows.mapInArrow(count, "source string, lang string, guess long, tokens long")
-    return counted.select("source", "lang", F.lit(version).alias("version"), "guess", "tokens")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), guess.alias("guess"), F.col("text").cast("string"))
+    counted = rows.mapInArrow(count, "doc_id long, source string, lang string, guess long, tokens long")
+    return counted.select("doc_id", "source", "lang", F.lit(version).alias("version"), "guess", "tokens")
 
 
 def rollup(docs: DataFrame, version: str, gone: DataFrame | None = None, path: str | None = None, folder: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
@@ -132,10 +133,12 @@ def rollup(docs: DataFrame, version: str, gone: DataFrame | None = None, path: s
     ledger = Ledger(docs.sparkSession, path or stage_path(docs.sparkSession, "token-ledger"))
     guess = F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / 4)
     ledger.apply(f"{version}/load", signed(docs.select(F.col("source").cast("string"), F.col("lang").cast("string"), F.lit(version).alias("version"), guess.alias("tokens")), 1))
-    changes = revised(count_tokens(docs, version, folder, ranks), "guess", "tokens")
+    # texts are counted once, and never shuffled: what goes is looked up among the counts
+    counted = staged(count_tokens(docs, version, folder, ranks), "token-counts")
+    changes = revised(counted, "guess", "tokens")
     ledger.apply(f"{version}/revise", changes)
     if gone is not None:
-        going = docs.join(gone.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-        ledger.apply(f"{version}/delete", signed(count_tokens(going, version, folder, ranks), -1))
+        ids = gone.where("doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
+        ledger.apply(f"{version}/delete", signed(counted.join(ids, "doc_id", "left_semi"), -1))
     ledger.apply(f"{version}/revise", changes)
     return ledger.totals()
