@@ -20,13 +20,18 @@ ABBREVIATIONS = (
 )
 
 
+#: White space, Unicode's included: for trimming, and as a class.
+_BLANKS = " \t\n\x0b\f\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def words(c: Column) -> Column:
-    return F.array_remove(F.split(c, r"(?U)\s+"), "")
+    return F.array_remove(F.split(c, _SPACE + "+"), "")
 
 
 def word_count(c: Column) -> Column:
@@ -56,10 +61,10 @@ def fixed_chunks(docs: DataFrame, size: int = CHUNK_WORDS, overlap: int = OVERLA
 _CUT = "\x01\x02\x01"
 #: Where sentences part, for chunking: white space after a mark, unless the mark is the dot of an
 #: abbreviation, and white space with a line break in it. A dot inside a number has no space after it.
-_ENDS = r"(?U)(?:(?<=[!?])|(?<=\.)(?<!(?i:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r"))|(?<!\s)(?=[^\S\n\r]*+[\n\r]))\s++"
+_ENDS = r"(?U)(?=\s)(?:(?<=[!?])|(?<=\.)(?<!(?i:" + "|".join(re.escape(a) for a in ABBREVIATIONS) + r"))|(?<!\s)(?=[^\S\n\r]*+[\n\r]))\s++"
 #: For grounding: white space after a mark and before a capital, digit, quote or bracket, or with a
 #: line break right after the mark.
-_CLAIM_ENDS = r"""(?U)(?<=[.!?])(?:\s++(?=[A-Z0-9"'(\[])|\n++\s*+)"""
+_CLAIM_ENDS = r"""(?U)(?=\s)(?<=[.!?])(?:\s++(?=[A-Z0-9"'(\[])|\n++\s*+)"""
 #: What a stripped piece of two or three words at least holds.
 _TWO, _THREE = r"(?U)\s", r"(?U)\s\S+\s"
 
