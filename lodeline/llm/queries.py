@@ -81,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Full results, where SQL expresses them.
 ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": urls.SQL,
     "op3_near_duplicates": neardup.SQL,
     "op6_mixing": mixing.SQL,
     "op7_suffix_dedup": suffixes.SQL,

@@ -71,7 +71,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rules = model.associationRules.where(F.col("consequent")[0].isin(*VERDICTS))
     share, pages = F.col("confidence") / F.col("lift"), F.lit(baskets.count())
     shrunk = (F.col("support") * pages + prior * share) / (F.col("support") * pages / F.col("confidence") + prior)
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.when(F.col("consequent")[0] == block, "block").otherwise("allow").alias("verdict"), shrunk.alias("confidence"), "support", share.alias("share"))
+    # rounded, so that equal ones are equal whatever the order of their arithmetic
+    rules = rules.select(F.array_sort("antecedent").alias("tokens"), F.when(F.col("consequent")[0] == block, "block").otherwise("allow").alias("verdict"), F.round(shrunk, 9).alias("confidence"), "support", F.round(share, 9).alias("share"))
     rules = rules.where((F.col("confidence") >= min_confidence) & (F.col("confidence") >= min_lift * F.col("share"))).drop("share")
     rules = staged(rules.withColumn("rule", F.array_join("tokens", " ")), "url-rules")
     shorter = rules.select("rule", "verdict", "confidence", F.explode("tokens").alias("without"), "tokens")
@@ -116,14 +117,31 @@ def judge(
     )
 
 
-def fixed_rules_sql(rules: Sequence[tuple[str, str]] = RULES) -> str:
-    """DuckDB SQL of page_id, host, path and rule."""
-    case = " ".join(
-        f"when (host = '{t.partition('/')[0]}' or ends_with(host, '.{t.partition('/')[0]}')) and starts_with(path, '/{t.partition('/')[2]}') then '{t}'"
-        for _, t in sorted(rules, key=lambda r: (-len(r[1]), r[1]))
-    )
+def _sql(rules: Sequence[tuple[str, str]] = RULES) -> str:
+    """The query's rows in DuckDB: every set of a page's tokens is looked up, so for short URLs only."""
+    fits = lambda t: f"(host = '{t.partition('/')[0]}' or ends_with(host, '.{t.partition('/')[0]}')) and starts_with(path, '/{t.partition('/')[2]}')"
+    longest = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
+    case = lambda put: "case " + " ".join(f"when {fits(t)} then '{put(v, t)}'" for v, t in longest) + " end"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tagged = lambda kind, parts: f"list_transform(list_filter({parts}, lambda x: x <> ''), lambda x: '{kind}:' || x)"
     return rf"""
-    with r as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
-    p as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-                 regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from r)
-    select page_id, host, path, case {case} end as rule from p"""
+    with r as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+    p as (select page_id, case when instr(url, '://') > 0 then {lower.format("split_part(url, '://', 1)")} else '' end as scheme, {lower.format("regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1)")} as host,
+                 regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from r),
+    t as (select row_number() over () as row, *, list_sort(list_distinct(list_concat({tagged('scheme', '[scheme]')}, {tagged('host', "string_split(host, '.')")}, {tagged('path', "string_split_regex(path, '[/._-]')")}))) as tokens from p),
+    a as (select doc_id as page_id, min(b) as blocked from (select doc_id, quality = 0 or toxic = 1 as b from labels) where doc_id is not null and b is not null group by doc_id having min(b) = max(b)),
+    n as (select count(*)::double as n, ceil({MIN_SUPPORT} * count(*)) as least, count(*) filter (where blocked)::double as bad from t join a using (page_id)),
+    s as (select row, page_id, len(q) as needs, array_to_string(q, ' ') as rule, q from (select row, page_id, list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) as q from (select *, unnest(range(1, 1 << len(tokens))) as mask from t))),
+    c as (select rule, any_value(q) as q, count(*)::double as has, count(*) filter (where blocked)::double as bad from s join a using (page_id) group by rule),
+    v as (select rule, q, 'block' as verdict, c.bad as both_, has, n.bad / n.n as share, least from c, n union all select rule, q, 'allow', has - c.bad, has, (n.n - n.bad) / n.n, least from c, n),
+    k as (select rule, q, verdict, round((both_ + {PRIOR} * share) / (has + {PRIOR}), 9) as confidence from v
+          where both_ >= least and both_ > 0 and both_ / has >= {MIN_CONFIDENCE} and round((both_ + {PRIOR} * share) / (has + {PRIOR}), 9) >= {MIN_CONFIDENCE}
+            and round((both_ + {PRIOR} * share) / (has + {PRIOR}), 9) >= {MIN_LIFT}::double * round(share, 9)),
+    b as (select distinct l.rule, l.verdict from (select *, unnest(q) as without from k) l join k z on z.verdict = l.verdict and z.rule = array_to_string(list_filter(l.q, lambda x: x <> l.without), ' ') where z.confidence >= l.confidence),
+    m as (select s.row, k.rule as mined_rule, k.verdict as mined_verdict, k.confidence from s join k using (rule) anti join b on b.rule = k.rule and b.verdict = k.verdict
+          qualify row_number() over (partition by s.row order by k.verdict desc, k.confidence desc, k.rule desc) = 1)
+    select page_id, host, path, {case(lambda v, t: t)} as rule, coalesce({case(lambda v, t: v)}, mined_verdict, 'allow') as verdict, mined_rule, mined_verdict, confidence
+    from t left join m using (row)"""
+
+
+SQL = _sql()

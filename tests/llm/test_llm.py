@@ -169,12 +169,14 @@ def test_rules_judge_real_pages(spark):
     assert (free.verdict == free.mined_verdict.fillna("allow")).all()
 
 
-def test_fixed_rules_against_sql(spark):
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_urls_against_sql(spark, sf):
     con = duckdb.connect()
-    con.sql("create view pages as select * from read_parquet('/root/testdata/sf0.01/pages.parquet')")
-    want = con.sql(urls.fixed_rules_sql()).fetchall()
-    got = queries.op2_url_filter(spark, "/root/testdata/sf0.01").select("page_id", "host", "path", "rule").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    for t in ("pages", "labels"):
+        con.sql(f"create view {t} as select * from read_parquet('/root/testdata/{sf}/{t}.parquet')")
+    want = con.sql(urls.SQL)
+    got = queries.op2_url_filter(spark, f"/root/testdata/{sf}").select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
 
 
 def test_urls_of_odd_rows(spark):
