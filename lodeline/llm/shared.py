@@ -29,8 +29,12 @@ def staged(df: DataFrame, name: str, *by: str, tidy: bool = False) -> DataFrame:
 
 def free(spark: SparkSession) -> None:
     """Spark deletes shuffle files once the driver has collected its garbage, so this does it, and
-    lets the driver's C library give back what many plans have left there."""
+    lets the driver's C library give back what many plans have left there. Where everything runs in
+    one process, one collection without waiting has to do."""
     gc.collect()
+    if scratch.is_local(spark):
+        spark._jvm.System.gc()
+        return
     for _ in range(2):  # Python's references reach the JVM a little later
         spark._jvm.System.gc()
         time.sleep(0.2)
