@@ -10,15 +10,17 @@ from lodeline.functions.models import Embed, embed_column, hashing_embedder
 from lodeline.operators import distance
 
 GROUNDED, PARTIAL = 0.68, 0.50
+#: Places of the similarities that sources are ranked by.
+PLACES = 12
 
 
 def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedder, grounded: float = GROUNDED, partial: float = PARTIAL) -> DataFrame:
     """answers (aid, answer), contexts (aid, place, doc_id, title, text) -> aid, sentence_no,
     sentence, citation_id, source_doc_id, source_title, source_sentence, confidence, status.
 
-    The source is the most similar context sentence, of equal ones the first by place and sentence;
-    citations count the distinct documents by their first place, and are null for ungrounded
-    sentences. Answers without context documents give nothing."""
+    The source is the most similar context sentence, of those equal to PLACES places the first by
+    place and sentence; citations count the distinct documents by their first place, and are null for
+    ungrounded sentences. Answers without context documents give nothing."""
     asked = tx.claims(answers.select("aid", F.col("answer").alias("text")))
     asked = asked.select("aid", F.posexplode("sentences").alias("sentence_no", "sentence"))
     asked = asked.withColumn("av", embed_column(F.col("sentence"), embed))
@@ -30,9 +32,11 @@ def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedd
     pool = pool.join(cited, ["aid", "doc_id"])
     pairs = asked.join(cited.select("aid").distinct(), "aid", "left_semi").join(pool, "aid", "left")
     sim = F.when(F.col("dv").isNotNull() & (F.size("av") > 0), distance.clamped_similarity(F.col("av"), F.col("dv")))
-    source = F.when(sim.isNotNull(), F.struct("doc_id", "title", "source", "citation"))
-    top = pairs.groupBy("aid", "sentence_no", "sentence").agg(F.max_by(source, F.when(sim.isNotNull(), F.struct(sim.alias("s"), (-F.col("place")).alias("p"), (-F.col("no")).alias("n")))).alias("top"), F.max(sim).alias("sim"))
-    confidence = F.round(F.greatest(F.coalesce("sim", F.lit(0.0)), F.lit(0.0)), 4)
+    source = F.when(sim.isNotNull(), F.struct("doc_id", "title", "source", "citation", sim.alias("sim")))
+    # similarities that are equal differ in the last places by their norms' roots; places decide then
+    nearest = F.when(sim.isNotNull(), F.struct(F.round(sim, PLACES).alias("s"), (-F.col("place")).alias("p"), (-F.col("no")).alias("n")))
+    top = pairs.groupBy("aid", "sentence_no", "sentence").agg(F.max_by(source, nearest).alias("top"))
+    confidence = F.round(F.greatest(F.coalesce("top.sim", F.lit(0.0)), F.lit(0.0)), 4)
     rows = top.withColumn("confidence", confidence)
     rows = rows.withColumn("status", F.when(F.col("confidence") >= grounded, "grounded").when(F.col("confidence") >= partial, "partial").otherwise("ungrounded"))
     return rows.select(

@@ -226,6 +226,15 @@ def test_grounding(spark):
     assert grounding.cited(grounding.match(answers, contexts)).count() == 0
 
 
+def test_grounding_takes_the_first_of_sources_alike_but_for_rounding(spark):
+    answers = spark.createDataFrame([(1, "zebra")], "aid long, answer string")
+    rows = [(1, 1, 5, "five", "alpha zebra"), (1, 2, 6, "six", "alpha zebra alpha zebra alpha zebra")]  # the second seems nearer by 1e-16
+    contexts = spark.createDataFrame(rows, "aid long, place long, doc_id long, title string, text string")
+    m = grounding.match(answers, contexts)
+    assert [(r["source_doc_id"], r["citation_id"], r["confidence"]) for r in m.collect()] == [(5, 1, 0.7071)]
+    assert grounding.report(m).first()["annotated_answer"] == "zebra [1]"
+
+
 def test_grounding_in_documents_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(11)
     pool = [f"word{i}" for i in range(40)]
