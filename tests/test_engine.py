@@ -233,6 +233,7 @@ def test_grounding_takes_the_first_of_sources_alike_but_for_rounding(spark):
     m = grounding.match(answers, contexts)
     assert [(r["source_doc_id"], r["citation_id"], r["confidence"]) for r in m.collect()] == [(5, 1, 0.7071)]
     assert grounding.report(m).first()["annotated_answer"] == "zebra [1]"
+    assert [r["doc_id"] for r in grounding.cited(m).collect()] == [5]
 
 
 def test_grounding_in_documents_against_brute_force(spark, tmp_path):
