@@ -12,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeline.scratch import staged
+
 ITEM = "id long, metadata string, category string, emb array<double>"
 CHUNK = "id long, title string, text string, emb array<double>"
 VERSION = 1
@@ -53,12 +55,13 @@ def listed(store: DataFrame) -> DataFrame:
 
 def insert(store: DataFrame, rows: DataFrame, dims: int | None = None) -> DataFrame:
     """store with rows, whose ids go on from the largest one. With dims, vectors of another length
-    are an error."""
+    are an error. The new rows are staged."""
     if dims is not None and not rows.where(F.size("emb") != dims).isEmpty():
         raise ValueError(f"vectors must have {dims} dimensions")
     last = store.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    # numbered by partition, so that no task sees all new rows
-    numbered = rows.withColumn("_at", F.monotonically_increasing_id())
+    # numbered by partition, so that no task sees all new rows; staged, as another run may deal them
+    # to other partitions
+    numbered = staged(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition

@@ -495,6 +495,20 @@ def test_insert_delete_restore(spark):
     assert sorted(r["metadata"] for r in store.restore(seed, more).where("id > 20").collect()) == ["own"]
 
 
+def test_restored_rows_are_numbered_as_they_are_dealt(spark):
+    now = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in now}
+    rows = spark.range(4000).select((F.col("id") + 100).alias("id"), F.concat(F.lit("own"), "id").alias("metadata"), F.lit("").alias("category"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.xxhash64("id", i) / 1e19).alias("emb"))
+    try:  # the rows come in several partitions, their numbers alone in one
+        for k, v in now.items():
+            spark.conf.set(k, v)
+        got = store.restore(store.seed_items(spark), rows).agg(F.count("*"), F.count_distinct("id"), F.max("id"), F.count_distinct("metadata"), F.count_if(F.size("emb") == 64)).first()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert tuple(got) == (4020, 4020, 4020, 4020, 4000)
+
+
 def test_the_whole_service(spark, tmp_path):
     e = Engine(spark, generate=lambda ps: ["Distributed engines shuffle rows between tasks." for _ in ps])
     assert e.doc_insert("Spark", "Distributed engines shuffle rows between tasks. Shuffles cost time and disk.") == 1
