@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline import scratch
-from lodeline.scratch import release, shared_dir, stage_path  # noqa: F401  of the operators' interface
+from lodeline.scratch import drop, release, shared_dir, stage_path  # noqa: F401  of the operators' interface
 
 #: A word of the contracts on documents: a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -23,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm import shingles
-from lodeline.llm.shared import staged
+from lodeline.llm.shared import drop, staged
 
 WINDOW, GRAM = 100, 24
-#: Bytes of text that are hashed at a time; longer documents are cut, with WINDOW - 1 bytes in common.
-PIECE = 1 << 20
+#: Bytes of text that are hashed at a time, few enough for a core's cache; longer documents are cut, with
+#: WINDOW - 1 bytes in common.
+PIECE = 1 << 17
 #: Bytes of segments in a block, about, and distinct segments from which an anchor is cut up.
 BLOCK, CUT = 1 << 21, 4096
 #: Symbols of a word: 7 of 9 bits, so that the end of a segment is smaller than every byte.
@@ -88,60 +89,63 @@ _BYTES = np.random.default_rng(20240608).integers(1, 2**63, 256, dtype=np.uint64
 ANCHORS = "h long, g long, doc_id long, t long, start long, windows int"
 
 
-def anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """docs (doc_id, text, t) -> one row a segment: hashes of anchor and segment, and its place."""
+def anchors(docs: DataFrame, window: int, gram: int, hashes: bool = False) -> DataFrame:
+    """docs (doc_id, text, t) -> one row a segment: hashes of anchor and segment, and its place. With
+    hashes the anchor's alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = shingles.text_buffer(b.column("text"))
             for numbers, bounds in pieces(offsets, window):
                 h, g, of, start, count = segments(data, bounds, window, gram)
-                if len(h):
+                if hashes:
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+                elif len(h):
                     doc = pa.array(numbers[of])
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), b.column("doc_id").take(doc), b.column("t").take(doc), pa.array(start - offsets[numbers[of]]), pa.array(count, pa.int32())],
                         ["h", "g", "doc_id", "t", "start", "windows"],
                     )
 
-    return docs.mapInArrow(run, ANCHORS)
+    return docs.mapInArrow(run, ANCHORS.split(",")[0] if hashes else ANCHORS)
 
 
 # ---- the suffix array of a block ------------------------------------------------------------
 
 
 def direct_sort(words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Places at in the order of their next depth symbols, word by word; only ties go on."""
-    order = np.argsort(words[at], kind="stable")
-    out = at[order]
-    key = words[out]
-    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(out) else np.zeros(0, np.int64)
+    """Places at in the order of their next depth symbols, word by word; only ties go on, and of them
+    only groups that a word parts are sorted again."""
+    key = words[at]
+    order = np.argsort(key)
+    out, key = at[order], key[order]
+    new = np.ones(len(out), bool)
+    new[1:] = key[1:] != key[:-1]
+    spot = np.arange(len(out))
     for j in range(SYMBOLS, depth, SYMBOLS):
-        size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        tied = np.flatnonzero(size[group] > 1) if len(group) else group
-        if not len(tied):
+        alone = new.copy()  # groups of one are done
+        alone[:-1] &= new[1:]
+        spot, new = spot[~alone], new[~alone]
+        if not len(spot):
             break
-        key = words[out[tied] + j]
-        order = np.lexsort((key, group[tied]))
-        out[tied] = out[tied][order]
-        key = key[order]
-        # a group that parts gets new numbers; order across groups stays
-        new = np.zeros(len(out), bool)
-        new[1:] = group[1:] != group[:-1]
-        same = group[tied][1:] == group[tied][:-1]
-        new[tied[1:][same]] = key[1:][same] != key[:-1][same]
-        group = np.cumsum(new)
+        key, group = words[out[spot] + j], np.cumsum(new) - 1
+        parted = np.zeros(group[-1] + 1, bool)
+        parted[group[1:][(key[1:] != key[:-1]) & ~new[1:]]] = True
+        some = np.flatnonzero(parted[group])
+        order = some[np.lexsort((key[some], group[some]))]
+        out[spot[some]], key[some] = out[spot[order]], key[order]
+        new[1:] |= key[1:] != key[:-1]
     return out
 
 
 def two_stage(text: np.ndarray, words: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """Places where wanted holds, and those that they are induced from, in the order of their next
-    depth symbols. text: 0 ends a segment and pads it, other symbols are bytes plus 1."""
+    depth symbols. text: 0 ends a segment and fills the end, other symbols are bytes plus 1."""
     step = np.diff(text.astype(np.int32), append=0)
     change = np.flatnonzero(step)
-    after = np.searchsorted(change, np.arange(len(text)))
     larger = np.zeros(len(text), bool)  # than its successor: first different symbol falls
-    inside = after < len(change)
-    larger[inside] = step[change[after[inside]]] < 0
+    if len(change):
+        larger[: change[-1] + 1] = np.repeat(step[change] < 0, np.diff(change, prepend=-1))
     # a larger suffix is induced from its successor, so that has to be there; down to a smaller one
     needed, more = wanted.copy(), np.flatnonzero(wanted & larger)
     while len(more):
@@ -162,17 +166,16 @@ def two_stage(text: np.ndarray, words: np.ndarray, wanted: np.ndarray, depth: in
             return
         symbol = text[before]
         order = np.argsort(symbol, kind="stable")
-        before, symbol = before[order], symbol[order]
-        cuts = np.flatnonzero(np.diff(symbol)) + 1
-        for piece in np.split(before, cuts):
-            waiting[text[piece[0]]].append(piece)
+        before = before[order]
+        symbol = symbol[order]
+        cuts = [0, *(np.flatnonzero(symbol[1:] != symbol[:-1]) + 1).tolist(), len(symbol)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            waiting[symbol[i]].append(before[i:j])
 
     for c in range(257):
-        i = 0
-        while i < len(waiting[c]):  # grows while runs of one symbol are induced
-            scan(waiting[c][i])
-            i += 1
-        waiting[c] = []
+        while waiting[c]:  # again while runs of one symbol are induced
+            part, waiting[c] = np.concatenate(waiting[c]), []
+            scan(part)
         if edges[c] < edges[c + 1]:
             scan(seeds[edges[c] : edges[c + 1]])
     return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -191,16 +194,25 @@ def equal_to_neighbour(words: np.ndarray, order: np.ndarray, window: int) -> np.
 def first_windows(parts: list[bytes], count: np.ndarray, rank: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Of segments with count windows each, owned by documents of a rank and starting there: which
     windows are the first of their run, as (segment, window number)."""
-    pad = window + SYMBOLS
+    # a 0 after each segment: what follows a window decides nothing, as windows with the same bytes stand
+    # together in any order that goes by their bytes first; room for words at the end
     length = np.array([len(p) for p in parts])
-    begin = np.concatenate([[0], np.cumsum(length + pad)])
-    text = np.zeros(begin[-1], np.int16)
-    flat = np.frombuffer(b"".join(parts), np.uint8)
-    spot = np.arange(len(flat)) + np.repeat(np.arange(len(parts)) * pad, length)
-    text[spot] = flat.astype(np.int16) + 1
-    words = np.zeros(len(text), np.int64)
-    for j in range(SYMBOLS):
-        words[: len(text) - j] |= text[j:].astype(np.int64) << (9 * (SYMBOLS - 1 - j))
+    begin = np.concatenate([[0], np.cumsum(length + 1)])
+    text = np.zeros(begin[-1] + window + 2 * SYMBOLS, np.int16)
+    flat = np.frombuffer(b"\0".join(parts), np.uint8)
+    text[: len(flat)] = flat
+    text[: len(flat)] += 1
+    text[begin[1:] - 1] = 0
+    # SYMBOLS of them in a word, by words of two and of four
+    words = text.astype(np.int64)
+    two = words << 9
+    two[:-1] |= words[1:]
+    four = two << 18
+    four[:-2] |= two[2:]
+    three = two << 9
+    three[:-2] |= words[2:]
+    words = four << 27
+    words[:-4] |= three[4:]
     segment = np.repeat(np.arange(len(parts)), count)
     number = np.arange(len(segment)) - np.repeat(np.cumsum(count) - count, count)
     place = begin[segment] + number
@@ -247,50 +259,48 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     segment and anchor."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"), text_key(F.col("text")).alias("t"))
-    found = lambda: anchors(docs.where(F.octet_length("text") >= window), window, gram)
-    often = found().select("h").groupBy("h").agg(F.count("*").alias("places")).where("places > 1").select("h")
+    found = lambda hashes: anchors(docs.where(F.octet_length("text") >= window), window, gram, hashes)
+    often = found(True).groupBy("h").agg(F.count("*").alias("places")).where("places > 1").select("h")
     often = staged(often, "frequent-anchors", tidy=True)
-    places = staged(found().join(often, "h"), "places", tidy=True)
+    places = staged(found(False).join(often, "h"), "places", tidy=True)
+    drop(often)
 
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "start")
     distinct = places.groupBy("h", "g").agg(F.min(place).alias("p"), F.first("windows").alias("windows"))
     distinct = staged(distinct.select("h", "g", "p.doc_id", "p.t", "p.start", "windows"), "segments", tidy=True)
-    crowded = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > cut).select("h", F.lit(True).alias("crowded"))
+    crowded = distinct.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > cut).select("h")
     total = distinct.agg(F.sum(F.col("windows") + window)).first()[0] or 0
     blocks = max(1, -(-total // block))
 
-    asked = distinct.join(crowded, "h", "left").groupBy(*_PLACE).agg(F.collect_list(F.struct("h", "start", "windows", F.coalesce("crowded", F.lit(False)).alias("crowded"))).alias("asked"))
-    with_text = _same_document(docs, asked, "inner")
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def take(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = shingles.text_buffer(b.column("text"))
-            for i, asks in enumerate(b.column("asked")):
-                rows = asks.values.flatten()
-                h, start, count, busy = (x.to_numpy(zero_copy_only=False) for x in rows)
-                own = data[offsets[i] : offsets[i + 1]]
-                part, seg, at, n = [], [], [], []
-                for hh, s, w, c in zip(h.tolist(), start.tolist(), count.tolist(), busy.tolist(), strict=True):
-                    if c:  # one by one: windows with equal bytes meet
-                        for r in range(w):
-                            one = own[s + r : s + r + window].tobytes()
-                            part.append(hash_of(one) % blocks)
-                            seg.append(one)
-                            at.append(s + r)
-                            n.append(1)
-                    else:
-                        part.append(hh % blocks)
-                        seg.append(own[s : s + w - 1 + window].tobytes())
-                        at.append(s)
-                        n.append(w)
-                doc = pa.array(np.full(len(part), i))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), b.column("doc_id").take(doc), b.column("t").take(doc), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(seg, pa.binary())], ["block", "doc_id", "t", "start", "windows", "bytes"])
-
-    taken = with_text.mapInArrow(take, "block long, doc_id long, t long, start long, windows int, bytes binary")
-    taken = taken.withColumn("alone", F.col("windows") == 1)
-    # equal single windows, of which a cut anchor may bring very many, are merged before they meet
-    single = taken.where("alone").groupBy("block", "bytes").agg(F.min(place).alias("p")).select("block", "p.doc_id", "p.t", "p.start", F.lit(1).alias("windows"), "bytes")
-    taken = taken.where("not alone").drop("alone").unionByName(single)
+            asks = b.column("asked")
+            h, start, count = (x.to_numpy(zero_copy_only=False) for x in asks.flatten().flatten())
+            times = count if single else np.ones(len(h), np.int64)
+            doc = np.repeat(np.repeat(np.arange(b.num_rows), asks.value_lengths().to_numpy()), times)
+            start = np.repeat(start, times) + np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+            count, block_of = np.ones(len(doc), np.int32) if single else count, np.repeat(h % blocks, times)
+            size = count.astype(np.int64) + window - 1
+            for i, j in shingles.chunks(np.concatenate([[0], np.cumsum(size)])):
+                edge = np.concatenate([[0], np.cumsum(size[i:j])])
+                flat = data[np.arange(edge[-1]) + np.repeat(offsets[doc[i:j]] + start[i:j] - edge[:-1], size[i:j])]
+                for k in range(j - i) if single else ():  # windows with equal bytes meet
+                    block_of[i + k] = hash_of(flat[edge[k] : edge[k + 1]].tobytes()) % blocks
+                of = pa.array(doc[i:j])
+                own = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(block_of[i:j]), b.column("doc_id").take(of), b.column("t").take(of), pa.array(start[i:j]), pa.array(count[i:j], pa.int32()), own], ["block", "doc_id", "t", "start", "windows", "bytes"])
+
+    def bytes_of(segments: DataFrame, single: bool) -> DataFrame:
+        asked = segments.groupBy(*_PLACE).agg(F.collect_list(F.struct("h", "start", "windows")).alias("asked"))
+        with_text = _same_document(docs, asked, "inner")
+        return with_text.mapInArrow(lambda batches: take(batches, single), "block long, doc_id long, t long, start long, windows int, bytes binary")
+
+    if crowded.isEmpty():
+        taken = bytes_of(distinct, False)
+    else:  # their windows one by one; equal ones, of which there may be very many, are merged before they meet
+        single = bytes_of(distinct.join(crowded, "h", "left_semi"), True).groupBy("block", "bytes").agg(F.min(place).alias("p"))
+        taken = bytes_of(distinct.join(crowded, "h", "left_anti"), False).unionByName(single.select("block", "p.doc_id", "p.t", "p.start", F.lit(1).alias("windows"), "bytes"))
 
     def keep(t: pa.Table) -> pa.Table:
         start = t["start"].to_numpy()
@@ -309,29 +319,38 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
         return pa.table({"doc_id": t["doc_id"].take(rows), "t": t["t"].take(rows), "start": start[segment[first]] + window_number[first], "windows": pa.array(-count, pa.int32())})
 
     kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t long, start long, windows int"), "first-windows", tidy=True)
+    drop(distinct)
     # a set: rows alike bring each of their marks once a row, or merged, and have to count once
     marks = places.select(*_PLACE, "start", "windows").unionByName(kept).groupBy(*_PLACE).agg(F.collect_set(F.struct("start", "windows")).alias("marks"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = shingles.text_buffer(b.column("text"))
-            for i in range(b.num_rows):
-                own, spans = data[offsets[i] : offsets[i + 1]], np.zeros((0, 2), np.int64)
-                mine = b.column("marks")[i]
-                if mine.is_valid:
-                    start, count = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in mine.values.flatten())
-                    gone, spans = removed(len(own), start, count, window)
-                    own = own[~gone]
-                span = pa.StructArray.from_arrays([pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64())], ["start", "end"])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(i, 1), b.column("t").slice(i, 1), pa.array([offsets[i + 1] - offsets[i]], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(spans)], pa.int32()), span), pa.array([own.tobytes()], pa.binary())],
-                    ["doc_id", "t", "n_bytes", "spans", "kept"],
-                )
+            marked = b.column("marks")
+            start, count = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in marked.flatten().flatten())
+            ends = np.concatenate([[0], np.cumsum(marked.value_lengths().fill_null(0).to_numpy())])
+            for i, j in shingles.chunks(offsets):
+                edge = offsets[i : j + 1] - offsets[i]
+                stays, each = np.ones(edge[-1], bool), [np.zeros((0, 2), np.int64)] * (j - i)
+                for k in np.flatnonzero(np.diff(ends[i : j + 1])):
+                    own, of = slice(edge[k], edge[k + 1]), slice(ends[i + k], ends[i + k + 1])
+                    gone, each[k] = removed(edge[k + 1] - edge[k], start[of], count[of], window)
+                    stays[own] = ~gone
+                every, size = np.concatenate(each), np.diff(edge)
+                left = size - [int((x[:, 1] - x[:, 0]).sum()) for x in each]
+                span = pa.ListArray.from_arrays(_edges(np.array([len(x) for x in each])), pa.StructArray.from_arrays([pa.array(every[:, 0]), pa.array(every[:, 1])], ["start", "end"]))
+                kept = pa.Array.from_buffers(pa.binary(), j - i, [None, _edges(left).buffers()[1], pa.py_buffer(data[offsets[i] : offsets[j]][stays])])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(size), span, kept], ["doc_id", "t", "n_bytes", "spans", "kept"])
 
     joined = _same_document(docs, marks, "left")
     return joined.select(*_PLACE, "text", "marks").mapInArrow(cut_out, "doc_id long, t long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
+def _edges(lengths: np.ndarray) -> pa.Array:
+    """Offsets of an Arrow list or binary column."""
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+
+
 def hash_of(window: bytes) -> int:
     """A window's hash, the same on every machine."""
     import xxhash

@@ -45,6 +45,14 @@ def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    spark, files = df.sparkSession, df.inputFiles()
+    for folder in {f.rpartition("/")[0] for f in files}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt to all cores if it comes in no more parts than there are cores. That is a small table,
     often of one file with one row group, which one task would read: worth a shuffle before work on

@@ -2,6 +2,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeline.llm import ann, components, licenses, mixing, neardup, pieces, quality, queries, shingles, suffixes, tokencounts, topk, urls
-from lodeline.llm.shared import table
+from lodeline.llm.shared import stage_path, table
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -886,3 +887,12 @@ def test_parity_bits_bound_the_symmetric_difference(size):
         assert i == (size > neardup.WHOLE) + (size > 2 * neardup.WHOLE + 1) + (size > 4 * neardup.WHOLE + 3)
         assert seen <= apart if shift == 0 else seen <= apart / 2**shift + 6 * (apart / 2**shift) ** 0.5 + 6
         assert (seen - apart) % 2 == 0 or shift
+
+
+def test_repeats_leave_only_the_tables_that_are_read_again(spark):
+    before = set(Path(stage_path(spark, "x").removeprefix("file:")).parent.glob("*"))
+    line = "the same passage of some length stands in each of these documents, and so it goes but for one of them. " * 2
+    found = suffixes.repeats(spark.createDataFrame([(i, f"{i} " + line) for i in range(4)], "doc_id long, text string"))
+    left = {p.name.rpartition("-")[0] for p in set(Path(stage_path(spark, "x").removeprefix("file:")).parent.glob("*")) - before}
+    assert left == {"places", "first-windows"}
+    assert [len(r["spans"]) for r in found.orderBy("doc_id").collect()] == [1, 1, 1, 1]
