@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as tx
-from lodeline.functions.models import Embed, embed_column, hashing_embedder
-from lodeline.operators import distance
+from lodeline.functions.models import Embed, hashing_embedder, vectors
 
 GROUNDED, PARTIAL = 0.68, 0.50
 #: Places of the similarities that sources are ranked by.
 PLACES = 12
+#: Sentences of a document that meet an answer at a time, and rows of them that a model gets at once.
+PART, ROWS = 32, 256
+
+
+def similarities(a: Sequence[Sequence[float]], d: Sequence[Sequence[float]]) -> np.ndarray:
+    """Clamped cosine similarities of vectors a (down) to d (across): 0 for unlike or zero ones, not a
+    number for empty ones."""
+    sizes = {len(x) for x in a} | {len(x) for x in d}
+    if len(sizes) > 1 or 0 in sizes:
+        one = lambda x, y: similarities([x], [y])[0, 0] if len(x) == len(y) else 0.0
+        return np.array([[one(x, y) if len(x) and len(y) else np.nan for y in d] for x in a]).reshape(len(a), len(d))
+    a, d = (np.asarray(x, float).reshape(len(x), -1 if len(x) else 0) for x in (a, d))
+    if not len(a) or not len(d):
+        return np.zeros((len(a), len(d)))
+    scale = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((d * d).sum(1))[None, :]
+    return np.where(scale == 0, 0.0, np.clip(a @ d.T / np.where(scale == 0, 1.0, scale), -1.0, 1.0))
 
 
 def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedder, grounded: float = GROUNDED, partial: float = PARTIAL) -> DataFrame:
@@ -21,21 +40,47 @@ def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedd
     The source is the most similar context sentence, of those equal to PLACES places the first by
     place and sentence; citations count the distinct documents by their first place, and are null for
     ungrounded sentences. Answers without context documents give nothing."""
-    asked = tx.claims(answers.select("aid", F.col("answer").alias("text")))
-    asked = asked.select("aid", F.posexplode("sentences").alias("sentence_no", "sentence"))
-    asked = asked.withColumn("av", embed_column(F.col("sentence"), embed))
+    asked = tx.claims(answers.select("aid", F.col("answer").alias("text")), out="asked").select("aid", "asked")
     cited = contexts.groupBy("aid", "doc_id").agg(F.min("place").alias("first"))
     cited = cited.withColumn("citation", F.row_number().over(Window.partitionBy("aid").orderBy("first")).cast("long")).drop("first")
-    pool = tx.claims(contexts.select("aid", "place", "doc_id", "title", "text"))
-    pool = pool.select("aid", "place", "doc_id", "title", F.posexplode("sentences").alias("no", "source"))
-    pool = pool.withColumn("dv", embed_column(F.col("source"), embed)).where(F.size("dv") > 0)
-    pool = pool.join(cited, ["aid", "doc_id"])
-    pairs = asked.join(cited.select("aid").distinct(), "aid", "left_semi").join(pool, "aid", "left")
-    sim = F.when(F.col("dv").isNotNull() & (F.size("av") > 0), distance.clamped_similarity(F.col("av"), F.col("dv")))
-    source = F.when(sim.isNotNull(), F.struct("doc_id", "title", "source", "citation", sim.alias("sim")))
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "citation"))
+    asked = asked.join(cited.groupBy("aid").agg(F.map_from_entries(F.collect_list(known)).alias("cites")), "aid")
+    pool = tx.claims(contexts.select("aid", "place", "doc_id", "title", "text"), out="told").drop("text")
+    both = pool.join(asked, "aid").withColumn("citation", F.try_element_at("cites", "doc_id"))  # texts are dealt once
+    both = both.withColumn("told", F.when(F.col("citation").isNull(), F.array().cast("array<string>")).otherwise(F.col("told")))
+    # long documents in parts; one without sentences has one empty part
+    parts = F.sequence(F.lit(0), F.greatest(F.size("told") - 1, F.lit(0)), F.lit(PART))
+    both = both.withColumn("from", F.explode(parts)).withColumn("told", F.slice("told", F.col("from") + 1, PART))
+    kept = ["aid", "place", "doc_id", "title", "citation", "from"]
+    types = {f.name: f.dataType.simpleString() for f in both.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in kept) + ", sentence_no int, sentence string, no int, source string, sim double, ranked double"
+
+    def nearest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, ROWS):
+                part = b.slice(s, ROWS)
+                a_text, d_text = (part.column(c).flatten() for c in ("asked", "told"))
+                a, d = (vectors(embed, x.to_pylist()) for x in (a_text, d_text))
+                a_end, d_end = (np.concatenate([[0], np.cumsum(part.column(c).value_lengths().to_numpy())]) for c in ("asked", "told"))
+                at, sims = [], []
+                for r in range(part.num_rows):
+                    sim = similarities(a[a_end[r] : a_end[r + 1]], d[d_end[r] : d_end[r + 1]])
+                    ranked = np.round(np.where(np.isnan(sim), -2.0, sim), PLACES)
+                    best = ranked.argmax(1) if sim.shape[1] else np.full(len(sim), -1)  # the first of equals
+                    sims.append(np.take_along_axis(sim, best[:, None], 1)[:, 0] if sim.shape[1] else np.full(len(sim), np.nan))
+                    at.append(best)
+                row, no, sim = np.repeat(np.arange(part.num_rows), np.diff(a_end)), np.concatenate(at), np.concatenate(sims)
+                none = np.isnan(sim)
+                spot = pa.array(d_end[row] + no, mask=none)
+                columns = [part.column(c).take(pa.array(row)) for c in kept]
+                columns += [pa.array(np.arange(len(row)) - a_end[row], pa.int32()), a_text, pa.array(no, pa.int32(), mask=none), d_text.take(spot), pa.array(sim, mask=none), pa.array(np.round(sim, PLACES), mask=none)]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "sentence_no", "sentence", "no", "source", "sim", "ranked"])
+
+    found = both.select(*kept, "asked", "told").mapInArrow(nearest_of, schema)
+    source = F.when(F.col("sim").isNotNull(), F.struct("doc_id", "title", "source", "citation", "sim"))
     # similarities that are equal differ in the last places by their norms' roots; places decide then
-    nearest = F.when(sim.isNotNull(), F.struct(F.round(sim, PLACES).alias("s"), (-F.col("place")).alias("p"), (-F.col("no")).alias("n")))
-    top = pairs.groupBy("aid", "sentence_no", "sentence").agg(F.max_by(source, nearest).alias("top"))
+    nearest = F.when(F.col("sim").isNotNull(), F.struct("ranked", (-F.col("place")).alias("p"), (-F.col("from") - F.col("no")).alias("n")))
+    top = found.groupBy("aid", "sentence_no", "sentence").agg(F.max_by(source, nearest).alias("top"))
     confidence = F.round(F.greatest(F.coalesce("top.sim", F.lit(0.0)), F.lit(0.0)), 4)
     rows = top.withColumn("confidence", confidence)
     rows = rows.withColumn("status", F.when(F.col("confidence") >= grounded, "grounded").when(F.col("confidence") >= partial, "partial").otherwise("ungrounded"))

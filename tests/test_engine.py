@@ -226,6 +226,34 @@ def test_grounding(spark):
     assert grounding.cited(grounding.match(answers, contexts)).count() == 0
 
 
+def test_scores_without_rows_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(rng.choice([f"w{i}" for i in range(30)], n))
+    docs = spark.createDataFrame([(i, text(1 + i % 20)) for i in range(200)] + [(200, ""), (201, "the")], "id long, content string").repartition(3)
+    asked = spark.createDataFrame([(q, text(6)) for q in range(9)] + [(9, "the"), (10, "unheard")], "qid long, text string")
+    own = lambda found: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in found.collect())
+    got = lexical.score(asked, docs, 4)
+    assert "Join" not in got._jdf.queryExecution().toString()
+    tokens = asked.select("qid", F.explode(lexical.tokens(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("times"))
+    want = own(lexical._ranked(lexical._joined(tokens, docs), 4))
+    assert own(got) == want and len(want) == 36
+    null = spark.createDataFrame([(0, "w1 w2"), (1, None)], "id long, content string")  # counts as a document
+    assert own(lexical.score(spark.createDataFrame([(0, "w1")], "qid long, text string"), null)) == [(0, 1, 0, round(math.log(2), 9))]
+    monkeypatch.setattr(lexical, "MOST_SENT", 10)
+    assert own(lexical.score(asked, docs, 4)) == want
+
+
+def test_sentences_meet_without_rows_of_pairs(spark):
+    answers = spark.createDataFrame([(1, "Zebras eat green grass here.")], "aid long, answer string")
+    long = " ".join(f"Sentence number {i} tells nothing." for i in range(70)) + " Zebras eat green grass. Zebras eat green grass."
+    contexts = spark.createDataFrame([(1, 1, 5, "five", long), (1, 2, 6, "six", ""), (1, 3, None, "none", "Zebras eat green grass here.")], "aid long, place long, doc_id long, title string, text string")
+    found = grounding.match(answers, contexts)
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    assert [(r["source_doc_id"], r["source_sentence"], r["confidence"]) for r in found.collect()] == [(5, "Zebras eat green grass.", 0.8944)]
+    odd = grounding.similarities([[1.0, 0.0], []], [[2.0, 0.0], [0.0, 0.0], [1.0], []])
+    assert odd[0, :3].tolist() == [1.0, 0.0, 0.0] and np.isnan(odd[0, 3]) and np.isnan(odd[1]).all()
+
+
 def test_grounding_takes_the_first_of_sources_alike_but_for_rounding(spark):
     answers = spark.createDataFrame([(1, "zebra")], "aid long, answer string")
     rows = [(1, 1, 5, "five", "alpha zebra"), (1, 2, 6, "six", "alpha zebra alpha zebra alpha zebra")]  # the second seems nearer by 1e-16
