@@ -807,8 +807,10 @@ def hnsw_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = graph_index(spark, sf_dir)
     t = graph.trace(index, asked, 5, 50).join(index.where("entry").select("shard", "height"), "shard")
     t = t.join(rows.select(F.col("id").alias("node"), "emb"), "node").join(asked.select("qid", F.col("emb").alias("v")), "qid")
+    # vectors go before the events are sorted
+    t = t.withColumn("wrong", F.abs(F.round(distance.cosine(F.col("emb"), F.col("v")), 5) - F.col("dist")) > 2e-5).drop("emb", "v")
     order = Window.partitionBy("qid", "shard").orderBy("step")
-    t = t.withColumns({"before": F.lag("layer").over(order), "last": F.lag("step").over(order), "wrong": F.abs(F.round(distance.cosine(F.col("emb"), F.col("v")), 5) - F.col("dist")) > 2e-5})
+    t = t.withColumns({"before": F.lag("layer").over(order), "last": F.lag("step").over(order)})
     own = t.groupBy("qid", "shard").agg(
         F.count_if(F.col("type") == "entry").alias("entries"), F.count_if(F.col("type") == "result").alias("results"), F.count_if(F.col("step") != F.coalesce(F.col("last") + 1, F.lit(0))).alias("gaps"),
         F.count_if("wrong").alias("wrong_distances"), F.count_if(F.col("layer") > F.col("before")).alias("upward"), F.min_by(F.col("layer") == F.col("height"), "step").alias("begins_at_top"),

@@ -511,6 +511,17 @@ def test_model_server(monkeypatch):
     assert not available()
 
 
+def test_traces_work_out_distances_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    g = graph.Graph(list(range(120)), rng.normal(size=(120, 8)))
+    asked = rng.normal(size=(5, 8))
+    want = [g.trace(v, 5, 20) for v in asked]
+    monkeypatch.setattr(graph, "VECTORS", 2)
+    calls, table = [], distance.table
+    monkeypatch.setattr(distance, "table", lambda *a: calls.append(1) or table(*a))
+    assert list(g.traces(asked, 5, 20)) == want and len(calls) == 3 and g.known is None
+
+
 def test_insert_delete_restore(spark):
     e = Engine(spark)
     assert e.insert("new", "cs", [0.1] * 16) == 21
