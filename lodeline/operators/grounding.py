@@ -33,6 +33,11 @@ def similarities(a: Sequence[Sequence[float]], d: Sequence[Sequence[float]]) ->
     return np.where(scale == 0, 0.0, np.clip(a @ d.T / np.where(scale == 0, 1.0, scale), -1.0, 1.0))
 
 
+def rounded(sims: np.ndarray) -> np.ndarray:
+    """To PLACES places, halves away from zero as SQL rounds them (NumPy takes the even neighbour)."""
+    return np.copysign(np.floor(np.abs(sims) * 10.0**PLACES + 0.5) / 10.0**PLACES, sims)
+
+
 def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedder, grounded: float = GROUNDED, partial: float = PARTIAL) -> DataFrame:
     """answers (aid, answer), contexts (aid, place, doc_id, title, text) -> aid, sentence_no,
     sentence, citation_id, source_doc_id, source_title, source_sentence, confidence, status.
@@ -65,7 +70,7 @@ def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedd
                 at, sims = [], []
                 for r in range(part.num_rows):
                     sim = similarities(a[a_end[r] : a_end[r + 1]], d[d_end[r] : d_end[r + 1]])
-                    ranked = np.round(np.where(np.isnan(sim), -2.0, sim), PLACES)
+                    ranked = rounded(np.where(np.isnan(sim), -2.0, sim))
                     best = ranked.argmax(1) if sim.shape[1] else np.full(len(sim), -1)  # the first of equals
                     sims.append(np.take_along_axis(sim, best[:, None], 1)[:, 0] if sim.shape[1] else np.full(len(sim), np.nan))
                     at.append(best)
@@ -73,7 +78,7 @@ def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedd
                 none = np.isnan(sim)
                 spot = pa.array(d_end[row] + no, mask=none)
                 columns = [part.column(c).take(pa.array(row)) for c in kept]
-                columns += [pa.array(np.arange(len(row)) - a_end[row], pa.int32()), a_text, pa.array(no, pa.int32(), mask=none), d_text.take(spot), pa.array(sim, mask=none), pa.array(np.round(sim, PLACES), mask=none)]
+                columns += [pa.array(np.arange(len(row)) - a_end[row], pa.int32()), a_text, pa.array(no, pa.int32(), mask=none), d_text.take(spot), pa.array(sim, mask=none), pa.array(rounded(sim), mask=none)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "sentence_no", "sentence", "no", "source", "sim", "ranked"])
 
     found = both.select(*kept, "asked", "told").mapInArrow(nearest_of, schema)

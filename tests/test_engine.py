@@ -264,6 +264,20 @@ def test_grounding_takes_the_first_of_sources_alike_but_for_rounding(spark):
     assert [r["doc_id"] for r in grounding.cited(m).collect()] == [5]
 
 
+def test_grounding_cited_rounds_halves_as_its_sql(spark, tmp_path):
+    answer = " ".join(["zebra"] * 22 + ["apple"] * 10 + ["pear"] * 3)  # 22 of the root of 593: a half in the 13th place
+    rows = [(1, "zebra"), (2, " ".join(["zebra"] * 7) + ". " + " ".join(["Stone river"] * 40) + "."), *((i, "river") for i in range(3, 9))]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(3, 1, "assistant", answer)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    for t in ("benchmark", "conversations"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(f"select aid, citation_id, doc_id, title, confidence, sentence_no from ({registry.ORACLE_SQL['grounding_cited']})").fetchall()
+    assert [(r[1], r[2]) for r in want] == [(2, 2)]
+    got = registry.QUERIES["grounding_cited"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.select("aid", "citation_id", "doc_id", "title", "confidence", "sentence_no").collect()] == want
+
+
 def test_grounding_in_documents_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(11)
     pool = [f"word{i}" for i in range(40)]
