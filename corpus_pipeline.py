@@ -7,9 +7,8 @@ than the tasks that it ran.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,20 +66,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Earlier is a smaller doc_id, null being the largest, or the same document; rows alike in doc_id
     and text are one document and are cut alike. Null texts stay null, empty and short ones as they
     are; long ones are searched whole. An empty table stays empty."""
-    found = suffixes.repeats(docs, window=suffixes.WINDOW).where(F.size("spans") > 0)
-    changed = found.mapInArrow(_decoded, "doc_id long, t long, left string").dropDuplicates(["doc_id", "t"])
+    changed = suffixes.repeats(docs, window=suffixes.WINDOW, decoded=True).dropDuplicates(["doc_id", "t"])
     rows = _keyed(docs).withColumn("t", suffixes.text_key(F.col("row.text")))
     rows = _matching(rows, changed, "left")
     new = {"text": F.coalesce("left", "row.text"), "n_chars": F.when(F.col("left").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast("long"))}
     return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        left = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(left, pa.string())], ["doc_id", "t", "left"])
-
-
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: a document is there as often as the mix takes it,
     so not at all, once or twice.

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodeline.llm import shingles
 from lodeline.llm.components import components
-from lodeline.llm.shared import staged
+from lodeline.llm.shared import lean, staged
 
 #: Values that a sketch retains.
 K = 64
@@ -94,7 +94,7 @@ def sketched(docs: DataFrame, width: int, k: int = K) -> DataFrame:
                     ["doc_id", "t", "n", "d1", "d2", "sketch", "level", "bits"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("t")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("t")).mapInArrow(lambda batches: lean(run(batches), "shingles"), schema)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -106,7 +106,7 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 d = shingles.digests(values, starts)
                 yield pa.RecordBatch.from_arrays([pa.array(d[0]), pa.array(d[1]), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values))], ["d1", "d2", "n", "items"])
 
-    return docs.select("text").mapInArrow(run, "d1 long, d2 long, n long, items array<long>")
+    return docs.select("text").mapInArrow(lambda batches: lean(run(batches), "shingles"), "d1 long, d2 long, n long, items array<long>")
 
 
 def _surely(percent: int, ratio: float, k: int) -> int:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lodeline.llm.shared import kept, lean
+
 #: A public vocabulary with byte pieces.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -177,13 +179,16 @@ def load(path: str = MODEL) -> Pieces:
     return Pieces([(m.id_to_piece(i), i, s) for i, s in zip(plain, scores, strict=True)], byte_ids, merging)
 
 
+kept["pieces"] = load.cache_clear
+
+
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """docs with a column ids of piece ids; a column of that name is replaced. Null and empty texts
     have no ids; whole texts of any length are encoded. Other columns, repeated rows and nulls stay
     as they are; an empty table stays empty."""
     names = [c for c in docs.columns if c != ids]
-    kept = docs.select(*[docs[f"`{c}`"] for c in names])
-    fields = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    rows = docs.select(*[docs[f"`{c}`"] for c in names])
+    fields = T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
     place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,15 +203,15 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", ids: str = "
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*names, ids])
 
-    return kept.mapInArrow(run, fields)
+    return rows.mapInArrow(lambda batches: lean(run(batches), "pieces"), fields)
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """rows with a column text of what the ids spell; null ids give null. Ids that the vocabulary
     does not have are an error."""
     names = [c for c in rows.columns if c != text]
-    kept = rows.select(*[rows[f"`{c}`"] for c in names])
-    fields = T.StructType([*kept.schema.fields, T.StructField(text, T.StringType())])
+    rows = rows.select(*[rows[f"`{c}`"] for c in names])
+    fields = T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])
     place = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,4 +222,4 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "token_ids", text: st
                 spelled = [p.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in part.column(place)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spelled, pa.string())], [*names, text])
 
-    return kept.mapInArrow(run, fields)
+    return rows.mapInArrow(lambda batches: lean(run(batches), "pieces"), fields)

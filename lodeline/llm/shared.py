@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +45,31 @@ def free(spark: SparkSession) -> None:
     _trim(spark)
 
 
+#: What a Python worker keeps from task to task: its owner, and how it goes.
+kept: dict[str, Callable[[], object]] = {}
+
+
+def lean(batches: Iterator[pa.RecordBatch], owner: str) -> Iterator[pa.RecordBatch]:
+    """batches, of one task of an operator. Python workers live on and serve all operators in turn, so
+    what they keep for others goes before, and what the task freed goes back to the system after: an
+    executor's memory holds all of its idle workers too."""
+    for other, forget in kept.items():
+        if other != owner:
+            forget()
+    try:
+        yield from batches
+    finally:
+        del batches
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library hold unused goes back to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _trim(spark: SparkSession) -> None:
     """The JVM's own command for it; a JVM that has none is left alone."""
     jvm, array = spark._jvm, spark.sparkContext._gateway.new_array

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from lodeline.llm.shared import kept
+
 #: Bytes of text that are hashed at a time; a longer text goes alone.
 CHUNK = 1 << 20
 _U = np.uint64
@@ -24,6 +26,13 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def _forget() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+kept["shingles"] = _forget
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit words that leaves no bit alone."""
     with np.errstate(over="ignore"):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm import shingles
-from lodeline.llm.shared import drop, staged
+from lodeline.llm.shared import drop, give_back, lean, staged
 
 WINDOW, GRAM = 100, 24
 #: Bytes of text that are hashed at a time, few enough for a core's cache; longer documents are cut, with
@@ -107,7 +107,7 @@ def anchors(docs: DataFrame, window: int, gram: int, hashes: bool = False) -> Da
                         ["h", "g", "doc_id", "t", "start", "windows"],
                     )
 
-    return docs.mapInArrow(run, ANCHORS.split(",")[0] if hashes else ANCHORS)
+    return docs.mapInArrow(lambda batches: lean(run(batches), "shingles"), ANCHORS.split(",")[0] if hashes else ANCHORS)
 
 
 # ---- the suffix array of a block ------------------------------------------------------------
@@ -245,9 +245,10 @@ def _same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(renamed, F.col("doc_id").eqNullSafe(F.col("right_id")) & (F.col("t") == F.col("right_t")), how).drop("right_id", "right_t")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, cut: int = CUT) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, cut: int = CUT, decoded: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, t, n_bytes, spans (start and end of the maximal removed
-    runs, in bytes), kept (the remaining bytes): one row a document.
+    runs, in bytes), kept (the remaining bytes): one row a document. With decoded instead doc_id, t,
+    left (the remaining whole characters), of the documents that lose anything.
 
     Texts are UTF-8 bytes; matches never cross documents. Removed is each byte covered by a string
     of window bytes that also starts earlier: in a document of smaller doc_id, or earlier in the
@@ -294,7 +295,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
     def bytes_of(segments: DataFrame, single: bool) -> DataFrame:
         asked = segments.groupBy(*_PLACE).agg(F.collect_list(F.struct("h", "start", "windows")).alias("asked"))
         with_text = _same_document(docs, asked, "inner")
-        return with_text.mapInArrow(lambda batches: take(batches, single), "block long, doc_id long, t long, start long, windows int, bytes binary")
+        return with_text.mapInArrow(lambda batches: lean(take(batches, single), "shingles"), "block long, doc_id long, t long, start long, windows int, bytes binary")
 
     if crowded.isEmpty():
         taken = bytes_of(distinct, False)
@@ -316,6 +317,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(segment)))
         rows = pa.array(segment[first])
+        give_back()  # arrays many times as large as the block
         return pa.table({"doc_id": t["doc_id"].take(rows), "t": t["t"].take(rows), "start": start[segment[first]] + window_number[first], "windows": pa.array(-count, pa.int32())})
 
     kept = staged(taken.groupBy("block").applyInArrow(keep, "doc_id long, t long, start long, windows int"), "first-windows", tidy=True)
@@ -342,8 +344,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, block: int
                 kept = pa.Array.from_buffers(pa.binary(), j - i, [None, _edges(left).buffers()[1], pa.py_buffer(data[offsets[i] : offsets[j]][stays])])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("t").slice(i, j - i), pa.array(size), span, kept], ["doc_id", "t", "n_bytes", "spans", "kept"])
 
-    joined = _same_document(docs, marks, "left")
-    return joined.select(*_PLACE, "text", "marks").mapInArrow(cut_out, "doc_id long, t long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    def left_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut_out(batches):
+            b = b.take(pa.array(np.flatnonzero(b.column("spans").value_lengths().to_numpy())))
+            left = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(left, pa.string())], ["doc_id", "t", "left"])
+
+    # one pass: each step in Python has workers of its own
+    joined = _same_document(docs, marks, "left").select(*_PLACE, "text", "marks")
+    if decoded:
+        return joined.mapInArrow(lambda batches: lean(left_of(batches), "shingles"), "doc_id long, t long, left string")
+    return joined.mapInArrow(lambda batches: lean(cut_out(batches), "shingles"), "doc_id long, t long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def _edges(lengths: np.ndarray) -> pa.Array:

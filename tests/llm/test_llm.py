@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeline.llm import ann, components, licenses, mixing, neardup, pieces, quality, queries, shingles, suffixes, tokencounts, topk, urls
-from lodeline.llm.shared import stage_path, table
+from lodeline.llm.shared import lean, stage_path, table
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -896,3 +896,23 @@ def test_repeats_leave_only_the_tables_that_are_read_again(spark):
     left = {p.name.rpartition("-")[0] for p in set(Path(stage_path(spark, "x").removeprefix("file:")).parent.glob("*")) - before}
     assert left == {"places", "first-windows"}
     assert [len(r["spans"]) for r in found.orderBy("doc_id").collect()] == [1, 1, 1, 1]
+
+
+def test_a_worker_keeps_nothing_of_other_operators():
+    pieces.load()
+    assert list(lean(iter([1, 2]), "pieces")) == [1, 2] and pieces.load.cache_info().currsize == 1
+    shingles.powers(5)
+    assert list(lean(iter([3]), "shingles")) == [3] and pieces.load.cache_info().currsize == 0 and len(shingles.powers(0)[0]) > 1
+    assert list(lean(iter([]), "pieces")) == [] and len(shingles.powers(0)[0]) == 1
+
+
+def test_repeats_are_cut_in_one_pass_of_python(spark):
+    line = "die gleiche Stelle über einige Länge steht in jedem dieser Texte, und so geht es überall weiter. " * 2
+    rows = [(i, "é" * i + line, "de", "a", 0) for i in range(4)] + [(9, None, "de", "a", 0), (10, "kurz", "de", "a", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.cut_repeats(spark, docs, SF)
+    # each step in Python has idle workers of its own
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = {r["doc_id"]: r["kept"].decode("utf-8", "ignore") for r in suffixes.repeats(docs).collect()}
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert got == want | {9: None} and len(got[3]) < len(line)
