@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,13 @@ def rounded(sims: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(sims) * 10.0**PLACES + 0.5) / 10.0**PLACES, sims)
 
 
+def embedded(embed: Embed, texts: pa.Array) -> Sequence[Sequence[float]]:
+    """Vectors of texts, of which the model gets equal ones once."""
+    texts = texts.dictionary_encode()
+    found, of = vectors(embed, texts.dictionary.to_pylist()), texts.indices.to_numpy()
+    return found[of] if isinstance(found, np.ndarray) else [found[i] for i in of]
+
+
 def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedder, grounded: float = GROUNDED, partial: float = PARTIAL) -> DataFrame:
     """answers (aid, answer), contexts (aid, place, doc_id, title, text) -> aid, sentence_no,
     sentence, citation_id, source_doc_id, source_title, source_sentence, confidence, status.
@@ -62,10 +70,11 @@ def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedd
 
     def nearest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            b = b.take(pc.sort_indices(b, [("doc_id", "ascending"), ("from", "ascending")]))  # a document's sentences meet all its answers
             for s in range(0, b.num_rows, ROWS):
                 part = b.slice(s, ROWS)
                 a_text, d_text = (part.column(c).flatten() for c in ("asked", "told"))
-                a, d = (vectors(embed, x.to_pylist()) for x in (a_text, d_text))
+                a, d = (embedded(embed, x) for x in (a_text, d_text))
                 a_end, d_end = (np.concatenate([[0], np.cumsum(part.column(c).value_lengths().to_numpy())]) for c in ("asked", "told"))
                 at, sims = [], []
                 for r in range(part.num_rows):

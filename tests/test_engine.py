@@ -264,6 +264,22 @@ def test_grounding_takes_the_first_of_sources_alike_but_for_rounding(spark):
     assert [r["doc_id"] for r in grounding.cited(m).collect()] == [5]
 
 
+def test_grounding_embeds_a_document_once_for_many_answers(spark, tmp_path):
+    told = " ".join(f"Sentence w{i}0 tells of zebras." for i in range(20))
+    rows = [(a, p, d, "t", told if d == 5 else f"Other words {a}.") for a in range(40) for p, d in ((1, 5), (2, 100 + a))]
+    contexts = spark.createDataFrame(rows, "aid long, place long, doc_id long, title string, text string").coalesce(1)
+    answers = spark.createDataFrame([(a, "Sentence w70 tells of zebras.") for a in range(40)], "aid long, answer string")
+
+    def embed(texts):
+        with open(f"{tmp_path}/log", "a") as f:
+            f.write("".join(t + "\n" for t in texts))
+        return hashing_embedder(texts)
+
+    found = grounding.match(answers, contexts, embed).collect()
+    assert len(found) == 40 and {(r["source_doc_id"], r["source_sentence"], r["confidence"]) for r in found} == {(5, "Sentence w70 tells of zebras.", 1.0)}
+    assert (tmp_path / "log").read_text().count("Sentence w80 tells") <= 8  # tasks
+
+
 def test_grounding_cited_rounds_halves_as_its_sql(spark, tmp_path):
     answer = " ".join(["zebra"] * 22 + ["apple"] * 10 + ["pear"] * 3)  # 22 of the root of 593: a half in the 13th place
     rows = [(1, "zebra"), (2, " ".join(["zebra"] * 7) + ". " + " ".join(["Stone river"] * 40) + "."), *((i, "river") for i in range(3, 9))]
