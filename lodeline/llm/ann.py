@@ -1,9 +1,12 @@
-"""Approximate nearest neighbours: inverted file, product-quantised residuals, exact reranking.
+"""Nearest neighbours: inverted file, product-quantised residuals, exact reranking.
 
-Coarse centroids split the space into cells; a vector is kept with its cell and the product-
-quantised residual from the cell's centroid. A query probes its nearest cells: asymmetric distance
-tables (query residual against code words) rank a cell's rows, and the best of them are measured
-exactly on the original vectors. The model is fitted on a bounded sample, every row is indexed.
+Coarse centroids split the space into cells; a vector is kept with its cell, the product-quantised
+residual from the cell's centroid, and how far its code lies from it. A query searches its own cell
+first, and then every cell that may hold a nearer row than the k-th known: a sample's rows and its
+own cell give that distance, the cell's centroid and radius the bound. In a cell asymmetric distances
+(query residual against decoded residual), less the code's error, rule rows out, and all others are
+measured exactly on the original vectors. So no row is missed, wherever rows and queries lie: the
+model, fitted on a bounded sample, decides only how much is left out. Every row is indexed.
 
 A cell's rows and the queries that ask it are cut into blocks, so that a cell that holds a third of
 all rows is spread over many tasks. Vectors of different lengths have models of their own.
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeline.llm.shared import staged
-from lodeline.llm.vectors import asked_blocks, best, lists, matrix, smallest, takes_part
+from lodeline.llm.vectors import asked_blocks, best, matrix, takes_part
 
 #: Rows that centroids and code words are fitted on, at most.
 FIT_SAMPLE = 16_384
@@ -28,13 +31,15 @@ FIT_SAMPLE = 16_384
 WORDS, PART, ROUNDS = 256, 4, 8
 #: Cells: the root of the rows, divided by this, up to MOST_CELLS.
 CELL_DIVISOR, MOST_CELLS = 2, 4096
-#: The cells to probe are as many as find this share of the sample's true neighbours.
-TARGET_RECALL = 0.96
-#: Rows of a cell block that are measured exactly, for each query.
+#: Numbers of the sample's rows that queries are held against before they search, at most.
+FIRST = 1 << 20
+#: Rows of a cell block that a query measures exactly, before its limit is drawn closer.
 RERANK = 64
 QUERY_BLOCK, ROW_BLOCK = 1024, 2048
 #: Numbers of a table of distances, at most: larger ones are made in blocks of rows.
 TABLE = 1 << 22
+#: Rounding of a squared distance that comes of an inner product, as a share of the squares; and of a distance.
+SLACK, CLOSE = 1e-12, 1 + 1e-12
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,72 +85,112 @@ def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 0) -> np.nda
 
 @dataclass
 class Model:
-    """Of bounded size: cells x dimensions, and parts x words x dimensions of a part."""
+    """Of bounded size: cells x dimensions, parts x words x dimensions of a part, and rows of the sample.
+    Cells are places from the origin, so that vectors far off zero lose no digits."""
 
+    origin: np.ndarray
     cells: np.ndarray
     words: list[np.ndarray]
-    probes: int
-    fitted: bool = True
+    sample: np.ndarray
+    k: int
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, i : i + PART] for i in range(0, x.shape[1], PART)]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row its cell, code, distance from the cell's centroid, and distance from what its
+        code says."""
+        x = x - self.origin
         cell, _ = closest(x, self.cells)
         left = x - self.cells[cell]
-        codes = [closest(p, w)[0] for p, w in zip(self.parts(left), self.words, strict=True)]
-        return cell, np.stack(codes, 1).astype(np.uint8)
-
-    def tables(self, x: np.ndarray, cell: int) -> list[np.ndarray]:
-        """For each part the distance of each query's residual from each code word."""
-        return [_squares(p, w) for p, w in zip(self.parts(x - self.cells[cell]), self.words, strict=True)]
-
-
-def fit(sample: np.ndarray, n_rows: int, k: int, target: float = TARGET_RECALL) -> Model:
-    """The model of n_rows rows, of which sample is a part."""
-    cells = kmeans(sample, max(1, min(MOST_CELLS, len(sample), round(n_rows**0.5 / CELL_DIVISOR))))
-    home, _ = closest(sample, cells)
-    left = sample - cells[home]
+        code = np.stack([closest(p, w)[0] for p, w in zip(self.parts(left), self.words, strict=True)], 1).astype(np.uint8)
+        return cell, code, norms(left), norms(left - self.decode(code))
+
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        return np.concatenate([w[code[:, j]] for j, w in enumerate(self.words)], 1)
+
+    def limits(self, x: np.ndarray) -> np.ndarray:
+        """For each row of the table a distance within which k others lie: k + 1 rows of the sample do."""
+        out = np.full(len(x), np.inf)
+        for s in _blocks(x, self.sample) if len(self.sample) > self.k else ():
+            at = np.argpartition(_squares(x[s] - self.origin, self.sample - self.origin), self.k, 1)[:, : self.k + 1]
+            for i in range(self.k + 1):
+                out[s] = np.maximum(out[s] if i else 0.0, norms(x[s] - self.sample[at[:, i]]))
+        return out
+
+    def asked(self, x: np.ndarray, limit: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """Which cells, of that radius each (less than 0: empty), may hold rows within each query's limit."""
+        x = x - self.origin
+        far = _squares(x, self.cells) - SLACK * ((x * x).sum(1)[:, None] + (self.cells**2).sum(1)[None, :])
+        return (np.sqrt(np.maximum(far, 0)) <= (limit[:, None] + radius[None, :]) * CLOSE) & (radius >= 0)[None, :]
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
+
+
+def fit(sample: np.ndarray, n_rows: int, k: int) -> Model:
+    """The model of n_rows rows, of which sample is a part, for searches of k."""
+    origin = sample.mean(0)
+    moved = sample - origin
+    cells = kmeans(moved, max(1, min(MOST_CELLS, len(sample), round(n_rows**0.5 / CELL_DIVISOR))))
+    left = moved - cells[closest(moved, cells)[0]]
     words = [kmeans(left[:, i : i + PART], WORDS, 4, i + 1) for i in range(0, sample.shape[1], PART)]
-    # how many cells hold the neighbours: asked with a part of the sample against all of it
-    asks = sample[:: max(1, len(sample) // 256)]
-    ranks = []
-    for s in _blocks(asks, sample):
-        neighbours = np.argsort(_squares(asks[s], sample), 1, kind="stable")[:, 1 : k + 1]
-        order = np.argsort(np.argsort(_squares(asks[s], cells), 1, kind="stable"), 1)
-        ranks.append(np.take_along_axis(order, home[neighbours], 1).reshape(-1))
-    ranks = np.sort(np.concatenate(ranks))
-    return Model(cells, words, int(ranks[min(len(ranks) - 1, int(target * len(ranks)))]) + 1 if len(ranks) else len(cells))
-
-
-def search_block(model: Model, cell: int, q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int, rerank: int) -> tuple[list, list]:
-    """Of one cell's rows c (row, id, v, code) each query's nearest k: the rerank best by the
-    distance tables are measured exactly."""
-    tables = model.tables(q["v"], cell)
-    rough = np.zeros((len(q["v"]), len(c["v"])))
-    for j, t in enumerate(tables):
-        rough += t[:, c["code"][:, j]]
-    rough[q["row"][:, None] == c["row"][None, :]] = np.inf
-    places, scores = [], []
-    for i, r in enumerate(rough):
-        at = smallest(r, c["id"], rerank)
-        at = at[c["row"][at] != q["row"][i]]
-        exact = np.sqrt(((q["v"][i] - c["v"][at]) ** 2).sum(1))
-        top = smallest(exact, c["id"][at], k)
-        places.append(at[top])
-        scores.append(exact[top])
-    return places, scores
+    return Model(origin, cells, words, sample[: max(k + 1, FIRST // sample.shape[1])], k)
+
+
+def few(v: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places: of equal vectors the k + 1 of the smallest ids, as one of them may be the query itself."""
+    _, of = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.itemsize * v.shape[1]))).reshape(-1), return_inverse=True)
+    order = np.lexsort((ids, of))
+    return np.sort(order[np.arange(len(of)) - np.searchsorted(of[order], of[order]) <= k])
+
+
+def search_block(model: Model, cell: int, q: dict[str, np.ndarray], c: dict[str, np.ndarray], k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one cell's rows c (row, id, v, code, err) the k nearest of each query q (row, v, limit) within
+    its limit: places of queries and of rows, and distances."""
+    keep = few(c["v"], c["id"], k)
+    c = {name: x[keep] for name, x in c.items()}
+    centre = model.origin + model.cells[cell]
+    v, told = q["v"] - centre, model.decode(c["code"])
+    size = SLACK * (v * v).sum(1)
+    low = _squares(v, told) - (size[:, None] + SLACK * (told * told).sum(1)[None, :])
+    low = np.sqrt(np.maximum(low, 0, out=low), out=low)
+    low -= c["err"][None, :]
+    limit = q["limit"] * CLOSE
+    rows = low <= limit[:, None]
+    rows &= q["row"][:, None] != c["row"][None, :]
+    at = np.flatnonzero(rows.any(0))
+    if not len(at):
+        return at, at, np.zeros(0)
+    # all that is left at once; what may be nearest is measured on the vectors themselves
+    left = c["v"][at] - centre
+    own = SLACK * (left * left).sum(1)
+    near = _squares(v, left) - (size[:, None] + own[None, :])
+    rows = rows[:, at]
+    near[~rows] = np.inf
+    limit = limit * limit * CLOSE
+    many = np.flatnonzero((rows & (near <= limit[:, None])).sum(1) > max(k, rerank))
+    if len(many):
+        kth = np.partition(near[many], k - 1, 1)[:, k - 1] + 2 * (size[many] + own.max())
+        limit[many] = np.minimum(limit[many], kth)
+    i, j = np.nonzero(rows & (near <= limit[:, None]))
+    step = max(1, TABLE // 8 // v.shape[1])
+    score = np.concatenate([norms(q["v"][i[s : s + step]] - c["v"][at[j[s : s + step]]]) for s in range(0, len(i), step)] or [np.zeros(0)])
+    order = np.lexsort((c["id"][at[j]], score, i))
+    order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < k]
+    return i[order], keep[at[j[order]]], score[order]
 
 
 def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, fit_sample: int = FIT_SAMPLE, rerank: int = RERANK, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score: for each row where
-    is_query holds its k nearest found by Euclidean distance, ties to the smaller vec_id.
+    is_query holds its k nearest by Euclidean distance, ties to the smaller vec_id.
 
     Candidates are all rows of the query's length but its own, repeated ids and vectors included; a
-    repeated query is answered for each row. A query gets k rows if there are as many, else all:
-    cells are probed beyond the usual number until they hold enough. Rows without vec_id, and
-    vectors that are null, zero or hold null or non-finite components, take no part. An empty table,
-    or one without queries, gives an empty result. Other columns are not looked at."""
+    repeated query is answered for each row. A query gets k rows if there are as many, else all.
+    Rows without vec_id, and vectors that are null, zero or hold null or non-finite components, take
+    no part. An empty table, or one without queries, gives an empty result. Other columns are not
+    looked at."""
     schema = "query_row long, query_id long, vec_id long, score double"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("vec_id").isNotNull() & takes_part(F.col("v")) & F.exists("v", lambda x: x != 0))
@@ -154,45 +199,62 @@ def nearest(vectors: DataFrame, is_query: F.Column, k: int = 10, fit_sample: int
     for r in rows.select("v", "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(fit_sample).toArrow()["v"]:
         x = r.values.to_numpy()
         sample[len(x)].append(x)
-    # a length that the sample does not have is rare: one cell, of which all rows are measured
-    models = {n: fit(np.array(own), lengths[n], k) if own else Model(np.zeros((1, n)), [np.zeros((1, len(range(i, min(i + PART, n))))) for i in range(0, n, PART)], 1, False) for n, own in sample.items()}
+    # a length that the sample does not have is rare: one cell, and codes that rule nothing out
+    plain = lambda n: Model(np.zeros(n), np.zeros((1, n)), [np.zeros((1, len(range(i, min(i + PART, n))))) for i in range(0, n, PART)], np.zeros((0, n)), k)
+    models = {n: fit(np.array(own), lengths[n], k) if own else plain(n) for n, own in sample.items()}
+
+    def by_size(b: pa.RecordBatch, size: np.ndarray) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+        for n in np.unique(size).tolist():
+            part = b.filter(pa.array(size == n))
+            yield n, part, matrix(part.column("v"), np.float64)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n in np.unique(sizes := np.diff(b.column("v").offsets.to_numpy())).tolist():
-                part = b.filter(pa.array(sizes == n))
-                cell, code = models[n].encode(matrix(part.column("v"), np.float64))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(cell), n), pa.int32()), pa.array(cell, pa.int32()), pa.array([x.tobytes() for x in code], pa.binary())], ["vec_id", "v", "asks", "size", "cell", "code"])
+            for n, part, v in by_size(b, np.diff(b.column("v").offsets.to_numpy())):
+                cell, code, out, err = models[n].encode(v)
+                own = [pa.array(np.full(len(cell), n), pa.int32()), pa.array(cell, pa.int32()), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(out), pa.array(err)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], ["vec_id", "v", "asks", "size", "cell", "code", "out", "err"])
 
-    indexed = rows.mapInArrow(index, "vec_id long, v array<double>, asks boolean, size int, cell int, code binary")
+    indexed = rows.mapInArrow(index, "vec_id long, v array<double>, asks boolean, size int, cell int, code binary, out double, err double")
     indexed = staged(indexed.withColumn("row", F.monotonically_increasing_id()), "ivf")
-    sizes = {(r["size"], r["cell"]): r["count"] for r in indexed.groupBy("size", "cell").count().collect()}  # one row a length and cell
-    held = {n: np.array([sizes.get((n, c), 0) for c in range(len(m.cells))]) for n, m in models.items()}
+    sizes, radius = {}, {n: np.full(len(m.cells), -1.0) for n, m in models.items()}
+    for r in indexed.groupBy("size", "cell").agg(F.count("*").alias("n"), F.max("out").alias("out")).collect():  # one row a length and cell
+        sizes[r["size"], r["cell"]] = r["n"]
+        radius[r["size"]][r["cell"]] = r["out"]
+    asking = "row long, vec_id long, v array<double>, size int, cell int, limit double"
+    names = [x.split()[0] for x in asking.split(", ")]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for n, part, v in by_size(b, b.column("size").to_numpy()):
+                yield pa.RecordBatch.from_arrays([*part.select(names[:-1]).columns, pa.array(models[n].limits(v))], names)
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for n in np.unique(size := b.column("size").to_numpy()).tolist():
-                part, m = b.filter(pa.array(size == n)), models[n]
-                v = matrix(part.column("v"), np.float64)
-                for s in _blocks(v, m.cells):
-                    order = np.argsort(_squares(v[s], m.cells), 1, kind="stable")
-                    enough = (np.cumsum(held[n][order], 1) <= k).sum(1) + 1  # k others and the row itself
-                    i, at = np.nonzero(np.arange(order.shape[1])[None, :] < np.maximum(m.probes, enough)[:, None])
-                    some = part.select(["row", "vec_id", "v"]).take(pa.array(i + s.start))
-                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.full(len(i), n), pa.int32()), pa.array(order[i, at], pa.int32())], ["row", "vec_id", "v", "size", "cell"])
-
-    asking = indexed.where("asks").select("row", "vec_id", "v", "size").mapInArrow(probe, "row long, vec_id long, v array<double>, size int, cell int")
+            for n, part, v in by_size(b, b.column("size").to_numpy()):
+                limit, home = part.column("limit").to_numpy(), part.column("cell").to_numpy()
+                for s in _blocks(v, models[n].cells):
+                    asked = models[n].asked(v[s], limit[s], radius[n])
+                    asked[np.arange(len(asked)), home[s]] = False
+                    i, cell = np.nonzero(asked)
+                    some = part.take(pa.array(i + s.start))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()) if c == "cell" else some.column(c) for c in names], names)
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         side = lambda t: {"row": t["row"].to_numpy(), "id": t["vec_id"].to_numpy(), "v": matrix(t["v"], np.float64)}
         q, c = side(left), side(right)
+        q["limit"], c["err"] = left["limit"].to_numpy(), right["err"].to_numpy()
         c["code"] = np.frombuffer(b"".join(right["code"].to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        m = models[left["size"][0].as_py()]
-        at, score = search_block(m, left["cell"][0].as_py(), q, c, k, rerank if m.fitted else right.num_rows)
-        n = [len(a) for a in at]
-        return pa.table({"query_row": np.repeat(q["row"], n), "query_id": np.repeat(q["id"], n), "vec_id": c["id"][np.concatenate(at)], "score": np.concatenate(score)})
-
-    found = asked_blocks(staged(asking, "ivf-asks"), indexed.drop("asks"), sizes, query_block, row_block).applyInArrow(meet, schema)
-    return best(found, k, F.col("score"))
+        i, j, score = search_block(models[left["size"][0].as_py()], left["cell"][0].as_py(), q, c, k, rerank)
+        return pa.table({"query_row": q["row"][i], "query_id": q["id"][i], "vec_id": c["id"][j], "score": score})
+
+    search = lambda asks: asked_blocks(asks, indexed.drop("asks", "out"), sizes, query_block, row_block).applyInArrow(meet, schema)
+    asks = staged(indexed.where("asks").mapInArrow(first, asking), "ivf-asks")
+    home = staged(search(asks), "ivf-home")
+    # k for each block of a query's cell, at most
+    known = home.groupBy("query_row").agg(F.try_element_at(F.sort_array(F.collect_list("score")), F.lit(k)).alias("known"))
+    closer = asks.join(known.withColumnRenamed("query_row", "row"), "row", "left").withColumn("limit", F.least("limit", "known"))
+    found = search(staged(closer.select(names).mapInArrow(others, asking), "ivf-others"))
+    return best(home.unionByName(found), k, F.col("score"))

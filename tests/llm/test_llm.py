@@ -326,6 +326,25 @@ def test_ann_recall_and_scores(spark, sf):
     assert hit >= 0.92 * 10 * len(asks)
 
 
+def test_ann_misses_nothing_wherever_queries_lie(spark):
+    """Queries apart from the clusters that all other rows are of; clusters of many scales; copies."""
+    rng = np.random.default_rng(1)
+    n, places = 6000, rng.normal(size=(600, 32))
+    apart = places[rng.integers(0, 600, n)] + 0.01 * rng.normal(size=(n, 32))
+    apart[::100] = rng.normal(size=(n // 100, 32))
+    of = rng.integers(0, 8, n)
+    scales = 1e7 + places[of] + (10.0**-of)[:, None] * 0.1 * rng.normal(size=(n, 32))
+    scales[:500] = scales[0]
+    for x in (apart, scales):
+        e = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
+        got = ann.nearest(e, F.col("vec_id") % 100 == 0, row_block=700).toPandas().sort_values(["query_id", "rank"])
+        want = []
+        for i in range(0, n, 100):
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            want += [(i, int(j), d[j]) for j in [j for j in np.lexsort((np.arange(n), d))[:11] if j != i][:10]]
+        assert list(zip(got["query_id"], got["vec_id"], got["score"], strict=True)) == want
+
+
 def test_ann_of_several_lengths(spark):
     rng = np.random.default_rng(7)
     rows = [(i, rng.normal(size=(8, 5, 3)[i % 3]).tolist()) for i in range(300)] + [(900, [1.0] * 9), (901, [2.0] * 9)]
