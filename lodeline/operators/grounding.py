@@ -18,6 +18,8 @@ GROUNDED, PARTIAL = 0.68, 0.50
 PLACES = 12
 #: Sentences of a document that meet an answer at a time, and rows of them that a model gets at once.
 PART, ROWS = 32, 256
+#: Answers that a document's sentences are dealt to together.
+ANSWERS = 256
 
 
 def similarities(a: Sequence[Sequence[float]], d: Sequence[Sequence[float]]) -> np.ndarray:
@@ -46,9 +48,11 @@ def embedded(embed: Embed, texts: pa.Array) -> Sequence[Sequence[float]]:
     return found[of] if isinstance(found, np.ndarray) else [found[i] for i in of]
 
 
-def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedder, grounded: float = GROUNDED, partial: float = PARTIAL) -> DataFrame:
+def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedder, grounded: float = GROUNDED, partial: float = PARTIAL, sources: DataFrame | None = None) -> DataFrame:
     """answers (aid, answer), contexts (aid, place, doc_id, title, text) -> aid, sentence_no,
     sentence, citation_id, source_doc_id, source_title, source_sentence, confidence, status.
+    With sources (doc_id, title, text) contexts need aid, place and doc_id only: each document is then
+    cut into sentences once, and its answers come to it, up to ANSWERS at a place.
 
     The source is the most similar context sentence, of those equal to PLACES places the first by
     place and sentence; citations count the distinct documents by their first place, and are null for
@@ -58,8 +62,15 @@ def match(answers: DataFrame, contexts: DataFrame, embed: Embed = hashing_embedd
     cited = cited.withColumn("citation", F.row_number().over(Window.partitionBy("aid").orderBy("first")).cast("long")).drop("first")
     known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "citation"))
     asked = asked.join(cited.groupBy("aid").agg(F.map_from_entries(F.collect_list(known)).alias("cites")), "aid")
-    pool = tx.claims(contexts.select("aid", "place", "doc_id", "title", "text"), out="told").drop("text")
-    both = pool.join(asked, "aid").withColumn("citation", F.try_element_at("cites", "doc_id"))  # texts are dealt once
+    if sources is None:
+        both = tx.claims(contexts.select("aid", "place", "doc_id", "title", "text"), out="told").drop("text").join(asked, "aid")  # texts are dealt once
+    else:
+        many = contexts.groupBy("doc_id").agg(F.ceil(F.count("*") / ANSWERS).cast("int").alias("salts"))
+        told = tx.claims(sources.select("doc_id", "title", "text").join(many, "doc_id"), out="told").drop("text")
+        told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        asks = contexts.select("aid", "place", "doc_id").join(many, "doc_id").withColumn("salt", F.pmod(F.xxhash64("aid"), "salts").cast("int")).drop("salts")
+        both = asks.join(asked, "aid").join(told, ["doc_id", "salt"])
+    both = both.withColumn("citation", F.try_element_at("cites", "doc_id"))
     both = both.withColumn("told", F.when(F.col("citation").isNull(), F.array().cast("array<string>")).otherwise(F.col("told")))
     # long documents in parts; one without sentences has one empty part
     parts = F.sequence(F.lit(0), F.greatest(F.size("told") - 1, F.lit(0)), F.lit(PART))

@@ -612,8 +612,8 @@ def matches(spark: SparkSession, sf_dir: str, sources: DataFrame) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").where("role = 'assistant'")
     answers = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("aid"), F.col("text").alias("answer"))
     hits = lexical.score(answers.select(F.col("aid").alias("qid"), F.col("answer").alias("text")), sources.select("id", "content"), 2)
-    contexts = hits.join(sources, "id").select(F.col("qid").alias("aid"), F.col("rank").alias("place"), F.col("id").alias("doc_id"), "title", "text")
-    return grounding.match(answers, contexts)
+    contexts = staged(hits.select(F.col("qid").alias("aid"), F.col("rank").alias("place"), F.col("id").alias("doc_id")), "hits")
+    return grounding.match(answers, contexts, sources=sources.withColumnRenamed("id", "doc_id"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodeline import scratch
 from lodeline.functions import text as tx
 from lodeline.functions.models import hashing_embedder
 from lodeline.operators import distance, fusion, graph, grounding, kdtree, knn, lexical, manifold, quantize, semantic
@@ -280,6 +281,31 @@ def test_grounding_embeds_a_document_once_for_many_answers(spark, tmp_path):
     assert (tmp_path / "log").read_text().count("Sentence w80 tells") <= 8  # tasks
 
 
+def test_grounding_cuts_a_cited_document_once_and_posts_words_once(spark, tmp_path, monkeypatch):
+    told = " ".join(f"Sentence w{i}0 tells of zebras." for i in range(20))
+    sources = spark.createDataFrame([(5, "t", told)] + [(100 + a, "t", f"Other words {a}.") for a in range(40)], "doc_id long, title string, text string")
+    contexts = spark.createDataFrame([(a, p, d) for a in range(40) for p, d in ((1, 5), (2, 100 + a))], "aid long, place long, doc_id long").repartition(16)
+    answers = spark.createDataFrame([(a, "Sentence w70 tells of zebras.") for a in range(40)], "aid long, answer string").repartition(16)
+
+    def embed(texts):
+        with open(f"{tmp_path}/log", "a") as f:
+            f.write("".join(t + "\n" for t in texts))
+        return hashing_embedder(texts)
+
+    row = lambda found: sorted(tuple(r) for r in found.collect())
+    monkeypatch.setattr(grounding, "ANSWERS", 30)  # the forty answers in two parts
+    got = row(grounding.match(answers, contexts, embed, sources=sources))
+    assert got == row(grounding.match(answers, contexts.join(sources, "doc_id"))) and len(got) == 40
+    assert (tmp_path / "log").read_text().count("Sentence w80 tells") <= 2
+    # in turns: postings are made once for all of them
+    asked = answers.select(F.col("aid").alias("qid"), F.concat("answer", F.lit(" "), F.col("aid").cast("string")).alias("text"))
+    docs, names = sources.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), []
+    want = row(lexical.score(asked, docs, 2).select("qid", "rank", "id"))
+    monkeypatch.setattr(lexical, "MOST_SENT", 20)
+    monkeypatch.setattr(lexical, "staged", lambda df, name: names.append(name) or scratch.staged(df, name))
+    assert row(lexical.score(asked, docs, 2).select("qid", "rank", "id")) == want and names == ["postings"]
+
+
 def test_grounding_cited_rounds_halves_as_its_sql(spark, tmp_path):
     answer = " ".join(["zebra"] * 22 + ["apple"] * 10 + ["pear"] * 3)  # 22 of the root of 593: a half in the 13th place
     rows = [(1, "zebra"), (2, " ".join(["zebra"] * 7) + ". " + " ".join(["Stone river"] * 40) + "."), *((i, "river") for i in range(3, 9))]
